@@ -6,17 +6,68 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, mixing, packing, pii, quality_classifier, token_counts
 from .common import table
 from .quality_rules import quality_rules
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op7_quality_rules,)
+    for f in (op1_license_scans, op3_packing, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op10_pii)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS h FROM documents
+), by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM by_source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS n FROM weighted
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::BIGINT - coalesce(sum(2 * source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT, 0))
+    / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ranked
+), chosen AS (
+  SELECT *, (SELECT level FROM levels WHERE level <= 2 * source_size / weight ORDER BY n LIMIT 1) AS found FROM levels
+), targets AS (
+  SELECT source, source_size, CASE WHEN found IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, found * weight) END AS target FROM chosen
+), served AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size, s.text ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (least(greatest(floor(target)::BIGINT - (upto - size), 0), size) + least(greatest(floor(target)::BIGINT - source_size - (upto - size), 0), size))::BIGINT AS taken
+FROM served
+""",
+}
