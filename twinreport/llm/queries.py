@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, packing, pii, quality_classifier, token_counts
+from . import license_scan, mixing, neighbours, packing, pii, quality_classifier, token_counts
 from .common import table
 from .quality_rules import quality_rules
 
@@ -35,13 +35,17 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scans, op3_packing, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op10_pii)
+    for f in (op1_license_scans, op3_packing, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
