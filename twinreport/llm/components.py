@@ -1,0 +1,36 @@
+"""Connected components of links by alternating large and small stars; nothing is gathered in one place."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """edges (a, b), a > b. Large: every larger neighbour of a node joins its least one; small: every smaller one does."""
+    if large:
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    if large:
+        # (u, v), v > u, becomes (v, least of u's neighbours and u).
+        out = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = near.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.filter("a != b").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, root (the least node of its component) for every node of edges (a, b) but the roots; a pair of logarithmic rounds."""
+    edges = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    for _ in range(rounds):
+        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if now == before or now["n"] == 0:
+            break
+        before = now
+        edges = checkpointed(_stars(_stars(edges, True), False))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

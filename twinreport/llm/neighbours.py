@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, pa_schema
+from .grouped import grouped
 
 DEGREE = 24
 PROJECTIONS = 3
@@ -45,10 +46,6 @@ BUCKETS = 32
 
 GRAPH = "id long, vec binary, nbrs array<long>, dists array<float>, changed int"
 PAIRS = "id long, cand long, dist float"
-#: Rows that a task gathers before it works on them.
-ROWS = 100_000
-
-
 def quantised(x: np.ndarray) -> list[bytes]:
     scale = np.clip(np.abs(x).max(axis=1) / 127, 1e-37, 1e37)
     q = np.rint(x / scale[:, None]).astype(np.int8)
@@ -78,38 +75,6 @@ def nearest_pairs(ids: np.ndarray, x: np.ndarray, takes: int, bound: np.ndarray
     return np.repeat(ids, m)[ok.ravel()], ids[j][ok], v[ok]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], key: str, rows: int = ROWS) -> Iterator[pa.Table]:
-    """Tables of whole groups of a stream that is sorted by key."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table.column(key).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield table.slice(0, cut)
-                held, n = table.slice(cut).to_batches(), table.num_rows - cut
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _grouped(df: DataFrame, key: str, each: Callable[[pa.Table], Iterator[dict]], schema: str) -> DataFrame:
-    """Runs `each` over tables of whole groups of the key."""
-    fields = pa_schema(df.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, key):
-            for out in each(table):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in fields], schema=fields)
-
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, kind))
 
@@ -150,7 +115,7 @@ def _merged(graph: DataFrame, pairs: DataFrame, degree: int) -> DataFrame:
         news = np.concatenate([[0], np.cumsum(fresh)])
         yield {"id": nodes, "vec": vec.take(pa.array(own[order])), "nbrs": _lists(starts, whom, pa.int64()), "dists": _lists(starts, dist, pa.float32()), "changed": news[starts[1:]] - news[starts[:-1]]}
 
-    return _grouped(rows, "id", each, GRAPH)
+    return grouped(rows, "id", each, GRAPH)
 
 
 def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) -> DataFrame:
@@ -224,7 +189,7 @@ def _introduced(meetings: DataFrame, takes: int, meeting: int) -> DataFrame:
         first[1:] = (who[1:] != who[:-1]) | (whom[1:] != whom[:-1])
         yield {"id": who[first], "cand": whom[first], "dist": dist[first]}
 
-    return _grouped(meetings, "center", each, PAIRS)
+    return grouped(meetings, "center", each, PAIRS)
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
@@ -250,7 +215,7 @@ def _adjacency(graph: DataFrame, degree: int) -> DataFrame:
             own = cuts[i : i + 2001]
             yield {"node": centers[own[:-1]], "nbrs": _lists(own - own[0], members[own[0] : own[-1]], pa.int64()), "vecs": [b"".join(vecs[a:b]) for a, b in zip(own[:-1], own[1:], strict=True)]}
 
-    return _grouped(_meetings(graph, degree), "center", each, "node long, nbrs array<long>, vecs binary")
+    return grouped(_meetings(graph, degree), "center", each, "node long, nbrs array<long>, vecs binary")
 
 
 BEAMS = "query long, vec binary, ids array<long>, dists array<float>, opened array<boolean>"
@@ -317,7 +282,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, be
             break
         seen = links.join(front.hint("shuffle_hash"), "node").select("query", "vec", "bound", "nbrs", "vecs").mapInArrow(looked, "query long, cand long, dist float")
         rows = beams.select("*", F.lit(None).cast("long").alias("cand"), F.lit(None).cast("float").alias("dist")).unionByName(seen, allowMissingColumns=True)
-        beams = checkpointed(_grouped(rows, "query", each, BEAMS))
+        beams = checkpointed(grouped(rows, "query", each, BEAMS))
     spark.sql(f"DROP TABLE {name}")
     return beams.select("query", "ids", "dists")
 

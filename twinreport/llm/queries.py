@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, neighbours, packing, pii, quality_classifier, token_counts
+from . import license_scan, mixing, neighbours, ngram_join, packing, pii, quality_classifier, token_counts
 from .common import table
 from .quality_rules import quality_rules
 
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,10 +49,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scans, op3_packing, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii)
+    for f in (op1_license_scans, op3_packing, op4_ngram_join, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM split
+), distinct_sets AS (
+  SELECT min(doc_id) AS sid, count(*) AS copies, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)
+), tokens AS (
+  SELECT sid, len(s) AS n, unnest(s) AS t FROM distinct_sets
+), common AS (
+  SELECT a.sid AS a, b.sid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.sid != b.sid GROUP BY a.sid, b.sid
+), links AS (
+  SELECT a, b FROM common WHERE i * 10 >= 8 * (na + nb - i)
+), reached AS (
+  SELECT sid AS node, sid AS root FROM distinct_sets
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node
+), classes AS (
+  SELECT node AS sid, min(root) AS class_id FROM reached GROUP BY node
+), counted AS (
+  SELECT d.sid, d.copies - 1 + coalesce(sum(o.copies), 0) AS n_links
+  FROM distinct_sets d LEFT JOIN links l ON l.a = d.sid LEFT JOIN distinct_sets o ON o.sid = l.b GROUP BY d.sid, d.copies
+)
+SELECT x.doc_id, coalesce(c.class_id, x.doc_id) AS class_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM sets x LEFT JOIN distinct_sets d ON list_sort(x.s) = d.s LEFT JOIN classes c ON c.sid = d.sid LEFT JOIN counted k ON k.sid = d.sid
+""",
     "op6_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS h FROM documents
