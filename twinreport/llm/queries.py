@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, neighbours, ngram_join, packing, pii, quality_classifier, token_counts
+from . import license_scan, mixing, neighbours, ngram_join, packing, pii, quality_classifier, token_counts, tool_calls
 from .common import table
 from .quality_rules import quality_rules
 
@@ -15,6 +15,10 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.chat_calls(table(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(table(spark, sf_dir, "documents")))
 
@@ -49,10 +53,44 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scans, op3_packing, op4_ngram_join, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii)
+    for f in (op1_license_scans, op2_chat_formatting, op3_packing, op4_ngram_join, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+WITH RECURSIVE asks AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'system') AND turn IS NOT NULL AND conv_id IS NOT NULL
+), numbered AS (
+  SELECT *, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, count(*) OVER (PARTITION BY conv_id, turn) AS n_copies,
+    row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END,
+      CASE role WHEN 'user' THEN '{"turn":' || turn || ',"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') ELSE '{"rules":' || coalesce(to_json(text)::VARCHAR, 'null') END) AS k FROM asks
+), calls AS (
+  SELECT conv_id, turn, name, text, n_copies FROM numbered WHERE k = 1
+), needs AS (
+  SELECT a.conv_id, a.turn, b.turn AS needed FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2)
+), walks AS (
+  SELECT conv_id, turn, 0 AS level FROM calls
+  UNION
+  SELECT n.conv_id, n.turn, w.level + 1 FROM walks w JOIN needs n ON n.conv_id = w.conv_id AND n.needed = w.turn
+), leveled AS (
+  SELECT conv_id, turn, max(level) AS level FROM walks GROUP BY conv_id, turn
+), lists AS (
+  SELECT conv_id, turn, string_agg('"call_' || needed || '"', ',' ORDER BY 'call_' || needed) AS l FROM needs GROUP BY conv_id, turn
+), answered AS (
+  SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations
+  WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id, turn - 1
+)
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'call_' || coalesce(c.turn, r.turn) AS call_id,
+  CASE WHEN c.turn IS NULL THEN 'orphan_result' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+  l.level::BIGINT AS level,
+  CASE WHEN c.turn IS NOT NULL THEN row_number() OVER (PARTITION BY c.conv_id ORDER BY l.level, c.turn) - 1 END AS place,
+  CASE WHEN c.turn IS NOT NULL THEN c.text IS NOT NULL END AS valid,
+  coalesce(c.n_copies, 0)::BIGINT AS n_copies, coalesce(r.n_results, 0)::BIGINT AS n_results,
+  CASE WHEN c.turn IS NOT NULL THEN '{"arguments":' || CASE c.name WHEN 'answer' THEN '{"prompt":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn ELSE '{"rules":' || coalesce(to_json(c.text)::VARCHAR, 'null') END
+    || '},"depends_on":[' || coalesce(x.l, '') || '],"id":"call_' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' END AS line
+FROM calls c FULL JOIN answered r ON c.conv_id = r.conv_id AND c.turn = r.turn
+LEFT JOIN leveled l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN lists x ON x.conv_id = c.conv_id AND x.turn = c.turn
+""",
     "op4_ngram_join": r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
