@@ -1,4 +1,4 @@
 """Every query of the library by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import QUERIES  # noqa: F401
+from .oracle import ORACLE_SQL  # noqa: F401
