@@ -63,13 +63,13 @@ def frame_name(record: Column) -> Column:
     after_in = F.try_element_at(words, F.array_position(words, "in").cast("int") + 1)
     second = F.try_element_at(words, F.lit(2))
     name = F.when(F.array_contains(words, "in"), after_in).when(F.array_contains(words, "at"), second)
-    return F.replace(F.coalesce(name, F.lit("unknown")), F.lit("\n"), F.lit(""))
+    return F.coalesce(name, F.lit("unknown"))
 
 
 def _records(thread: Column) -> Column:
+    """The text after each # from the first frame on; without a frame 0 what stands before the first # is a record too."""
     at = _at(thread, "#0")
-    pieces = F.split(F.when(at > 0, F.substring(thread, at, F.length(thread))).otherwise(thread), "#", -1)
-    return F.filter(pieces, lambda p: F.length(F.trim(p)) > 0)
+    return F.split(F.when(at > 0, F.substring(thread, at + 1, F.length(thread))).otherwise(thread), "#", -1)
 
 
 def thread_frames(thread: Column) -> Column:

@@ -81,7 +81,7 @@ def parse_level0(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     A link is left out if its record was marked incomplete before it.
     """
     lines = F.transform(F.split("value", "\n", -1), lambda x: F.ltrim(x))
-    rows = records.select(F.monotonically_increasing_id().alias("r"), F.posexplode(lines).alias("pos", "line"))
+    rows = records.withColumn("r", F.monotonically_increasing_id()).select("r", F.posexplode(lines).alias("pos", "line"))
     rows = rows.filter(F.col("line").startswith("<bug_id>") | F.col("line").startswith("<resolution>INCOMPLETE") | F.col("line").startswith("<dup_id>"))
     own = Window.partitionBy("r").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select(
