@@ -195,7 +195,7 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, Span, int]]:
         (0, lambda: ("", "secret", (word() * 9 + d(2))[: r.randint(20, 30)].ljust(20, "a") + d(1))),
         (1, lambda: (r.choice(("iban ", "account: ", "bank transfer to ", "")), "account", r.choice(("DE", "FR", "ES", "GB")) + d(2) + "".join(" " + d(4) for _ in range(r.randint(3, 5))))),
         (0, lambda: (r.choice(("model ", "part ", "serial ")), "account", r.choice(("XK", "ZZ", "QA")) + d(2) + mixed(4).upper() + mixed(4).upper())),
-        (1, lambda: ("", "email", f"{word()}.{d(2)} {r.choice(('(at)', '[at]'))} {word()}{r.choice(('.com', ' [dot] org', '.example.net'))}")),
+        (1, lambda: ("", "email", f"{word()}{r.choice(('', '.' + d(2), '.' + word()))} {r.choice(('(at)', '[at]'))} {word()}{r.choice(('.com', ' [dot] org', '.example.net'))}")),
         (0, lambda: ("", "email", f"{word()} (at) {word()}.{word()}.{word()}.{word()}")),
     )
     out = []

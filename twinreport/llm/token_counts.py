@@ -79,7 +79,7 @@ def suffix_sums(counts: DataFrame, block: int = BLOCK) -> DataFrame:
         over.alias("docs_over"),
         kept.alias("kept_tokens"),
         (F.col("__t_all") - kept).alias("lost_tokens"),
-        (1 - over / F.col("__n_all")).alias("share_within"),
+        ((F.col("__n_all") - over) / F.col("__n_all")).alias("share_within"),
     )
 
 
