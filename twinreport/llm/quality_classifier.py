@@ -166,7 +166,8 @@ def score_documents(docs: DataFrame, model: AttentionModel) -> DataFrame:
     def each(batch: dict[str, list]) -> Iterator[dict[str, list]]:
         for i in range(0, len(batch["text"]), 256):
             part = {k: v[i : i + 256] for k, v in batch.items()}
-            score = model.score([describe(t) for t in part["text"]])
+            # Rounded, as the order of sums depends on which documents share a batch.
+            score = np.round(model.score([describe(t) for t in part["text"]]), 9)
             yield {"doc_id": part["doc_id"], "held_out": part["held_out"], "score": score.tolist(), "predicted": (score >= 0.5).astype(int).tolist()}
 
     return map_batches(texts(docs, held_out(F.col("doc_id")).alias("held_out")), lambda: each, SCHEMA)
