@@ -42,7 +42,8 @@ BEAM = 400
 OPENS = 64
 SEARCH_ROUNDS = 64
 RERANK = 48
-BUCKETS = 32
+#: Files of the graph that is searched, at least, and nodes in a file.
+BUCKETS, BUCKET_NODES = 32, 20_000
 
 GRAPH = "id long, vec binary, nbrs array<long>, dists array<float>, changed int"
 PAIRS = "id long, cand long, dist float"
@@ -225,8 +226,17 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, be
     """query (a node's id), ids and dists: the nearest found, the query's own node among them."""
     spark = graph.sparkSession
     name = f"neighbours_{uuid.uuid4().hex}"
-    _adjacency(graph, degree).write.bucketBy(BUCKETS, "node").saveAsTable(name)
-    links = spark.table(name)
+    buckets = max(BUCKETS, graph.count() // BUCKET_NODES)
+    # Dealt by the buckets' own hash, so that a bucket is one file.
+    _adjacency(graph, degree).repartition(buckets, "node").write.bucketBy(buckets, "node").saveAsTable(name)
+    try:
+        return _searched(graph, queries, spark.table(name), beam, opens)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int, opens: int) -> DataFrame:
+    """The beams when none has a node left to open."""
     start = graph.join(queries, graph["id"] == queries["query"]).select(
         "query", "vec", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("dists"), F.array(F.lit(False)).alias("opened")
     )
@@ -283,7 +293,6 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, be
         seen = links.join(front.hint("shuffle_hash"), "node").select("query", "vec", "bound", "nbrs", "vecs").mapInArrow(looked, "query long, cand long, dist float")
         rows = beams.select("*", F.lit(None).cast("long").alias("cand"), F.lit(None).cast("float").alias("dist")).unionByName(seen, allowMissingColumns=True)
         beams = checkpointed(grouped(rows, "query", each, BEAMS))
-    spark.sql(f"DROP TABLE {name}")
     return beams.select("query", "ids", "dists")
 
 
