@@ -117,4 +117,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, th
 def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all their columns, that are kept."""
     packed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("__document"))
-    return judged(packed, ratios(docs, labels, buckets), ("__document",), threshold).filter("kept").select("__document.*")
+    rows = judged(packed, ratios(docs, labels, buckets), ("__document",), threshold)
+    # A row number that the filter reads keeps the optimiser from copying the whole verdict, steps and all, into a filter
+    # at the scan, where each use of a step's column would compute it anew.
+    return rows.withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0").select("__document.*")
