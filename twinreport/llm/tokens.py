@@ -11,7 +11,7 @@ import os
 from array import array
 
 #: Chunks and words held by a worker; beyond it the cache starts afresh.
-CACHED = 1_500_000
+CACHED = 500_000
 MARKS = ".,;:!?*#$%&|<>()[]{}=+-_/\\^~`@"
 
 
