@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from twinreport.llm import neighbours, ngram_join, quality_classifier, tool_calls
-from twinreport.llm.components import components
+from twinreport.operators.components import components
 
 
 def near_copies(seed=1, families=12, copies=6):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -19,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder that all executors share, so that a lost executor costs no recomputation.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, is a local one chosen.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "twinreport-checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], Iterator[dict[str, list]]]], schema: str) -> DataFrame:
     """mapInArrow over columns as Python lists: make() is called once a task and returns the function for a batch."""
     fields = pa_schema(df.sparkSession, schema)

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import checkpointed, map_batches, texts
-from .components import components
 from .grouped import grouped
 
 WORDS, SIMILARITY = 5, 0.8
