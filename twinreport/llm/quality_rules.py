@@ -1,28 +1,40 @@
 """Quality rules: counts over every whole text, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-The verdict compares two multinomials over hashed word unigrams and bigrams: one of the trusted documents (all labels of
-the document say quality 1), one of the whole corpus. A document's score is the mean, over its n-grams, of
-log(p_trusted / p_corpus); documents below a fixed threshold are rejected. The trusted counts are smoothed towards the
-corpus (a Dirichlet prior of one n-gram a bucket on average), so that buckets unseen in a small trusted set weigh little.
-Log ratios are kept as fixed-point integers, so sums do not depend on the order of rows.
+The verdict compares two multinomials over word unigrams and bigrams (64 bits of hash each, so the model grows with the
+n-grams of the input): one of the trusted documents (all labels of the document say quality 1), one of the whole corpus. A
+document's score is the mean, over its n-grams, of log(p_trusted / p_corpus). The trusted counts are smoothed towards the
+corpus by as many n-grams as the trusted documents have, so a score means the same at each size of corpus. Log ratios are
+kept as fixed-point integers, so sums do not depend on the order of rows.
+
+The counts are a table: n-grams meet their counts by a shuffle on the n-gram. Those found often in a sample (a matter of
+routing; they are counted over all rows, too) meet theirs by a broadcast instead, so none crowds a task.
+
+The least score is set for each language (`lang`, if docs have it) from labelled documents that pass the base rules, each
+scored without the trusted counts of its own text: where the shares kept of the trusted and of the bad ones (some label
+says quality 0) differ most. A language without labelled documents of both kinds is judged by the base rules alone.
+
+With `buckets` given, n-grams share that many hash buckets and the model is a constant of the plan; such a model needs a
+threshold, or THRESHOLD counts.
 
 Defined results: a null text counts as empty; an empty text has all counts 0, base_failed true, kept false, score null;
 without any trusted document the ratio says nothing and kept is not base_failed; repeated rows are each judged alike; a
-null doc_id is returned as null; other columns of the input are ignored by `quality_rules` and returned by `keep_good`.
+null doc_id is returned as null; columns but doc_id, text and lang are ignored by `quality_rules` and returned by `keep_good`.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, texts
+from .common import SPACES, checkpointed, texts
 
-#: Hash buckets of the multinomials; bounds what is collected.
+#: Hash buckets of a model that is a constant of the plan.
 BUCKETS = 1 << 15
-#: Mean log ratio that a document must reach.
+#: N-grams that are broadcast, at most, and documents of the sample that finds them, about.
+COMMON, SAMPLE = 1 << 14, 4000
+#: Mean log ratio that a document must reach by a constant model.
 THRESHOLD = -0.08
 #: Log ratios are summed in units of 2**-10.
 UNIT = 1 << 10
@@ -74,6 +86,10 @@ def _repeated(hashed: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.when(F.col("__s").isNull(), 0).otherwise(repeated).cast("long").alias("n_repeat_words"))
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """The log ratio of each bucket in fixed point, `buckets` numbers, counted over all documents and all labels."""
     trusted = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id", F.lit(1).alias("__trusted"))
@@ -104,20 +120,104 @@ def judged(docs: DataFrame, model: list[int], keep: tuple[str, ...] = ("doc_id",
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     df = _hashed(docs, *keep).withColumn("score", F.when(n > 0, total / F.lit(float(UNIT)) / n))
     df = _repeated(df, *keep, *COUNTS[:-1], "score")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold))
+    df = df.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold))
     return df.select(*keep, *COUNTS, "base_failed", "score", "kept")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs and __label: 1 trusted, 0 bad, null neither."""
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__label"))
+    return docs.join(known.filter("__label IN (0, 1)").hint("shuffle_hash"), "doc_id", "left")
+
+
+def _counted(hashed: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, h, c: the distinct n-grams of each row and how often each is there, by runs of sorted hashes."""
+    df = hashed.select(*keep, F.sort_array(_grams()).alias("__s"))
+    starts = F.filter(F.transform("__s", lambda _, i: i), lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
+    df = df.select(*keep, "__s", starts.alias("__i"))
+    runs = F.zip_with("__i", _tail(F.col("__i"), 2, F.size("__i") - 1), lambda a, b: F.struct(F.get("__s", a).alias("h"), (F.coalesce(b, F.size("__s")) - a).alias("c")))
+    return df.select(*keep, F.explode(runs).alias("e")).select(*keep, "e.h", "e.c")
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """__key (hash of a text), __label, score, own: own leaves out what a trusted document itself adds to the trusted counts."""
+    share = max(1, docs.count() // SAMPLE)
+    sample = texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+    often = _hashed(sample).select(F.explode(_grams()).alias("h")).groupBy("h").count().filter("count > 1")
+    often = checkpointed(often.orderBy(F.desc("count"), "h").limit(COMMON).select("h"))
+    hashed = _hashed(_marked(texts(docs), labels).withColumn("__key", F.xxhash64("text")), "__key", "__label")
+    trusted = F.col("__label") == 1
+    count = [F.count(F.lit(1)).alias("r"), F.count(F.when(trusted, 1)).alias("g")]
+    # The row without h counts the n-grams that are not common.
+    grams = hashed.select("__label", F.explode(_grams()).alias("h")).join(F.broadcast(often.withColumnRenamed("h", "__h")), F.col("h") == F.col("__h"), "left")
+    totals = checkpointed(grams.groupBy(F.col("__h").alias("h")).agg(*count))
+    raw, good = totals.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
+    prior = float(max(good, 1))
+
+    counted = _counted(hashed, "__key", "__label")
+    common = counted.join(F.broadcast(totals.filter("h IS NOT NULL")), "h").select("__key", "__label", "c", "r", "g")
+    of_gram = Window.partitionBy("h")
+    rare = counted.join(F.broadcast(often), "h", "left_anti")
+    rare = rare.select("__key", "__label", "c", F.sum("c").over(of_gram).alias("r"), F.sum(F.when(trusted, F.col("c")).otherwise(0)).over(of_gram).alias("g"))
+
+    def total(g: Column) -> Column:
+        return F.sum(F.col("c") * F.round(F.log((g * F.lit(float(raw)) / F.col("r") + prior) / F.lit(good + prior)) * UNIT).cast("long"))
+
+    own = F.col("g") - F.when(trusted, F.col("c")).otherwise(0)
+    sums = common.unionByName(rare).groupBy("__key", "__label").agg(total(F.col("g")).alias("t"), total(own).alias("o"), F.sum("c").alias("n"))
+    less = F.when(trusted, F.log(F.lit(good + prior) / F.greatest(F.lit(good + prior) - F.col("n"), F.lit(1.0)))).otherwise(0.0)
+    return sums.select("__key", "__label", (F.col("t") / F.lit(float(UNIT)) / F.col("n")).alias("score"), (F.col("o") / F.lit(float(UNIT)) / F.col("n") + less).alias("own"))
+
+
+def cuts(labelled: DataFrame) -> DataFrame:
+    """__lang, cut: from __lang, __label, own of labelled documents, the score that best tells the trusted from the bad."""
+    bins = labelled.groupBy("__lang", F.floor(F.col("own") * UNIT).alias("bin")).agg(F.count(F.when(F.col("__label") == 1, 1)).alias("t"), F.count(F.when(F.col("__label") == 0, 1)).alias("b"))
+    whole, upward = Window.partitionBy("__lang"), Window.partitionBy("__lang").orderBy("bin")
+    below = upward.rowsBetween(Window.unboundedPreceding, -1)
+    gain = F.sum("b").over(below) / F.sum("b").over(whole) - F.sum("t").over(below) / F.sum("t").over(whole)
+    both = bins.withColumn("kinds", F.least(F.sum("b").over(whole), F.sum("t").over(whole)))
+    rows = both.filter("kinds > 0").select("__lang", "bin", gain.alias("gain"), ((F.lag("bin").over(upward) + 1 + F.col("bin")) / F.lit(2.0 * UNIT)).alias("cut"))
+    best = rows.filter("gain > 0").groupBy("__lang").agg(F.max(F.struct("gain", (-F.col("bin")).alias("bin"), "cut")).alias("best"))
+    return best.select("__lang", F.col("best.cut").alias("cut"))
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """doc_id, __key, __lang, the base counts, base_failed, score, kept for every row of docs."""
+    keep = ("doc_id", "__key", "__lang")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang(docs).alias("__lang")).withColumn("__key", F.xxhash64("text"))
+    base = checkpointed(_repeated(_hashed(keyed, *keep), *keep, *COUNTS[:-1]).withColumn("base_failed", _failed()))
+    scores = checkpointed(scored(docs, labels))
+    if threshold is None:
+        labelled = _marked(base.filter("NOT base_failed").select(*keep), labels).filter("__label IS NOT NULL").join(scores, ["__key", "__label"])
+        cut = checkpointed(cuts(labelled))
+        base = base.join(F.broadcast(cut), "__lang", "left")
+    else:
+        base = base.withColumn("cut", F.lit(threshold))
+    rows = base.join(scores.groupBy("__key").agg(F.min("score").alias("score")), "__key", "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("cut"), F.lit(True))
+    return rows.select(*keep, *COUNTS, "base_failed", "score", kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, score, kept for every row of docs."""
-    return judged(texts(docs), ratios(docs, labels, buckets), ("doc_id",), threshold)
+    if buckets is None:
+        return verdicts(docs, labels, threshold).drop("__key", "__lang")
+    return judged(texts(docs), ratios(docs, labels, buckets), ("doc_id",), THRESHOLD if threshold is None else threshold)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """The rows of docs, all their columns, that are kept."""
+    if buckets is None:
+        # A verdict depends on text and language alone.
+        bad = verdicts(docs, labels, threshold).filter("NOT kept").select("__key", "__lang").distinct()
+        keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__lang", _lang(docs))
+        return keyed.join(bad, ["__key", "__lang"], "left_anti").select(docs.columns)
     packed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("__document"))
-    rows = judged(packed, ratios(docs, labels, buckets), ("__document",), threshold)
+    rows = judged(packed, ratios(docs, labels, buckets), ("__document",), THRESHOLD if threshold is None else threshold)
     # A row number that the filter reads keeps the optimiser from copying the whole verdict, steps and all, into a filter
     # at the scan, where each use of a step's column would compute it anew.
     return rows.withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0").select("__document.*")
