@@ -7,8 +7,8 @@ starts at its own node: each round it opens the best nodes of its list (BEAM lon
 left. Rounds of all queries run together as joins of their open nodes with the graph, which is a bucketed table, so only the
 open nodes move.
 
-Descent and search use vectors quantised to one byte a component; the best RERANK of a query are measured anew in double
-precision on the original vectors. Equal vectors are one node; their ids come back at the end, of each the smallest that
+Descent and search measure in double precision on the original components, so near copies are told apart at any distance that
+their type can hold, and the whole beam is ranked by them. Equal vectors are one node; their ids come back at the end, of each the smallest that
 can matter. The result is approximate: recall against brute force is tested, and given in the README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
@@ -41,24 +41,28 @@ BEAM = 400
 #: Nodes that a query opens in a round.
 OPENS = 64
 SEARCH_ROUNDS = 64
-RERANK = 48
 #: Files of the graph that is searched, at least, and nodes in a file.
 BUCKETS, BUCKET_NODES = 32, 20_000
 
 GRAPH = "id long, vec binary, nbrs array<long>, dists array<float>, changed int"
 PAIRS = "id long, cand long, dist float"
-def quantised(x: np.ndarray) -> list[bytes]:
-    scale = np.clip(np.abs(x).max(axis=1) / 127, 1e-37, 1e37)
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    return [s.tobytes() + r.tobytes() for s, r in zip(scale.astype("<f4"), q, strict=True)]
+
+
+def packed_as(kind: str) -> Callable[[np.ndarray], list[bytes]]:
+    """Vectors to bytes: a letter for the type of their components, then these as they are."""
+    return lambda x: [kind.encode() + r.tobytes() for r in x.astype(f"<{kind}")]
 
 
 def restored(vecs: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(vecs), np.uint8).reshape(len(vecs), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+    kind = f"<{chr(raw[0, 0])}" if len(vecs) else "<f"
+    return np.ascontiguousarray(raw[:, 1:]).view(kind).astype(np.float64)
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # About a common centre, so that little cancels among near copies.
+    centre = a.mean(axis=0)
+    a, b = a - centre, b - centre
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0)
 
 
@@ -127,10 +131,10 @@ def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) ->
             for batch in batches:
                 if batch.num_rows:
                     x = restored(batch.column("vec").to_pylist())
-                    p = np.random.default_rng(seed).normal(size=(x.shape[1], 17)).astype(np.float32)
+                    p = np.random.default_rng(seed).normal(size=(x.shape[1], 17))
                     side = x @ p
                     code = (side[:, :16] > 0) @ (1 << np.arange(16)[::-1])
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(code.astype(np.int64)), pa.array(side[:, 16].astype(np.float32))], names=["id", "vec", "code", "side"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(code.astype(np.int64)), pa.array(side[:, 16])], names=["id", "vec", "code", "side"])
 
         return run
 
@@ -155,7 +159,7 @@ def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) ->
 
     out = None
     for seed in range(projections):
-        rows = nodes.mapInArrow(coded(seed), "id long, vec binary, code long, side float")
+        rows = nodes.mapInArrow(coded(seed), "id long, vec binary, code long, side double")
         found = rows.repartitionByRange("code", "side").sortWithinPartitions("code", "side", "id").mapInArrow(blocks, PAIRS)
         out = found if out is None else out.unionByName(found)
     return out
@@ -308,21 +312,23 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every` its k nearest other rows found."""
+    narrow = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     rows = checkpointed(usable(vectors))
     nodes = checkpointed(rows.groupBy("v").agg(F.min("vec_id").alias("id")))
 
+    as_bytes = packed_as("f" if narrow else "d")
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(quantised(x))], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(as_bytes(x))], names=["id", "vec"])
 
     graph = neighbour_graph(nodes.select("id", "v").mapInArrow(packed, "id long, vec binary"), degree, rounds)
     member = rows.join(nodes, "v").select("vec_id", "id")
     asked = member.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
     found = greedy_search(graph, asked.select("query").distinct(), degree, beam)
-    most = max(RERANK, k + 1)
-    pairs = found.select("query", F.explode(F.slice("ids", 1, most)).alias("id"))
+    pairs = found.select("query", F.explode("ids").alias("id"))
     vector = nodes.select("id", "v")
     pairs = pairs.join(vector.withColumnRenamed("v", "b"), "id").join(vector.select(F.col("id").alias("query"), F.col("v").alias("a")), "query")
     score = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
