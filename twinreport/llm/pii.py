@@ -48,6 +48,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Maximal areas of the characters of numbers; every number lies within one.
 _AREA = re.compile(r"[0-9+][0-9+() .-]*")
+#: The same with the slash of loose numbers.
+_LOOSE_AREA = re.compile(r"[0-9+][0-9+() ./-]*")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -59,7 +61,8 @@ _LOOSE = (
 )
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _RANDOM = re.compile(r"[A-Za-z0-9_-]{20,}")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+", re.I | re.A)
+_SIGN = re.compile(r" ?[\[(]at[\])]", re.I | re.A)
 _WORD = re.compile(r"[a-z]+")
 _PERSONAL = frozenset("phone tel telephone call mobile cell fax sms whatsapp contact".split())
 _NUMBERS = frozenset("ssn social security iban account bank transfer pay".split())
@@ -116,11 +119,13 @@ def candidates(text: str) -> list[Span]:
     """Proposed spans of any kind, overlaps and repeats included; at every digit and every spelled at sign of the text."""
     out: set[Span] = set()
     seen = 0
-    for area in _AREA.finditer(text):
+    for area in _LOOSE_AREA.finditer(text):
         a, b = area.span()
         if b - a >= 7:
             for kind, pattern in _LOOSE:
                 out.update((kind, *m.span()) for m in pattern.finditer(text, max(0, a - 1), b))
+    for area in _AREA.finditer(text):
+        a = area.start()
         if a >= seen:
             start, end = a, a
             while start > 0 and (text[start - 1] in _LOCAL and text[start - 1] not in ".%+"):
@@ -134,12 +139,13 @@ def candidates(text: str) -> list[Span]:
             m = _ACCOUNT.match(text, a - 2)
             if m:
                 out.add(("account", *m.span()))
-    for sign in ("(at)", "[at]"):
-        at = text.find(sign)
-        while at >= 0:
-            for m in _SPELLED.finditer(text, max(0, at - 64), at + 128):
-                out.add(("email", *m.span()))
-            at = text.find(sign, at + 1)
+    for sign in _SIGN.finditer(text):
+        start = sign.start()
+        while start > 0 and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _SPELLED.match(text, start)
+        if m:
+            out.add(("email", *m.span()))
     return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
