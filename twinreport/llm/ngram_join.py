@@ -5,7 +5,7 @@ at each level it joins the bucket of the shared token that its set samples (the
 sample the same one with a chance equal to their Jaccard similarity). Buckets of one set end; buckets of up to SMALL sets
 are compared by brute force; larger ones are split again on the next sampled token, down to LEVELS. What is still larger
 then is compared in blocks of sets, every block with every block, each in a task of its own. Runs are repeated until a
-pair at the threshold whose buckets take three levels is missed with a chance below 1 - RECALL.
+pair at the threshold whose buckets take all levels is missed with a chance below 1 - RECALL.
 
 Within a bucket, sets are compared by their samples; those that may be alike form candidate groups. The whole sets of each
 candidate group meet in blocks, where every pair's similarity is computed exactly, so precision is 1. Links are counted,
@@ -36,8 +36,8 @@ from .grouped import grouped
 WORDS, SIMILARITY = 5, 0.8
 RECALL = 0.9998
 LEVELS = 5
-#: Repetitions: a pair at the threshold stays together for three levels with chance SIMILARITY ** 3.
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**3))
+#: Repetitions: a pair at the threshold stays together for all levels with chance SIMILARITY ** LEVELS.
+RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**LEVELS))
 #: Sets of a bucket that is compared by brute force, and of a block of what cannot be split.
 SMALL = 1024
 #: Sets in a block of exact comparison.
