@@ -1,16 +1,64 @@
-"""Cutting a plan's lineage in the folder that all executors share."""
+"""Cutting a plan's lineage in the folder that all executors share, and joins that no single key can fill a task of."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key that holds more than this part of the rows is split into as many pieces; so there are at most PIECES such keys.
+PIECES = 256
+#: Rows that no task minds.
+FEW = 1000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; on a local master, as in tests, a folder of this machine if that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "twinreport-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's spark.checkpoint.dir; a local folder is chosen only where that is unset, as in tests."""
+    """The rows, written to the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "twinreport-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, written to the shared folder as Parquet and read again, and the path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written` wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", pieces: int = PIECES, few: int = FEW) -> DataFrame:
+    """left joined (inner or left) with right, which has one row for each key.
+
+    The keys that hold more than one of `pieces` parts of left's rows, at most `pieces` of them, are split by a hash of
+    the row, and their rows of right are there once for each piece. left is read twice, so it should be a table.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")).filter(F.col("__m") > few)
+    share = max(few, left.count() // pieces)
+    hot = checkpointed(counts.filter(F.col("__m") > share).select(*keys, F.ceil(F.col("__m") / F.lit(share)).cast("int").alias("__pieces")))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)  # at most `pieces` rows
+    salt = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.coalesce("__pieces", F.lit(1))))
+    split = left.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__pieces")
+    copies = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")
+    return split.join(copies, [*keys, "__salt"], how).drop("__salt")
