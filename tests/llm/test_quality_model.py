@@ -2,8 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+import xxhash
 
 from twinreport.llm import quality_rules
 
@@ -14,6 +15,14 @@ def prose(r, lang, n):
     return " ".join(lang + r.choice("abcdefgh") + r.choice("klmnopqr") + r.choice("stuvwxyz") for _ in range(n))
 
 
+def hashed(words, buckets):
+    """The buckets of all n-grams of a text."""
+    xx = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
+    h = [xx(w.encode()) for w in words]
+    pairs = [xx(b.to_bytes(8, "little"), xx(a.to_bytes(8, "little"))) for a, b in zip(h, h[1:], strict=False)]
+    return [(x - (1 << 64) if x >> 63 else x) % buckets for x in h + pairs]
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """Clean and bad documents of three languages; those of 'z' have no trusted label."""
@@ -45,21 +54,32 @@ def test_clean_documents_without_labels_are_kept(corpus):
 
 
 def test_routing_does_not_change_scores(corpus, monkeypatch):
-    docs, labels, _ = corpus
-    scores = lambda: sorted((r["__key"], r["__label"] is None, r.score, r.own) for r in quality_rules.scored(docs, labels).collect())
-    default = scores()
-    monkeypatch.setattr(quality_rules, "COMMON", 3)
-    assert scores() == default
-    rows, trusted = docs.collect(), {r.doc_id for r in labels.filter("quality = 1").collect()}
-    grams = {r.doc_id: (w := r.text.split()) + list(zip(w, w[1:], strict=False)) for r in rows}
-    raw, good = {}, {}
-    for i, gs in grams.items():
-        for g in gs:
-            raw[g] = raw.get(g, 0) + 1
-            good[g] = good.get(g, 0) + (i in trusted)
-    import math
-
-    total, size = sum(raw.values()), sum(good.values())
-    want = {r.text: sum(math.log((good[g] * total / raw[g] + size) / (2 * size)) for g in grams[r.doc_id]) / len(grams[r.doc_id]) for r in rows}
-    keys = {r["k"]: r["text"] for r in docs.select(F.xxhash64("text").alias("k"), "text").collect()}
-    assert all(abs(s - want[keys[k]]) < 1e-3 for k, _, s, _ in default)
+    docs, labels, known = corpus
+    default = sorted(map(str, quality_rules.quality_rules(docs, labels).collect()))
+    monkeypatch.setattr(quality_rules, "BROADCAST", 1)
+    monkeypatch.setattr(quality_rules, "BITS", 64)
+    monkeypatch.setattr(quality_rules, "LANGUAGES", 0)
+    assert sorted(map(str, quality_rules.quality_rules(docs, labels).collect())) == default
+
+
+def test_own_scores_leave_out_a_documents_own_counts(corpus):
+    docs, labels, known = corpus
+    buckets, rows, low = 64, docs.collect(), dict(known)
+    grams = {r.doc_id: hashed(r.text.split(), buckets) for r in rows}
+    raw, good = np.zeros(buckets), np.zeros(buckets)
+    for r in rows:
+        raw += np.bincount(grams[r.doc_id], minlength=buckets)
+        good += np.bincount(grams[r.doc_id], minlength=buckets) * (low.get(r.doc_id) == 1)
+    labelled = quality_rules.labelled_texts(docs, labels)
+    got = quality_rules.own_scores(labelled, quality_rules.Model(docs, labelled, buckets)).collect()
+    want = []
+    for i, q in known:
+        own = np.bincount(grams[i], minlength=buckets) * q
+        n, total = len(grams[i]), good.sum()
+        want.append(sum(np.rint(np.log(((good[g] - own[g]) * raw.sum() / raw[g] + total) / (2 * total)) * 1024) for g in grams[i]) / 1024 / n + q * np.log(2 * total / (2 * total - n)))
+    assert np.allclose(sorted(r.own for r in got), sorted(want), atol=2e-3)
+
+
+def test_buckets_grow_with_the_corpus(spark):
+    sizes = [quality_rules.bucket_count(spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")) for n in (0, 10**4, 10**6, 4 * 10**6)]
+    assert sizes == [1 << 10, 1 << 10, 1 << 13, 1 << 14]

@@ -1,21 +1,21 @@
 """Quality rules: counts over every whole text, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-The verdict compares two multinomials over word unigrams and bigrams (64 bits of hash each, so the model grows with the
-n-grams of the input): one of the trusted documents (all labels of the document say quality 1), one of the whole corpus. A
-document's score is the mean, over its n-grams, of log(p_trusted / p_corpus). The trusted counts are smoothed towards the
-corpus by as many n-grams as the trusted documents have, so a score means the same at each size of corpus. Log ratios are
-kept as fixed-point integers, so sums do not depend on the order of rows.
-
-The counts are a table: n-grams meet their counts by a shuffle on the n-gram. Those found often in a sample (a matter of
-routing; they are counted over all rows, too) meet theirs by a broadcast instead, so none crowds a task.
+The verdict compares two multinomials over word unigrams and bigrams: one of the trusted documents (all labels of the
+document say quality 1), one of the whole corpus. N-grams are hashed into buckets, whose number grows with the square root
+of the corpus (`bucket_count`), about as its vocabulary does. A document's score is the mean, over its n-grams, of
+log(p_trusted / p_corpus). The trusted counts are smoothed towards the corpus by as many n-grams as the trusted documents
+have, so a score means the same at each size of corpus. Log ratios are kept as fixed-point integers, so sums do not depend
+on the order of rows.
+
+Buckets are counted where the texts lie, so only counts are shuffled. The model is a table that meets the n-grams by a
+broadcast up to BROADCAST buckets (the bound of what is sent) and by a shuffle beyond, the heaviest buckets aside; the
+result is the same. For the trusted counts only the texts of labelled documents move: a bitmap of the labelled ids, BITS at
+most, keeps most others where they are (it only saves shuffling; the join that follows decides).
 
 The least score is set for each language (`lang`, if docs have it) from labelled documents that pass the base rules, each
 scored without the trusted counts of its own text: where the shares kept of the trusted and of the bad ones (some label
 says quality 0) differ most. A language without labelled documents of both kinds is judged by the base rules alone.
 
-With `buckets` given, n-grams share that many hash buckets and the model is a constant of the plan; such a model needs a
-threshold, or THRESHOLD counts.
-
 Defined results: a null text counts as empty; an empty text has all counts 0, base_failed true, kept false, score null;
 without any trusted document the ratio says nothing and kept is not base_failed; repeated rows are each judged alike; a
 null doc_id is returned as null; columns but doc_id, text and lang are ignored by `quality_rules` and returned by `keep_good`.
@@ -30,18 +30,26 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, checkpointed, texts
 
-#: Hash buckets of a model that is a constant of the plan.
-BUCKETS = 1 << 15
-#: N-grams that are broadcast, at most, and documents of the sample that finds them, about.
-COMMON, SAMPLE = 1 << 14, 4000
-#: Mean log ratio that a document must reach by a constant model.
-THRESHOLD = -0.08
+#: Buckets for each square root of the corpus' bytes; the number is rounded up to a power of two.
+GROWTH = 8
+#: Buckets that are broadcast, at most; more meet the n-grams by a shuffle.
+BROADCAST = 1 << 22
+#: Bits of the bitmap of labelled ids, at most, and for each id.
+BITS, BITS_EACH = 1 << 23, 8
+#: Languages whose cuts are broadcast, at most.
+LANGUAGES = 10_000
 #: Log ratios are summed in units of 2**-10.
 UNIT = 1 << 10
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """The number of buckets for a corpus: grows with the square root of its bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << max(10, math.ceil(math.log2(GROWTH * math.sqrt(size + 1))))
+
+
 def _tail(items: Column, start: int, n: Column) -> Column:
     return F.slice(items, F.lit(start), F.greatest(n, F.lit(0)))
 
@@ -69,12 +77,11 @@ def _grams() -> Column:
     return F.concat("__w", "__b")
 
 
-def _repeated(hashed: DataFrame, *keep: str) -> DataFrame:
-    """n_repeat_words, and the columns `keep`: equal windows meet by sorting their hashes, in n log n."""
+def _repeated() -> tuple[Column, Column, Column]:
+    """Three columns in a row, __t, __s and n_repeat_words: equal windows meet by sorting their hashes, in n log n."""
     n = F.size("__w")
-    df = hashed.select(*keep, F.zip_with(_tail(F.col("__b"), 1, n - 2), _tail(F.col("__w"), 3, n - 2), lambda a, b: F.xxhash64(a, b)).alias("__t"))
-    windows = F.sort_array(F.transform("__t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.select(*keep, F.when(F.size(F.array_distinct("__t")) < F.size("__t"), windows).alias("__s"))
+    threes = F.zip_with(_tail(F.col("__b"), 1, n - 2), _tail(F.col("__w"), 3, n - 2), lambda a, b: F.xxhash64(a, b))
+    windows = F.when(F.size(F.array_distinct("__t")) < F.size("__t"), F.sort_array(F.transform("__t", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     m = F.size("__s")
     # Neighbours in the sorted order that are the same window: both places' words are repeated.
     same = F.zip_with(
@@ -83,141 +90,142 @@ def _repeated(hashed: DataFrame, *keep: str) -> DataFrame:
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], a["i"] + 1, a["i"] + 2, b["i"], b["i"] + 1, b["i"] + 2)),
     )
     repeated = F.size(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-    return df.select(*keep, F.when(F.col("__s").isNull(), 0).otherwise(repeated).cast("long").alias("n_repeat_words"))
+    return threes, windows, F.when(F.col("__s").isNull(), 0).otherwise(repeated).cast("long")
 
 
-def _failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def _counted(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns `keep`, all counts, base_failed and __g, the hashes of the n-grams."""
+    threes, windows, repeated = _repeated()
+    df = _hashed(docs, *keep)
+    df = df.select(*keep, *COUNTS[:-1], _grams().alias("__g"), threes.alias("__t")).select(*keep, *COUNTS[:-1], "__g", windows.alias("__s"))
+    df = df.select(*keep, *COUNTS[:-1], "__g", repeated.alias("n_repeat_words"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return df.withColumn("base_failed", failed)
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> list[int]:
-    """The log ratio of each bucket in fixed point, `buckets` numbers, counted over all documents and all labels."""
-    trusted = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__q")).filter("__q = 1").select("doc_id", F.lit(1).alias("__trusted"))
-    marked = texts(docs).join(trusted.hint("shuffle_hash"), "doc_id", "left")
-    counts = (
-        _hashed(marked, "__trusted")
-        .select("__trusted", F.explode(_grams()).alias("h"))
-        .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("__trusted").alias("good"))
-        .collect()  # at most `buckets` rows
-    )
-    raw, good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
-    out = [0] * buckets
-    if good:
-        for r in counts:
-            share = r["raw"] / raw
-            out[r["bucket"]] = round(math.log((r["good"] + buckets * share) / ((good + buckets) * share)) * UNIT)
-    return out
+def _bucket(h: Column, buckets: int) -> Column:
+    return F.pmod(h, F.lit(buckets).cast("long"))
 
 
-def judged(docs: DataFrame, model: list[int], keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The columns `keep` of docs (text: not null), the counts, base_failed, score and kept.
-
-    The model's few numbers are a constant of the plan, so a document is scored where it is read, without a shuffle.
-    """
-    constant = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
-    total = F.aggregate(_grams(), F.lit(0).cast("long"), lambda t, h: t + F.get(constant, F.pmod(h, F.lit(len(model))).cast("int")))
-    n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
-    df = _hashed(docs, *keep).withColumn("score", F.when(n > 0, total / F.lit(float(UNIT)) / n))
-    df = _repeated(df, *keep, *COUNTS[:-1], "score")
-    df = df.withColumn("base_failed", _failed()).withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold))
-    return df.select(*keep, *COUNTS, "base_failed", "score", "kept")
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
 
 
-def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs and __label: 1 trusted, 0 bad, null neither."""
-    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__label"))
-    return docs.join(known.filter("__label IN (0, 1)").hint("shuffle_hash"), "doc_id", "left")
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, __lang, __label (1 trusted, 0 bad) of the labelled rows of docs."""
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("__label")).filter("__label IN (0, 1)")
+    known = checkpointed(known)
+    bits = 1 << max(6, min(BITS.bit_length() - 1, (BITS_EACH * known.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).cast("int")
+    parts = known.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63))).alias("bits"))
+    bitmap = ["0"] * (bits // 64)
+    for r in parts.collect():  # at most BITS / 64 rows
+        bitmap[r["at"]] = str(r["bits"])
+    maybe = F.getbit(F.get(F.split(F.lit(",".join(bitmap)), ",").cast("array<long>"), F.shiftright(place, 6)), place.bitwiseAND(63)) == 1
+    rows = docs.filter(F.col("doc_id").isNotNull()).filter(maybe)
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang(docs).alias("__lang")).join(known, "doc_id")
+
+
+class Model:
+    """Counts of all documents (r) and of the trusted (g) by bucket, and their totals."""
+
+    def __init__(self, docs: DataFrame, labelled: DataFrame, buckets: int):
+        raw = _hashed(texts(docs)).select(F.explode(_grams()).alias("h")).groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("r"))
+        trusted = _hashed(labelled.filter("__label = 1")).select(F.explode(_grams()).alias("h"))
+        good = trusted.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("g"))
+        self.buckets = buckets
+        self.table = checkpointed(raw.join(good, "bucket", "left").select("bucket", "r", F.coalesce("g", F.lit(0)).alias("g")))
+        totals = self.table.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
+        self.raw, self.good = int(totals[0]), int(totals[1])
+        self.prior = float(max(self.good, 1))
+
+    def ratio(self, g: Column) -> Column:
+        """The fixed-point log ratio of a bucket with r of the corpus and g of the trusted."""
+        ratio = (g * F.lit(float(self.raw)) / F.col("r") + self.prior) / F.lit(self.good + self.prior)
+        return F.round(F.log(ratio) * UNIT).cast("long")
+
+    def meets(self, grams: DataFrame, columns: list[str | Column]) -> DataFrame:
+        """grams (with bucket, which may be null) and `columns` of the model."""
+        table = self.table.select("bucket", *columns)
+        if self.buckets <= BROADCAST:
+            return grams.join(F.broadcast(table), "bucket", "left")
+        # More than one n-gram in 2 ** 14: at most 2 ** 14 buckets, so that none of them crowds a task.
+        often = F.broadcast(self.table.filter(F.col("r") > self.raw / (1 << 14)).select("bucket"))
+        heavy = grams.join(F.broadcast(self.table.filter(F.col("r") > self.raw / (1 << 14)).select("bucket", *columns)), "bucket")
+        rest = grams.filter("bucket IS NOT NULL").join(often, "bucket", "left_anti").join(table.hint("merge"), "bucket")
+        none = grams.filter("bucket IS NULL").select("*", *[F.lit(None).alias(c) for c in table.columns[1:]])
+        return heavy.unionByName(rest).unionByName(none)
+
+
+def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """The columns `keep` of docs (text: not null), the counts, base_failed and score: one row a row, in one reading."""
+    slim = [*keep, *COUNTS, "base_failed"]
+    # Numbered, so that equal rows stay apart; a task that is done again numbers its rows alike.
+    rows = _counted(docs, *keep).withColumn("__row", F.monotonically_increasing_id())
+    grams = rows.select("__row", *slim, F.explode_outer("__g").alias("__h")).select("__row", *slim, _bucket(F.col("__h"), model.buckets).alias("bucket"))
+    sums = model.meets(grams, [model.ratio(F.col("g")).alias("__v")]).groupBy("__row").agg(*[F.first(c).alias(c) for c in slim], F.sum("__v").alias("__t"))
+    n = F.greatest(2 * F.col("n_words") - 1, F.lit(0))
+    return sums.select(*slim, F.when(n > 0, F.col("__t") / F.lit(float(UNIT)) / n).alias("score"))
 
 
-def _counted(hashed: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep`, h, c: the distinct n-grams of each row and how often each is there, by runs of sorted hashes."""
-    df = hashed.select(*keep, F.sort_array(_grams()).alias("__s"))
+def own_scores(labelled: DataFrame, model: Model) -> DataFrame:
+    """__lang, __label, own of the labelled documents that pass the base rules: own leaves out what a trusted document itself
+    adds to the trusted counts."""
+    # The filter reads the row's number, which keeps the optimiser from copying all that base_failed takes to the scan.
+    rows = _counted(labelled, "__lang", "__label").withColumn("__row", F.monotonically_increasing_id()).filter("NOT base_failed AND __row >= 0")
+    # The distinct buckets of a row and how often each is there, by runs of the sorted ones.
+    rows = rows.select("__row", "__lang", "__label", F.sort_array(F.transform("__g", lambda h: _bucket(h, model.buckets))).alias("__s"))
     starts = F.filter(F.transform("__s", lambda _, i: i), lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
-    df = df.select(*keep, "__s", starts.alias("__i"))
-    runs = F.zip_with("__i", _tail(F.col("__i"), 2, F.size("__i") - 1), lambda a, b: F.struct(F.get("__s", a).alias("h"), (F.coalesce(b, F.size("__s")) - a).alias("c")))
-    return df.select(*keep, F.explode(runs).alias("e")).select(*keep, "e.h", "e.c")
-
-
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """__key (hash of a text), __label, score, own: own leaves out what a trusted document itself adds to the trusted counts."""
-    share = max(1, docs.count() // SAMPLE)
-    sample = texts(docs).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
-    often = _hashed(sample).select(F.explode(_grams()).alias("h")).groupBy("h").count().filter("count > 1")
-    often = checkpointed(often.orderBy(F.desc("count"), "h").limit(COMMON).select("h"))
-    hashed = _hashed(_marked(texts(docs), labels).withColumn("__key", F.xxhash64("text")), "__key", "__label")
-    trusted = F.col("__label") == 1
-    count = [F.count(F.lit(1)).alias("r"), F.count(F.when(trusted, 1)).alias("g")]
-    # The row without h counts the n-grams that are not common.
-    grams = hashed.select("__label", F.explode(_grams()).alias("h")).join(F.broadcast(often.withColumnRenamed("h", "__h")), F.col("h") == F.col("__h"), "left")
-    totals = checkpointed(grams.groupBy(F.col("__h").alias("h")).agg(*count))
-    raw, good = totals.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
-    prior = float(max(good, 1))
-
-    counted = _counted(hashed, "__key", "__label")
-    common = counted.join(F.broadcast(totals.filter("h IS NOT NULL")), "h").select("__key", "__label", "c", "r", "g")
-    of_gram = Window.partitionBy("h")
-    rare = counted.join(F.broadcast(often), "h", "left_anti")
-    rare = rare.select("__key", "__label", "c", F.sum("c").over(of_gram).alias("r"), F.sum(F.when(trusted, F.col("c")).otherwise(0)).over(of_gram).alias("g"))
-
-    def total(g: Column) -> Column:
-        return F.sum(F.col("c") * F.round(F.log((g * F.lit(float(raw)) / F.col("r") + prior) / F.lit(good + prior)) * UNIT).cast("long"))
-
-    own = F.col("g") - F.when(trusted, F.col("c")).otherwise(0)
-    sums = common.unionByName(rare).groupBy("__key", "__label").agg(total(F.col("g")).alias("t"), total(own).alias("o"), F.sum("c").alias("n"))
-    less = F.when(trusted, F.log(F.lit(good + prior) / F.greatest(F.lit(good + prior) - F.col("n"), F.lit(1.0)))).otherwise(0.0)
-    return sums.select("__key", "__label", (F.col("t") / F.lit(float(UNIT)) / F.col("n")).alias("score"), (F.col("o") / F.lit(float(UNIT)) / F.col("n") + less).alias("own"))
-
-
-def cuts(labelled: DataFrame) -> DataFrame:
-    """__lang, cut: from __lang, __label, own of labelled documents, the score that best tells the trusted from the bad."""
-    bins = labelled.groupBy("__lang", F.floor(F.col("own") * UNIT).alias("bin")).agg(F.count(F.when(F.col("__label") == 1, 1)).alias("t"), F.count(F.when(F.col("__label") == 0, 1)).alias("b"))
-    whole, upward = Window.partitionBy("__lang"), Window.partitionBy("__lang").orderBy("bin")
+    rows = rows.select("*", F.size("__s").alias("n"), starts.alias("__i"))
+    runs = F.zip_with("__i", _tail(F.col("__i"), 2, F.size("__i") - 1), lambda a, b: F.struct(F.get("__s", a).alias("bucket"), (F.coalesce(b, F.size("__s")) - a).alias("c")))
+    grams = rows.select("__row", F.xxhash64("__lang").alias("__key"), "__label", "n", F.explode(runs).alias("e")).select("__row", "__key", "__label", "n", "e.bucket", "e.c")
+    met = model.meets(grams, ["r", "g"])
+    left = F.greatest(F.col("g") - F.when(F.col("__label") == 1, F.col("c")).otherwise(0), F.lit(0))
+    sums = met.groupBy("__row").agg(F.first("__key").alias("__key"), F.first("__label").alias("__label"), F.first("n").alias("n"), F.sum(F.col("c") * model.ratio(left)).alias("t"))
+    total = F.lit(model.good + model.prior)
+    less = F.when(F.col("__label") == 1, F.log(total / F.greatest(total - F.col("n"), F.lit(1.0)))).otherwise(0.0)
+    return sums.select("__key", "__label", (F.col("t") / F.lit(float(UNIT)) / F.col("n") + less).alias("own"))
+
+
+def cuts(own: DataFrame) -> DataFrame:
+    """__key (of a language), cut: the score that best tells the trusted documents from the bad ones of that language."""
+    bins = own.groupBy("__key", F.floor(F.col("own") * UNIT).alias("bin")).agg(F.count(F.when(F.col("__label") == 1, 1)).alias("t"), F.count(F.when(F.col("__label") == 0, 1)).alias("b"))
+    whole, upward = Window.partitionBy("__key"), Window.partitionBy("__key").orderBy("bin")
     below = upward.rowsBetween(Window.unboundedPreceding, -1)
     gain = F.sum("b").over(below) / F.sum("b").over(whole) - F.sum("t").over(below) / F.sum("t").over(whole)
     both = bins.withColumn("kinds", F.least(F.sum("b").over(whole), F.sum("t").over(whole)))
-    rows = both.filter("kinds > 0").select("__lang", "bin", gain.alias("gain"), ((F.lag("bin").over(upward) + 1 + F.col("bin")) / F.lit(2.0 * UNIT)).alias("cut"))
-    best = rows.filter("gain > 0").groupBy("__lang").agg(F.max(F.struct("gain", (-F.col("bin")).alias("bin"), "cut")).alias("best"))
-    return best.select("__lang", F.col("best.cut").alias("cut"))
-
-
-def _lang(docs: DataFrame) -> Column:
-    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-
-
-def verdicts(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
-    """doc_id, __key, __lang, the base counts, base_failed, score, kept for every row of docs."""
-    keep = ("doc_id", "__key", "__lang")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang(docs).alias("__lang")).withColumn("__key", F.xxhash64("text"))
-    base = checkpointed(_repeated(_hashed(keyed, *keep), *keep, *COUNTS[:-1]).withColumn("base_failed", _failed()))
-    scores = checkpointed(scored(docs, labels))
+    rows = both.filter("kinds > 0").select("__key", "bin", gain.alias("gain"), ((F.lag("bin").over(upward) + 1 + F.col("bin")) / F.lit(2.0 * UNIT)).alias("cut"))
+    best = rows.filter("gain > 0").groupBy("__key").agg(F.max(F.struct("gain", (-F.col("bin")).alias("bin"), "cut")).alias("best"))
+    return best.select("__key", F.col("best.cut").alias("cut"))
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None, *, text_key: bool = False) -> DataFrame:
+    """doc_id, the base counts, base_failed, score, kept for every row of docs; __text, a hash of the text, if asked for."""
+    labelled = labelled_texts(docs, labels)
+    model = Model(docs, labelled, buckets or bucket_count(docs))
+    keep = ["doc_id", "__key", *["__text"] * text_key]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(_lang(docs)).alias("__key"))
+    rows = scored(rows.withColumn("__text", F.xxhash64("text")) if text_key else rows, model, *keep)
     if threshold is None:
-        labelled = _marked(base.filter("NOT base_failed").select(*keep), labels).filter("__label IS NOT NULL").join(scores, ["__key", "__label"])
-        cut = checkpointed(cuts(labelled))
-        base = base.join(F.broadcast(cut), "__lang", "left")
+        cut = checkpointed(cuts(own_scores(labelled, model)))
+        rows = rows.join(F.broadcast(cut) if cut.count() <= LANGUAGES else cut, "__key", "left")
     else:
-        base = base.withColumn("cut", F.lit(threshold))
-    rows = base.join(scores.groupBy("__key").agg(F.min("score").alias("score")), "__key", "left")
+        rows = rows.withColumn("cut", F.lit(threshold))
     kept = ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("cut"), F.lit(True))
     return rows.select(*keep, *COUNTS, "base_failed", "score", kept.alias("kept"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, score, kept for every row of docs."""
-    if buckets is None:
-        return verdicts(docs, labels, threshold).drop("__key", "__lang")
-    return judged(texts(docs), ratios(docs, labels, buckets), ("doc_id",), THRESHOLD if threshold is None else threshold)
+    """doc_id, the base counts, base_failed, score, kept for every row of docs. `buckets`: else as `bucket_count` says;
+    `threshold`: else cuts from the labels."""
+    return verdicts(docs, labels, buckets, threshold).drop("__key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None) -> DataFrame:
     """The rows of docs, all their columns, that are kept."""
-    if buckets is None:
-        # A verdict depends on text and language alone.
-        bad = verdicts(docs, labels, threshold).filter("NOT kept").select("__key", "__lang").distinct()
-        keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__lang", _lang(docs))
-        return keyed.join(bad, ["__key", "__lang"], "left_anti").select(docs.columns)
-    packed = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("__document"))
-    rows = judged(packed, ratios(docs, labels, buckets), ("__document",), THRESHOLD if threshold is None else threshold)
-    # A row number that the filter reads keeps the optimiser from copying the whole verdict, steps and all, into a filter
-    # at the scan, where each use of a step's column would compute it anew.
-    return rows.withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0").select("__document.*")
+    # A verdict depends on text and language alone; the id keeps copies apart, so that no group of them fills a task.
+    keys = ["__id", "__text", "__key"]
+    bad = verdicts(docs, labels, buckets, threshold, text_key=True).filter("NOT kept")
+    bad = bad.select(F.xxhash64("doc_id").alias("__id"), "__text", "__key").distinct()
+    keyed = docs.select("*", F.xxhash64("doc_id").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), F.xxhash64(_lang(docs)).alias("__key"))
+    return keyed.join(bad, keys, "left_anti").select(docs.columns)
