@@ -133,6 +133,32 @@ def test_classifier(spark):
     assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_classifier_against_plain_loops():
+    """Every passage is encoded, weighed and summed one at a time."""
+    m = quality_classifier.AttentionModel()
+    r = np.random.default_rng(2)
+    bags = [r.normal(size=(n, quality_classifier.FEATURES)) for n in (1, 5, 2)]
+    m.mean, m.scale = r.normal(size=quality_classifier.FEATURES), r.uniform(0.5, 2, quality_classifier.FEATURES)
+    p, want = m.p, []
+    for bag in bags:
+        encoded = [np.tanh((x - m.mean) / m.scale @ p["W"] + p["b"]) for x in bag]
+        weights = np.exp([float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]) for h in encoded])
+        z = sum(w * h for w, h in zip(weights, encoded, strict=True)) / weights.sum()
+        want.append(1 / (1 + np.exp(-float(z @ p["o"] + p["c"][0]))))
+    assert np.allclose(m.score(bags), want)
+
+
+def test_training_rows_are_bounded(spark):
+    """One row an id reaches the driver, however many rows and passages an id has."""
+    rows = [(1, f"good words {i % 3} " * 9000) for i in range(40)] + [(2, "BAD!! " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality_classifier.training_rows(docs, labels).select("doc_id").distinct().count() <= 2
+    got = quality_classifier.quality_scores(docs, labels).collect()
+    assert len(got) == 41 and len({r.score for r in got if r.doc_id == 1}) <= 3
+    assert len(quality_classifier.spread(np.zeros((500, 2)))) == quality_classifier.PASSAGES
+
+
 def test_gradient():
     m = quality_classifier.AttentionModel()
     r = np.random.default_rng(0)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,26 @@ def test_license_spans_are_complete():
         assert bool(n.spans(raw)) == bool(n.pattern.search(raw.decode()))
 
 
+def test_license_ties_and_many_hits():
+    found = [("a", 0, 10, 1), ("b", 0, 10, 1), ("c", 5, 12, 0), ("d", 12, 20, 2), ("e", 11, 30, 2)]
+    assert license_scan.best(found) == [("c", 5, 12, 0), ("d", 12, 20, 2)]
+    r = random.Random(6)
+    for _ in range(200):
+        found = [(0, a := r.randint(0, 60), a + r.randint(1, 12), r.randint(0, 2)) for _ in range(20)]
+        want: list = []
+        for x in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in want):
+                want.append(x)
+        assert license_scan.best(found) == sorted(want, key=lambda x: x[1])
+    each = license_scan.scan([license_scan.Notice(t, x) for t, x in license_scan.NOTICES.items()], license_scan.BASE)
+    text = "all rights reserved. " * 100_000
+    started = time.monotonic()
+    got = next(each({"doc_id": [1], "text": [text]}))
+    assert time.monotonic() - started < 10
+    assert (got["n_base"], len(got["spans"][0])) == ([100_000], 100_000)
+    assert [(s["start"], s["first_word"]) for s in got["spans"][0][-2:]] == [(21 * 99_998, 3 * 99_998), (21 * 99_999, 3 * 99_999)]
+
+
 def test_license_odd(odd):
     got = license_scan.digest(license_scan.license_scan(odd)).collect()
     assert len(got) == len(ODD) and sum(r.doc_id is None for r in got) == 1
@@ -220,11 +241,34 @@ def test_mixing(spark, prose, odd):
             assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == sizes[s] and 0 <= r.taken <= 2 * r["size"] for r in own)
             assert abs(sum(r.taken for r in own) - target[s]) < 1.5
         assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
+        # The stream in order of finish time, truncated at the budget, gives the same words but for the documents at the cut.
+        stream, served = [], {}
+        for r in sorted(got, key=lambda r: r.first_finish):
+            weight = r["size"] / max(r.first_finish - served.get(r.source, 0.0), 1e-9)
+            served[r.source] = r.first_finish
+            if r["size"]:
+                stream += [(r.first_finish + p * r.source_size / round(weight), r["size"], r.source) for p in (0, 1)]
+        rest, cut = 1.5 * sum(sizes.values()), {}
+        for _, n, source in sorted(stream, key=lambda x: x[0]):
+            cut[source] = cut.get(source, 0) + min(n, max(rest, 0))
+            rest -= n
+        largest = {s: max([r["size"] for r in got if r.source == s]) for s in sizes}
+        assert all(abs(cut.get(s, 0) - sum(r.taken for r in got if r.source == s)) <= sum(largest.values()) for s in sizes)
         mixed = mixing.mixed_documents(docs)
-        assert mixed.columns == docs.columns and mixed.count() > 0
+        assert mixed.columns == docs.columns
+        by_source = {}
+        for r in mixed.collect():
+            by_source[r.source] = by_source.get(r.source, 0) + words(r.text)
+        assert all(abs(by_source.get(s, 0) - target[s]) <= largest[s] for s in sizes)
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_rows_without_ids_are_spread(spark):
+    rows = spark.createDataFrame([(None, f"a b {i}", "s") for i in range(500)], "doc_id long, text string, source string")
+    served = mixing._served(rows, mixing.WEIGHTS, mixing.SHARE, mixing.PASSES, 1, mixing.SEED, False)
+    assert served.select("__bucket").distinct().count() == 16
+
+
 def xx(data, seed=42):
     return xxhash.xxh64_intdigest(data, seed)
 

@@ -14,8 +14,10 @@ overlapping spans the one with fewest edits stays, then the longer, then the fir
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,19 +94,25 @@ class Notice:
             while b < len(raw) and raw[b] & 0xC0 == 0x80:
                 b += 1
             piece = raw[a:b].decode("utf-8", "surrogatepass")
+            before, start = 0, a
             for m in self.pattern.finditer(piece):
-                start = a + len(piece[: m.start()].encode("utf-8", "surrogatepass"))
+                start += len(piece[before : m.start()].encode("utf-8", "surrogatepass"))
+                before = m.start()
                 out.append((start, start + len(m[0].encode("utf-8", "surrogatepass")), sum(m.fuzzy_counts)))
         return out
 
 
 def best(found: list[tuple]) -> list[tuple]:
     """Of overlapping (notice, start, end, edits) those with fewest edits, then the longer, then the first."""
-    out: list[tuple] = []
+    # Those chosen never overlap, so only the last one that starts before x ends can meet it.
+    starts: list[int] = []
+    chosen: dict[int, tuple] = {}
     for x in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x[1])
+        i = bisect_left(starts, x[2])
+        if not i or chosen[starts[i - 1]][2] <= x[1]:
+            insort(starts, x[1])
+            chosen[x[1]] = x
+    return [chosen[a] for a in starts]
 
 
 def normalised(text: str) -> bytes:
@@ -141,8 +149,9 @@ def scan(notices: list[Notice], base: dict[str, str]):
             spans = []
             if found:
                 words = [(m.start(), m.end()) for m in _WORD.finditer(text.translate(_UPPER))]
+                spaces = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)
                 for n, a, b, edits in best(found):
-                    first, last = raw.count(b" ", 0, a), raw.count(b" ", 0, max(a, b - 1))
+                    first, last = np.searchsorted(spaces, [a, max(a, b - 1)]).tolist()
                     spans.append({"label": n.label, "notice": n.text, "start": words[first][0], "end": words[last][1], "first_word": first, "n_words": last - first + 1, "edits": edits})
             score = max([1.0] * bool(places) + [1 - x["edits"] / len(x["notice"]) for x in spans], default=0.0)
             for k, v in (

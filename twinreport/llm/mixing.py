@@ -1,17 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing. DataFrame functions only.
 
-Every document waits in its source's queue, in an order shuffled by a hash of its id, and a queue is served again from
+Every document waits in its source's queue, in an order shuffled by a hash of its id and text, and a queue is served again from
 its start when it has been served whole, up to `passes` times. A document's virtual finish time is the words its source has
 been served with it, divided by the source's weight; serving in order of finish time gives the sources their weights. A
 source whose queue ends early leaves its share to the others, as in fair queueing. The stream is range-sorted by finish
-time and cut where the words served reach the budget; that time, the level, follows from the sources' totals alone. The
-document that a source is being served at the cut is taken in part (`mix`), or whole if at least half (`mixed_documents`).
+time and truncated where the words served reach the budget. The finish time at which that is so, the level, follows from
+the sources' totals alone, so no running sum over the stream is needed: what finishes by the level is in the mix. The
+document that a source is being served at the level is taken in part (`mix`), or whole if at least half (`mixed_documents`).
 
 The sums along a queue are taken in two steps, within buckets of the shuffled order and over the buckets' totals, so a
 source with a third of all rows is spread over many tasks.
 
 Defined results: a null text counts as empty (size 0, nothing taken); a null source is a source of its own, the last one;
-rows with a null doc_id or equal doc_ids are ordered by size and a hash of the text, and rows equal in all these are
+rows with a null doc_id or equal doc_ids are shuffled by their texts, and rows equal in both are
 interchangeable; other columns are ignored by `mix` and returned by `mixed_documents`; an empty table gives no rows;
 sources without words have target 0.
 """
@@ -39,7 +40,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """source, source_size, weight, target: one row a source.
+    """source, source_size, weight, target, level (the same in all rows): one row a source.
 
     A source's target is the lesser of `passes` times its size and level * weight, with the level at which the targets
     fill the budget: sources by ratio of limit to weight, those below the level are full.
@@ -59,15 +60,16 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     first = F.when(F.col("__level") <= F.col("__ratio"), F.struct(F.row_number().over(by_ratio).alias("n"), "__level"))
     df = df.withColumn("__first", first)
     found = F.min("__first").over(every)["__level"]
-    target = F.when(found.isNull(), F.col("__limit").cast("double")).otherwise(F.least(F.col("__limit").cast("double"), found * F.col("weight")))
-    return df.select("source", "source_size", "weight", target.alias("target"))
+    df = df.withColumn("level", F.coalesce(found, F.lit(float("inf"))))
+    target = F.least(F.col("__limit").cast("double"), F.coalesce(F.nanvl(F.col("level") * F.col("weight"), F.lit(0.0)), F.lit(0.0)))
+    return df.select("source", "source_size", "weight", target.alias("target"), "level")
 
 
 def _served(docs: DataFrame, weights: tuple[float, ...], share: float, passes: int, digits: int, seed: str, keep: bool) -> DataFrame:
     """size, its source's numbers, __upto: words of the source up to and with the row in one pass; __document if keep."""
-    shuffle = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
+    shuffle = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary"))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    columns = ["doc_id", "source", words(F.col("text")).alias("size"), key.alias("__source"), shuffle.alias("__hash"), F.xxhash64("text").alias("__text")]
+    columns = ["doc_id", "source", words(F.col("text")).alias("size"), key.alias("__source"), shuffle.alias("__hash")]
     slim = docs.select(*columns)
     if not keep:
         slim = checkpointed(slim)  # texts are read and counted once
@@ -78,15 +80,21 @@ def _served(docs: DataFrame, weights: tuple[float, ...], share: float, passes: i
     ahead = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__source", "__bucket", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__ahead"))
     sums = sums.join(sources.drop("source"), "__source")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", "doc_id", "size", "__text").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__hash").rowsBetween(Window.unboundedPreceding, 0)
     df = rows.withColumn("__bucket", bucket).withColumn("__inside", F.sum("size").over(inside)).join(sums, ["__source", "__bucket"])
     return df.withColumn("__upto", F.col("__inside") + F.col("__ahead"))
 
 
+def _finish(p: int) -> Column:
+    """Virtual finish time of the row in pass p."""
+    return (F.col("__upto") + p * F.col("source_size")) / F.col("weight")
+
+
 def _taken(p: int) -> Column:
-    """Words of the row that pass p serves before the cut."""
-    room = F.floor("target").cast("long") - p * F.col("source_size") - (F.col("__upto") - F.col("size"))
-    return F.least(F.greatest(room, F.lit(0)), F.col("size"))
+    """Words of the row that pass p serves by the level: all if it finishes by then, else what its source still has."""
+    start = F.col("__upto") - F.col("size") + p * F.col("source_size")
+    part = F.greatest(F.floor(F.col("level") * F.col("weight")).cast("long") - start, F.lit(0))
+    return F.when(_finish(p) <= F.col("level"), F.col("size")).otherwise(F.least(part, F.col("size")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, digits: int = DIGITS, seed: str = SEED) -> DataFrame:
@@ -97,13 +105,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     """
     df = _served(docs, weights, share, passes, digits, seed, keep=False)
     taken = sum((_taken(p) for p in range(passes)), F.lit(0).cast("long"))
-    df = df.select("doc_id", "source", "size", "source_size", "target", (F.col("__upto") / F.col("weight")).alias("first_finish"), taken.alias("taken"))
+    df = df.select("doc_id", "source", "size", "source_size", "target", _finish(0).alias("first_finish"), taken.alias("taken"))
     return df.orderBy("first_finish", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, digits: int = DIGITS, seed: str = SEED) -> DataFrame:
     """The mix as whole documents, all columns of docs, in order of finish time; a document served twice is there twice."""
     df = _served(docs, weights, share, passes, digits, seed, keep=True)
-    finish = [(F.col("__upto") + p * F.col("source_size")) / F.col("weight") for p in range(passes)]
-    served = F.filter(F.array(*(F.when((F.col("size") > 0) & (2 * _taken(p) >= F.col("size")), finish[p]) for p in range(passes))), lambda x: x.isNotNull())
+    served = F.filter(F.array(*(F.when((F.col("size") > 0) & (2 * _taken(p) >= F.col("size")), _finish(p)) for p in range(passes))), lambda x: x.isNotNull())
     return df.select("__document", F.explode(served).alias("__finish")).orderBy("__finish").select("__document.*")

@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE bytes. Each passage is described by c
 shares of character classes, and encoded by a learned layer. Gated attention (tanh and sigmoid branches) learned from the
 documents' labels weighs the passages; the weighted mean of their encodings is the document's, from which a logistic unit
 gives the score. Fitting uses plain numpy on the driver, on at most TRAIN labelled documents chosen by a hash of their
-id; scoring reads every whole text where it lies, without a shuffle.
+id and at most PASSAGES passages of each, evenly spread over it, so what is collected is bounded in bytes; scoring reads
+every whole text where it lies, without a shuffle.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 3 is not 1. Documents' ids, languages and sources are
 never inputs.
@@ -31,6 +32,8 @@ LEAN = 128
 HASHED = 256
 #: Labelled documents that are fitted on, at most; chosen by a hash of the id, the rarer class first up to half.
 TRAIN = 4000
+#: Passages of a document that is fitted on, at most.
+PASSAGES = 32
 WIDTH, GATE, EPOCHS, BATCH = 24, 16, 12, 64
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -147,15 +150,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> Data
     return texts(docs).join(few, "doc_id").select("doc_id", "text", "quality")
 
 
+def spread(bag: np.ndarray, most: int = PASSAGES) -> np.ndarray:
+    """At most `most` passages, evenly spread."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN) -> AttentionModel:
     """Fits on the driver; the passages of the bounded sample are described where the texts lie, so no text is collected."""
+
     def each(batch: dict[str, list]) -> Iterator[dict[str, list]]:
-        bags = [describe(t).astype(np.float32) for t in batch["text"]]
+        bags = [spread(describe(t)).astype(np.float32) for t in batch["text"]]
         yield {"doc_id": batch["doc_id"], "quality": batch["quality"], "n": [len(b) for b in bags], "bag": [b.tobytes() for b in bags]}
 
-    rows = map_batches(training_rows(docs, labels, most), lambda: each, "doc_id long, quality int, n int, bag binary").toPandas()
-    # Equal ids may have several texts: one each, in a fixed order.
-    rows = rows.sort_values(["doc_id", "n", "bag"]).drop_duplicates("doc_id")
+    rows = map_batches(training_rows(docs, labels, most), lambda: each, "doc_id long, quality int, n int, bag binary")
+    # Equal ids may have several rows and texts: one each, the least, chosen before anything is collected.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("n", "bag", "quality")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     bags = [np.frombuffer(b, np.float32).reshape(n, FEATURES).astype(float) for n, b in zip(rows["n"], rows["bag"], strict=True)]
     return AttentionModel().fit(bags, rows["quality"].to_numpy(float))
 

@@ -121,7 +121,7 @@ FROM sets x LEFT JOIN distinct_sets d ON list_sort(x.s) = d.s LEFT JOIN classes
 """,
     "op6_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', 'mix', doc_id::VARCHAR)) AS h FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws(':', 'mix', doc_id::VARCHAR, md5(text))) AS h FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighted AS (
@@ -137,7 +137,7 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN found IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, found * weight) END AS target FROM chosen
 ), served AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size, s.text ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pa_schema, texts
+from .common import checkpointed, pa_schema, texts
 from .tokens import ChunkTokenizer, default_path
 
 #: Lengths in a block of the suffix sums.
@@ -98,4 +98,5 @@ def quantile(sums: DataFrame, q: float) -> int | None:
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return suffix_sums(length_counts(docs, path))
+    """The histogram with its suffix sums. Texts are encoded once: the histogram, a row a length, is a table."""
+    return suffix_sums(checkpointed(length_counts(docs, path)))

@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never lets a token cross it, so a text's ids are those of its space-separated chunks
 in a row; a chunk that ends in a letter and punctuation marks splits there too, as the tokenizer does. Chunks repeat a
-lot; a bounded cache holds the ids of those seen, and only new words go through the library.
+lot; a bounded cache holds the ids of those seen, and only new words go through the library. Chunks over LONGEST
+characters are never held, so the cache is bounded in bytes, too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from array import array
 
 #: Chunks and words held by a worker; beyond it the cache starts afresh.
 CACHED = 500_000
+LONGEST = 64
 MARKS = ".,;:!?*#$%&|<>()[]{}=+-_/\\^~`@"
 
 
@@ -37,19 +39,23 @@ class ChunkTokenizer:
         out = []
         for text in texts:
             chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = set(chunks).difference(self.cache)
+            cache = self.cache
+            new = set(chunks).difference(cache)
             if new:
-                if len(self.cache) > CACHED:
-                    self.cache.clear()
+                if len(cache) > CACHED:
+                    cache.clear()
                     new = set(chunks)
-                self._learn(new)
-            cache = self.cache
+                long = {c for c in new if len(c) > LONGEST}
+                self._learn(new - long, cache)
+                if long:
+                    cache = {c: cache[c] for c in chunks if c in cache}
+                    self._learn(long, cache)
             out.append(b"".join([cache[c] for c in chunks]))
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds the ids of chunks; a word and the marks after it are two chunks."""
-        cache, whole, split = self.cache, set(), []
+    def _learn(self, chunks: set[str], cache: dict[str, bytes]) -> None:
+        """Adds the ids of chunks to the cache; a word and the marks after it are two chunks."""
+        whole, split = set(), []
         for chunk in chunks:
             word = chunk.rstrip(MARKS)
             if len(word) < len(chunk) and word and word[-1].isalpha() and len(word[-1].lower()) == 1 and "<|" not in chunk:
