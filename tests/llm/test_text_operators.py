@@ -134,12 +134,6 @@ def test_pii_candidates_and_redaction(spark, odd):
     assert sum(k == "secret" for k, *_ in spans) == 1
     ordered = sorted(spans, key=lambda s: s[1])
     assert all(a[2] <= b[1] for a, b in zip(ordered, ordered[1:], strict=False))
-    made = pii.examples()
-    x, y = np.array([pii.features(t, s) for t, s, _ in made]), np.array([v for *_, v in made])
-    trees, a, b, least = fitted
-    held = np.arange(len(made)) // 11 % 3 == 2
-    p = 1 / (1 + np.exp(-(a * trees.raw(x[held]) + b)))
-    assert ((p >= least) == y[held]).mean() > 0.97
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and {r.base_sha256 for r in got} == {hashlib.sha256(b"").hexdigest()}
     df = spark.createDataFrame([(1, "x +1 (743) 555-3824 y", 21, 7), (2, None, None, 8)], "doc_id long, text string, n_chars long, spans int")

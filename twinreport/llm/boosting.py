@@ -67,13 +67,16 @@ class Boosted:
 
 
 def platt(raw: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """a, b so that 1 / (1 + exp(-(a * raw + b))) is calibrated: Newton's steps on the logistic loss."""
-    t = np.array([1.0, 0.0])
+    """a, b so that 1 / (1 + exp(-(a * raw + b))) is calibrated: Newton's steps on the logistic loss, halved until it falls."""
     x = np.stack([raw, np.ones_like(raw)], axis=1)
+    loss = lambda t: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (x @ t)).sum() + 5e-4 * t @ t
+    t = np.array([1.0, 0.0])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        grad = x.T @ (p - y) + 1e-3 * t
-        t = t - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - y) + 1e-3 * t)
+        while np.abs(step).max() > 1e-9 and loss(t - step) > loss(t):
+            step = step / 2
+        t = t - step
     return float(t[0]), float(t[1])
 
 

@@ -3,11 +3,13 @@
 Generators propose candidates liberally and may overlap: loose telephone numbers, social security numbers, bank accounts,
 spelled-out e-mail addresses, long random strings. Trees boosted on features of a candidate's format (length, digits,
 separators, entropy, check digits) and of its context (words and characters beside it) score each; the scores are
-calibrated and cut at the threshold that reached a set precision on spans held out of training. Of overlapping selected
-spans the likeliest stays. Base spans always stay, and a selected span never overlaps one.
+calibrated and cut at the threshold that reached a set precision on sentences whose whole template was held out of
+training. Of overlapping selected spans the likeliest stays. Base spans always stay, and a selected span never overlaps one.
 
-No table has labels for spans, so the trees learn from sentences composed by a seeded rule (`examples`), whose number is
-the parameter EXAMPLES; texts of the corpus are never used to fit.
+No table has labels for spans, so the trees learn from sentences composed by a seeded rule (`examples`) from templates of
+personal data and of look-alikes; their number is the parameter EXAMPLES. Templates fall into FOLDS parts: scores for
+calibration and threshold come from trees that saw no sentence of the template (`held_out_scores`, which also gives the
+precision by kind). Texts of the corpus are never used to fit.
 
 Defined results: a null text counts as empty; an empty text has no spans; a null doc_id is returned as null; repeated rows
 each give a row; other columns are ignored by `find_pii` and returned by `redacted`, where n_chars (if there) follows the
@@ -20,8 +22,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -40,9 +43,10 @@ ORDER = {k: i for i, k in enumerate(KINDS + MORE)}
 
 EXAMPLES = 4000
 PRECISION = 0.99
+FOLDS = 4
 CONTEXT = 24
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -55,8 +59,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _LOOSE = (
-    ("phone", re.compile(r"(?<![0-9+])(?:\+?1[ .-])?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9])0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,5}(?![0-9])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\+?1[ .-])?\(?[2-9][0-9]{2}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,5}(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
 )
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -116,29 +120,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[Span]:
-    """Proposed spans of any kind, overlaps and repeats included; at every digit and every spelled at sign of the text."""
-    out: set[Span] = set()
-    seen = 0
+    """Proposed spans of any kind, overlaps included, from the whole text."""
+    out: set[Span] = {("secret", *m.span()) for m in _RANDOM.finditer(text)}
+    out.update(("account", *m.span()) for m in _ACCOUNT.finditer(text))
     for area in _LOOSE_AREA.finditer(text):
         a, b = area.span()
         if b - a >= 7:
             for kind, pattern in _LOOSE:
                 out.update((kind, *m.span()) for m in pattern.finditer(text, max(0, a - 1), b))
-    for area in _AREA.finditer(text):
-        a = area.start()
-        if a >= seen:
-            start, end = a, a
-            while start > 0 and (text[start - 1] in _LOCAL and text[start - 1] not in ".%+"):
-                start -= 1
-            m = _RANDOM.match(text, start)
-            if m and m.end() > a:
-                end = m.end()
-                out.add(("secret", start, end))
-            seen = max(seen, end)
-        if a >= 2 and text[a - 2 : a].isupper():
-            m = _ACCOUNT.match(text, a - 2)
-            if m:
-                out.add(("account", *m.span()))
     for sign in _SIGN.finditer(text):
         start = sign.start()
         while start > 0 and text[start - 1] in _LOCAL:
@@ -179,78 +168,143 @@ def features(text: str, span: Span) -> list[float]:
         float(left[-1:] in "#/_.-$" and bool(left)),
         float("=" in left[-6:] or ":" in left[-6:]),
         float(right[:1].isalnum()),
+        float(s[-2:].isalpha()),
+        float(s[:1].isalpha()),
     ]
 
 
-def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, Span, int]]:
-    """(text, span, whether it is personal or secret) composed by a seeded rule, half of them look-alikes."""
-    r = random.Random(seed)
+def templates(r: random.Random) -> list[tuple[int, str, Callable[[], tuple[str, str]]]]:
+    """(1 if personal or secret, kind, what makes a lead and a span of it): each is held out as a whole."""
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     mixed = lambda k: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(k))
-    word = lambda: "".join(r.choice(("an", "er", "th", "le", "on", "de", "is", "to", "re", "qu", "en", "st")) for _ in range(r.randint(1, 4)))
-    prose = lambda: " ".join(word() for _ in range(r.randint(2, 8)))
-    q = lambda: r.choice(('"', "'", ""))
-    made = (
-        (1, lambda: (r.choice(("call ", "phone: ", "tel ", "mobile ", "contact us at ", "")), "phone", r.choice((f"({r.randint(2, 9)}{d(2)}) {d(3)}-{d(4)}", f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}")))),
-        (0, lambda: (r.choice(("order ", "part no ", "invoice #", "isbn ", "serial ", "build ")), "phone", r.choice((f"{r.randint(2, 9)}{d(9)}", f"{r.randint(2, 9)}{d(2)}-{d(3)}-{d(4)}", f"0{d(3)} {d(4)}{d(3)}")))),
-        (1, lambda: (r.choice(("ssn ", "social security number: ", "ssn: ")), "ssn", f"{d(3)}-{d(2)}-{d(4)}")),
-        (0, lambda: (r.choice(("part ", "model ", "ticket ", "id ")), "ssn", f"{d(3)}-{d(2)}-{d(4)}")),
-        (1, lambda: (r.choice(("token = ", "secret: ", "api key = ", "password=", "auth token ", "bearer ")), "secret", r.choice((hexes(r.choice((32, 40, 64))), mixed(r.randint(20, 48)))))),
-        (0, lambda: (r.choice(("commit ", "sha ", "md5 ", "checksum: ", "version ", "build ")), "secret", r.choice((hexes(r.choice((32, 40, 64))), "-".join(word() + d(1) for _ in range(5)) + word() * 3)))),
-        (0, lambda: ("", "secret", (word() * 9 + d(2))[: r.randint(20, 30)].ljust(20, "a") + d(1))),
-        (1, lambda: (r.choice(("iban ", "account: ", "bank transfer to ", "")), "account", r.choice(("DE", "FR", "ES", "GB")) + d(2) + "".join(" " + d(4) for _ in range(r.randint(3, 5))))),
-        (0, lambda: (r.choice(("model ", "part ", "serial ")), "account", r.choice(("XK", "ZZ", "QA")) + d(2) + mixed(4).upper() + mixed(4).upper())),
-        (1, lambda: ("", "email", f"{word()}{r.choice(('', '.' + d(2), '.' + word()))} {r.choice(('(at)', '[at]'))} {word()}{r.choice(('.com', ' [dot] org', '.example.net'))}")),
-        (0, lambda: ("", "email", f"{word()} (at) {word()}.{word()}.{word()}.{word()}")),
-    )
+    letters = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
+    area = lambda: f"{r.randint(2, 9)}{d(2)}"
+    digest = lambda: hexes(r.choice((32, 40, 64)))
+    one = r.choice
+    return [
+        (1, "phone", lambda: (one(("call ", "phone: ", "tel ", "")), f"({area()}) {d(3)}-{d(4)}")),
+        (1, "phone", lambda: (one(("mobile ", "contact us at ", "cell: ")), f"{area()}-{d(3)}-{d(4)}")),
+        (1, "phone", lambda: (one(("call ", "whatsapp ", "sms to ")), f"{area()}.{d(3)}.{d(4)}")),
+        (1, "phone", lambda: (one(("call ", "phone ", "", "or ")), f"+1 ({area()}) {d(3)}-{d(4)}")),
+        (1, "phone", lambda: (one(("tel ", "fax: ", "telephone ")), f"0{d(3)} {d(3)} {d(4)}")),
+        (1, "phone", lambda: (one(("phone ", "tel: ", "contact ")), f"0{d(3)}/{d(3)}{d(4)}")),
+        (0, "phone", lambda: (one(("order ", "part no ", "invoice #")), f"{area()}{d(7)}")),
+        (0, "phone", lambda: (one(("isbn ", "serial ", "build ")), f"{area()}-{d(3)}-{d(4)}")),
+        (0, "phone", lambda: (one(("ticket ", "model ", "version ")), f"{area()}.{d(3)}.{d(4)}")),
+        (0, "phone", lambda: (one(("id ", "page ", "invoice ")), f"0{d(3)} {d(4)}{d(3)}")),
+        (0, "phone", lambda: (one(("order ", "date ", "build ")), f"0{d(2)}/{d(3)}{d(4)}")),
+        (1, "ssn", lambda: (one(("ssn ", "ssn: ", "SSN = ")), f"{d(3)}-{d(2)}-{d(4)}")),
+        (1, "ssn", lambda: (one(("social security number: ", "social security no ")), f"{d(3)}-{d(2)}-{d(4)}")),
+        (0, "ssn", lambda: (one(("part ", "model ", "serial ")), f"{d(3)}-{d(2)}-{d(4)}")),
+        (0, "ssn", lambda: (one(("ticket ", "id ", "order ")), f"{d(3)}-{d(2)}-{d(4)}")),
+        (1, "secret", lambda: (one(("token = ", "secret: ", "token: ")), one((digest(), mixed(r.randint(20, 48)))))),
+        (1, "secret", lambda: (one(("api key = ", "password=", "passwd: ")), one((digest(), mixed(r.randint(20, 48)))))),
+        (1, "secret", lambda: (one(("auth token ", "bearer ", "credential ")), one((digest(), mixed(r.randint(24, 48)))))),
+        (1, "secret", lambda: (one(("secret key: ", "key=", "pwd = ")), letters(r.randint(24, 40)))),
+        (1, "secret", lambda: (f"{word()}_{one(('key', 'token', 'secret'))}=", one((digest(), mixed(r.randint(20, 48)))))),
+        (0, "secret", lambda: (one(("commit ", "sha ", "md5 ")), digest())),
+        (0, "secret", lambda: (one(("checksum: ", "hash ", "sha: ")), digest())),
+        (0, "secret", lambda: (one(("version ", "build ", "see ")), "-".join(word() + d(1) for _ in range(5)) + word() * 3)),
+        (0, "secret", lambda: (one(("", "/", "the ")), "-".join(word() for _ in range(8)).ljust(20, "e"))),
+        (0, "secret", lambda: (one(("", "call ", "def ")), "_".join(word() for _ in range(8)).ljust(20, "e"))),
+        (0, "secret", lambda: ("", "".join(word() for _ in range(9)).ljust(20, "a"))),
+        (0, "secret", lambda: ("", (word() * 9 + d(2))[: r.randint(20, 30)].ljust(20, "a") + d(1))),
+        (0, "secret", lambda: ("", one("-_=") * r.randint(20, 60) if r.random() < 0.7 else one("aehmox") * r.randint(20, 60))),
+        (0, "secret", lambda: (one(("id ", "uuid ", "page ")), "-".join((hexes(8), hexes(4), hexes(4), hexes(4), hexes(12))))),
+        (1, "account", lambda: (one(("iban ", "account: ", "")), one(COUNTRIES) + d(2) + "".join(" " + d(4) for _ in range(r.randint(3, 5))))),
+        (1, "account", lambda: (one(("bank transfer to ", "pay to ", "IBAN: ")), one(COUNTRIES) + d(2) + d(4) * r.randint(3, 5))),
+        (0, "account", lambda: (one(("model ", "part ")), one(("XK", "ZZ", "QA")) + d(2) + mixed(4).upper() + mixed(4).upper())),
+        (0, "account", lambda: (one(("serial ", "build ", "version ")), one(("XK", "ZZ", "QA")) + d(2) + " " + mixed(4).upper() + " " + d(4))),
+        (1, "email", lambda: ("", f"{word()}{one(('', '.' + d(2), '.' + word()))} (at) {word()}{one(('.com', '.example.net'))}")),
+        (1, "email", lambda: (one(("mail ", "")), f"{word()}{one(('', '_' + word()))} [at] {word()}{one((' [dot] org', '.net'))}")),
+        (1, "email", lambda: (one(("write to ", "")), f"{word()}.{word()} (at) {word()} [dot] {word()}.org")),
+        (0, "email", lambda: ("", f"{word()} (at) {d(1)}.{d(1)}.{d(2)}")),
+        (0, "email", lambda: (one(("version ", "build ")), f"{word()} [at] {d(2)}.{d(1)}")),
+        (0, "email", lambda: (one(("page ", "see ")), f"{d(2)} (at) {d(2)}.{d(2)}")),
+    ]
+
+
+#: Parts of made-up words, and countries of made-up accounts.
+SYLLABLES = ("an", "er", "th", "le", "on", "de", "is", "to", "re", "qu", "en", "st")
+COUNTRIES = ("DE", "FR", "ES", "GB")
+
+
+def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[str, Span, int, int]]:
+    """(text, span, whether it is personal or secret, template) composed by a seeded rule."""
+    r = random.Random(seed)
+    made = templates(r)
+    prose = lambda: " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 8)))
     out = []
     for i in range(n):
-        y, make = made[i % len(made)]
-        lead, kind, s = make()
-        mark = q() if lead.endswith(("= ", ": ", "=")) else ""
+        y, kind, make = made[i % len(made)]
+        lead, s = make()
+        mark = r.choice(('"', "'", "")) if lead.endswith(("= ", ": ", "=")) else ""
         before = f"{prose()} {lead}{mark}"
-        out.append((f"{before}{s}{mark} {prose()}", (kind, len(before), len(before) + len(s)), y))
+        out.append((f"{before}{s}{mark} {prose()}", (kind, len(before), len(before) + len(s)), y, i % len(made)))
     return out
 
 
+@cache
+def held_out_scores(n: int = EXAMPLES) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Raw scores, truth and kind of every example by trees that were fitted without its template."""
+    made = examples(n)
+    x, y = np.array([features(t, s) for t, s, *_ in made]), np.array([v for *_, v, _ in made], float)
+    template, raw = np.array([t for *_, t in made]), np.zeros(n)
+    for fold in range(FOLDS):
+        held = template % FOLDS == fold
+        raw[held] = Boosted().fit(x[~held], y[~held]).raw(x[held])
+    return raw, y, [s[0] for _, s, *_ in made]
+
+
 @cache
 def model(n: int = EXAMPLES, precision: float = PRECISION) -> tuple[Boosted, float, float, float]:
-    """The trees, the calibration a, b, and the threshold: fitted on two thirds of the examples, set on the rest."""
+    """The trees, fitted on all examples; calibration a, b and threshold, set on the held-out scores."""
     made = examples(n)
-    x = np.array([features(t, s) for t, s, _ in made])
-    y = np.array([v for *_, v in made], float)
-    held = np.arange(n) // 11 % 3 == 2
-    trees = Boosted().fit(x[~held], y[~held])
-    raw = trees.raw(x[held])
-    a, b = platt(raw, y[held])
-    return trees, a, b, threshold(1 / (1 + np.exp(-(a * raw + b))), y[held], precision)
+    trees = Boosted().fit(np.array([features(t, s) for t, s, *_ in made]), np.array([v for *_, v, _ in made], float))
+    raw, y, _ = held_out_scores(n)
+    a, b = platt(raw, y)
+    return trees, a, b, threshold(1 / (1 + np.exp(-(a * raw + b))), y, precision)
+
+
+def free(starts: list[int], ends: list[int], a: int, b: int) -> bool:
+    """Whether a:b meets none of the disjoint spans starts:ends, which ascend."""
+    i = bisect_left(starts, b)
+    return not i or ends[i - 1] <= a
+
+
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint areas that spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def selected(text: str, base: list[Span], fitted: tuple[Boosted, float, float, float]) -> list[tuple[Span, float]]:
     """Added spans and their probabilities, without overlaps among themselves or with base spans."""
-    found = candidates(text)
-    taken = sorted((a, b) for _, a, b in base)
-    if taken:
-        found = [s for s in found if not any(s[1] < b and a < s[2] for a, b in taken)] if len(taken) < 64 else [s for s in found if not _hits(taken, s)]
+    starts, ends = merged(base)
+    found = [s for s in candidates(text) if free(starts, ends, s[1], s[2])]
     if not found:
         return []
     trees, a, b, least = fitted
-    p = 1 / (1 + np.exp(-(a * trees.raw(np.array([features(text, s) for s in found])) + b)))
+    p = 1 / (1 + np.exp(-np.clip(a * trees.raw(np.array([features(text, s) for s in found])) + b, -500, 500)))
     out: list[tuple[Span, float]] = []
+    starts, ends = [], []
     for i in sorted(np.flatnonzero(p >= least), key=lambda i: (-p[i], found[i][1], found[i])):
-        if all(found[i][2] <= s[1] or s[2] <= found[i][1] for s, _ in out):
+        if free(starts, ends, found[i][1], found[i][2]):
+            insort(starts, found[i][1])
+            insort(ends, found[i][2])
             out.append((found[i], float(p[i])))
     return out
 
 
-def _hits(taken: list[tuple[int, int]], span: Span) -> bool:
-    from bisect import bisect_left
-
-    i = bisect_left(taken, (span[2], -1))
-    return any(a < span[2] and span[1] < b for a, b in taken[max(0, i - 8) : i])
-
-
 def spans_of(text: str, fitted: tuple[Boosted, float, float, float]) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans, each by kind, then start."""
     base = base_spans(text)
@@ -262,7 +316,8 @@ def listed(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
-    """One row per row of docs: base counts, the digest of the base spans, and all spans as kind:start:end."""
+    """One row per row of docs: base counts, the digest of the base spans, all spans as kind:start:end, how many the trees
+    added and how many there are."""
     fitted = model(EXAMPLES, precision)
 
     def each(batch: dict[str, list]) -> Iterator[dict[str, list]]:
@@ -275,6 +330,8 @@ def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
                 out[f"n_{k}"].append(n[k])
             out["base_sha256"].append(hashlib.sha256(listed(base).encode()).hexdigest())
             out["spans"].append(listed(spans))
+            out["n_added"].append(len(spans) - len(base))
+            out["n_spans"].append(len(spans))
         yield out
 
     return map_batches(texts(docs), lambda: each, SCHEMA)
