@@ -178,7 +178,7 @@ def test_gradient():
 
 
 def test_tool_calls(spark):
-    schemas = {"add": (("a",), {"a": "BIGINT", "note": "STRING"})}
+    schemas = {"add": (("a",), {"a": "integer", "note": "string"})}
     calls = [
         (1, "x", 5, "add", '{"note":"n", "a" : 1}', []),
         (1, "y", 1, "add", '{"a":"1"}', ["x", None, "x"]),
@@ -192,21 +192,101 @@ def test_tool_calls(spark):
         (2, "x", None, None, '{"a":3}', None),
     ]
     results = [(1, "x", 6, 'said "é"\n'), (1, "x", 8, "late"), (1, "c", 6, "r"), (1, "nobody", 1, "o"), (None, "x", 1, "o")]
-    c = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>").withColumn("level", F.lit("clash"))
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, position long, name string, arguments string, depends_on array<string>").withColumn("level", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("k", F.lit("clash"))
     r = spark.createDataFrame(results, "conv_id long, call_id string, position long, content string")
-    got = {(x.conv_id, x.call_id): x for x in tool_calls.link_tool_calls(c.drop("level"), r, schemas).collect()}
+    got = {(x.conv_id, x.call_id): x for x in tool_calls.link_tool_calls(c, r.withColumn("level", F.lit(1)), schemas).collect()}
     assert set(got) == {(1, k) for k in ("x", "y", "z", "c", "d", "m", "nobody")} | {(2, "x")}
     x = got[1, "x"]
     assert (x.status, x.level, x.place, x.valid, x.n_copies, x.n_results) == ("linked", 0, 0, True, 2, 2)
     assert x.line == '{"arguments":{"a":1,"note":"n"},"depends_on":[],"id":"x","name":"add","result":"said \\"é\\"\\n"}' and json.loads(x.line)["result"] == 'said "é"\n'
     assert (got[1, "y"].status, got[1, "y"].level, got[1, "y"].place, got[1, "y"].valid) == ("no_result", 1, 1, False)
     assert (got[1, "z"].level, got[1, "z"].place, got[1, "z"].valid) == (2, 2, False)
-    assert got[1, "c"].status == "circular" and got[1, "c"].level is None and got[1, "m"].valid is False
+    assert got[1, "c"].status == "blocked" and got[1, "c"].level is None and got[1, "m"].valid is False
     assert got[1, "nobody"].status == "orphan_result" and got[1, "nobody"].line is None
     assert got[2, "x"].level == 0 and got[2, "x"].valid is False
     assert tool_calls.link_tool_calls(c.limit(0), r.limit(0), schemas).count() == 0
 
 
+def test_canonical_json(spark):
+    rows = [
+        ('{"b":1e2,"a":[1.50, 2.0,-0,0.0]}', '{"a":[1.5,2,0,0],"b":100}'),
+        ('{"a":100}', '{"a":100}'),
+        ('{"a":1e400}', None),
+        ('{"a":"1e400 \\\\ \\" 2.0, \\\\\\" 3.0","2.0":1e20}', '{"2.0":100000000000000000000,"a":"1e400 \\\\ \\" 2.0, \\\\\\" 3.0"}'),
+        ('{"a":1E-7,"b":1e40}', '{"a":0.0000001,"b":1.0E40}'),
+        ('{"a":true,"b":null}', '{"a":true,"b":null}'),
+        ('{"a":1,"a":2}', None),
+        ("nope", None),
+        (None, None),
+    ]
+    got = spark.createDataFrame([(x,) for x, _ in rows], "j string").select("j", tool_calls.canonical(F.col("j")).alias("c")).collect()
+    assert {r.j: r.c for r in got} == dict(rows)
+    kinds = {"s": "string", "i": "integer", "n": "number", "b": "boolean", "o": "object", "a": "array", "z": "null"}
+    values = {"s": '"x"', "i": "1.0", "n": "1.5", "b": "false", "o": '{"q":[1]}', "a": "[]", "z": "null"}
+    texts = [(k, v, f'{{"{k}":{x}}}') for k in kinds for v, x in values.items()]
+    df = spark.createDataFrame(texts, "k string, v string, j string")
+    for k in kinds:
+        got = df.filter(F.col("k") == k).select("v", tool_calls.valid(F.lit("t"), tool_calls.canonical(F.col("j")), {"t": ((k,), {k: kinds[k]})}).alias("ok")).collect()
+        assert {r.v for r in got if r.ok} == ({"i", "n"} if k == "n" else {k}), k
+
+
+def brute_levels(needs):
+    out = {}
+    while True:
+        new = {c: 1 + max((out[d] for d in ds), default=-1) for c, ds in needs.items() if c not in out and all(d in out for d in ds)}
+        if not new:
+            return out
+        out |= new
+
+
+def test_levels_against_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for conv in range(30):
+        n = r.randint(1, 14)
+        for i in range(n):
+            ds = [f"c{r.randint(0, n if r.random() < 0.05 else max(i - 1, 0))}" for _ in range(r.randint(0, 3))] if i else []
+            rows.append((conv, f"c{i}", ds))
+    # A ladder of parallel calls, and a long chain that names the last two each.
+    rows += [(100, f"c{i}_{j}", [f"c{i - 1}_{k}" for k in range(4)] if i else []) for i in range(12) for j in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    got = {(x.conv_id, x.call_id): x.level for x in tool_calls.levels(df).collect()}
+    want = {}
+    for conv in {c for c, *_ in rows}:
+        own = brute_levels({i: set(d) for c, i, d in rows if c == conv})
+        want |= {(conv, i): v for i, v in own.items()}
+    assert got == want
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 5000, []
+    rows = [(1, f"c{i}", [f"c{i - k}" for k in (1, 2) if i >= k]) for i in range(n)] + [(1, "loop", ["loop"]), (1, "ring", ["loop"])]
+    df = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    real = tool_calls.checkpointed
+    monkeypatch.setattr(tool_calls, "checkpointed", lambda d: rounds.append(1) or real(d))
+    got = {x.call_id: x.level for x in tool_calls.levels(df).collect()}
+    assert got == {f"c{i}": i for i in range(n)} and len(rounds) < 4 * 20
+
+
+def test_every_status_and_turn(spark):
+    rows = [(c, t, "system" if t == 0 else "user" if t % 2 else "assistant", None if (c, t) == (3, 1) else f"say {c} {t} \"2.0\"\n" * (4000 if c == 5 else 1)) for c in range(40) for t in range(7)]
+    rows += [(1, 90, "tool", "x"), (1, 90, "tool", "y"), (2, 91, None, "z"), (None, 1, "user", "n"), (4, None, "user", "n"), (7, 50, "assistant", "orphan"), (8, 60, "user", "unanswered"), (9, 1, "user", "say 9 1 again")]
+    rows.append((50, 1, "user", '{"name":"answer","arguments":{"turn":1e0,"prompt":"p"}}'))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit("clash"))
+    got = {(x.conv_id, x.call_id): x for x in tool_calls.chat_calls(df).collect()}
+    assert {x.status for x in got.values()} == {"linked", "no_result", "blocked", "orphan_result", "not_a_call"}
+    assert got[1, "turn_90"].n_copies == 2 and got[2, "turn_91"].status == "not_a_call" and got[9, "call_1"].n_copies == 2
+    assert got[50, "call_1"].valid and json.loads(got[50, "call_1"].line)["arguments"] == {"prompt": "p", "turn": 1}
+    assert not got[3, "call_1"].valid
+    for (c, i), x in got.items():
+        kind = (7 * c + int(i.split("_")[1])) % 20
+        if x.status not in ("orphan_result", "not_a_call") and c != 50:
+            assert x.valid == (kind not in (0, 1, 2, 6) and (c, i) != (3, "call_1")), (c, i)
+            assert (json.loads(x.line)["arguments"] is None) == (kind == 6)
+            if kind in (3, 4):
+                assert x.level is None
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(3)
     word = lambda: "".join(r.choice(["an", "er", "th", "le"]) for _ in range(r.randint(1, 4)))

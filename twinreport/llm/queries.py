@@ -59,37 +59,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": r"""
 WITH RECURSIVE asks AS (
-  SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'system') AND turn IS NOT NULL AND conv_id IS NOT NULL
+  SELECT conv_id, turn, role = 'user' AS is_user, text, ((conv_id * 7 + turn) % 20 + 20) % 20 AS kind, coalesce(to_json(text)::VARCHAR, 'null') AS said
+  FROM conversations WHERE role IN ('user', 'system') AND turn IS NOT NULL AND conv_id IS NOT NULL
+), made AS (
+  SELECT *, CASE WHEN is_user THEN 'answer' ELSE 'configure' END AS name,
+    CASE WHEN kind = 6 THEN 'not JSON: ' || coalesce(text, '') WHEN is_user THEN '{' || CASE kind WHEN 0 THEN '' WHEN 1 THEN '"turn":"' || turn || '",' WHEN 5 THEN '"turn":' || turn || '.0,' ELSE '"turn":' || turn || ',' END
+      || '"prompt":' || said || CASE kind WHEN 2 THEN ',"mood":true}' ELSE '}' END
+      ELSE CASE kind WHEN 0 THEN '{}' WHEN 1 THEN '{"rules":' || turn || '}' WHEN 2 THEN '{"rules":' || said || ',"mood":true}' ELSE '{"rules":' || said || '}' END END AS arguments,
+    CASE WHEN kind = 6 THEN 'null' WHEN is_user THEN '{' || CASE kind WHEN 2 THEN '"mood":true,' ELSE '' END || '"prompt":' || said || CASE kind WHEN 0 THEN '}' WHEN 1 THEN ',"turn":"' || turn || '"}' ELSE ',"turn":' || turn || '}' END
+      ELSE CASE kind WHEN 0 THEN '{}' WHEN 1 THEN '{"rules":' || turn || '}' WHEN 2 THEN '{"mood":true,"rules":' || said || '}' ELSE '{"rules":' || said || '}' END END AS canonical
+  FROM asks
 ), numbered AS (
-  SELECT *, CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END AS name, count(*) OVER (PARTITION BY conv_id, turn) AS n_copies,
-    row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'answer' ELSE 'configure' END,
-      CASE role WHEN 'user' THEN '{"turn":' || turn || ',"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') ELSE '{"rules":' || coalesce(to_json(text)::VARCHAR, 'null') END) AS k FROM asks
+  SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n_copies, row_number() OVER (PARTITION BY conv_id, turn ORDER BY name, arguments) AS k FROM made
 ), calls AS (
-  SELECT conv_id, turn, name, text, n_copies FROM numbered WHERE k = 1
+  SELECT conv_id, turn, name, text, kind, canonical, n_copies FROM numbered WHERE k = 1
 ), needs AS (
   SELECT a.conv_id, a.turn, b.turn AS needed FROM calls a JOIN calls b ON a.conv_id = b.conv_id AND b.turn IN (a.turn - 1, a.turn - 2)
+), blocked AS (
+  SELECT conv_id, turn FROM calls WHERE kind IN (3, 4)
+  UNION
+  SELECT n.conv_id, n.turn FROM blocked x JOIN needs n ON n.conv_id = x.conv_id AND n.needed = x.turn
 ), walks AS (
   SELECT conv_id, turn, 0 AS level FROM calls
   UNION
   SELECT n.conv_id, n.turn, w.level + 1 FROM walks w JOIN needs n ON n.conv_id = w.conv_id AND n.needed = w.turn
 ), leveled AS (
-  SELECT conv_id, turn, max(level) AS level FROM walks GROUP BY conv_id, turn
+  SELECT conv_id, turn, max(level)::BIGINT AS level FROM walks ANTI JOIN blocked USING (conv_id, turn) GROUP BY conv_id, turn
+), placed AS (
+  SELECT c.conv_id, c.turn, l.level, row_number() OVER (PARTITION BY c.conv_id ORDER BY l.level, c.turn) - 1 AS place FROM calls c JOIN leveled l USING (conv_id, turn)
+), ids AS (
+  SELECT conv_id, turn, 'call_' || needed AS id FROM needs
+  UNION SELECT conv_id, turn, 'call_missing' FROM calls WHERE kind = 3
+  UNION SELECT conv_id, turn, 'call_' || turn FROM calls WHERE kind = 4
 ), lists AS (
-  SELECT conv_id, turn, string_agg('"call_' || needed || '"', ',' ORDER BY 'call_' || needed) AS l FROM needs GROUP BY conv_id, turn
+  SELECT conv_id, turn, string_agg('"' || id || '"', ',' ORDER BY id) AS l FROM ids GROUP BY conv_id, turn
 ), answered AS (
   SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations
   WHERE role = 'assistant' AND turn IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id, turn - 1
 )
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'call_' || coalesce(c.turn, r.turn) AS call_id,
-  CASE WHEN c.turn IS NULL THEN 'orphan_result' WHEN r.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
-  l.level::BIGINT AS level,
-  CASE WHEN c.turn IS NOT NULL THEN row_number() OVER (PARTITION BY c.conv_id ORDER BY l.level, c.turn) - 1 END AS place,
-  CASE WHEN c.turn IS NOT NULL THEN c.text IS NOT NULL END AS valid,
+  CASE WHEN c.turn IS NULL THEN 'orphan_result' WHEN r.turn IS NULL THEN 'no_result' WHEN p.level IS NULL THEN 'blocked' ELSE 'linked' END AS status,
+  p.level AS level, p.place AS place,
+  CASE WHEN c.turn IS NOT NULL THEN CASE WHEN kind IN (0, 1, 2, 6) THEN false ELSE c.text IS NOT NULL END END AS valid,
   coalesce(c.n_copies, 0)::BIGINT AS n_copies, coalesce(r.n_results, 0)::BIGINT AS n_results,
-  CASE WHEN c.turn IS NOT NULL THEN '{"arguments":' || CASE c.name WHEN 'answer' THEN '{"prompt":' || coalesce(to_json(c.text)::VARCHAR, 'null') || ',"turn":' || c.turn ELSE '{"rules":' || coalesce(to_json(c.text)::VARCHAR, 'null') END
-    || '},"depends_on":[' || coalesce(x.l, '') || '],"id":"call_' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' END AS line
+  CASE WHEN c.turn IS NOT NULL THEN '{"arguments":' || c.canonical || ',"depends_on":[' || coalesce(x.l, '') || '],"id":"call_' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' END AS line
 FROM calls c FULL JOIN answered r ON c.conv_id = r.conv_id AND c.turn = r.turn
-LEFT JOIN leveled l ON l.conv_id = c.conv_id AND l.turn = c.turn LEFT JOIN lists x ON x.conv_id = c.conv_id AND x.turn = c.turn
+LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn LEFT JOIN lists x ON x.conv_id = c.conv_id AND x.turn = c.turn
+UNION ALL
+SELECT conv_id, 'turn_' || turn, 'not_a_call', NULL, NULL, NULL, count(*)::BIGINT, 0::BIGINT, NULL FROM conversations
+WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND coalesce(role NOT IN ('user', 'system', 'assistant'), true) GROUP BY conv_id, turn
 """,
     "op4_ngram_join": r"""
 WITH RECURSIVE split AS (
