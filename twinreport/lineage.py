@@ -46,15 +46,20 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", pieces: int = PIECES, few: int = FEW) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, pieces: int = PIECES, few: int = FEW) -> DataFrame:
     """left joined (inner or left) with right, which has one row for each key.
 
     The keys that hold more than one of `pieces` parts of left's rows, at most `pieces` of them, are split by a hash of
-    the row, and their rows of right are there once for each piece. left is read twice, so it should be a table.
+    the row, and their rows of right are there once for each piece. left is read twice, so it should be a table; counts
+    (keys and __m, left's rows of each key), if known, saves that.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")).filter(F.col("__m") > few)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")) if counts is None else counts
+    # What is too much is known only with the total, so the keys in question are a small table first.
+    many = checkpointed(counts.select(*keys, "__m").filter(F.col("__m") > few))
+    if many.isEmpty():
+        return left.join(right, keys, how)
     share = max(few, left.count() // pieces)
-    hot = checkpointed(counts.filter(F.col("__m") > share).select(*keys, F.ceil(F.col("__m") / F.lit(share)).cast("int").alias("__pieces")))
+    hot = many.filter(F.col("__m") > share).select(*keys, F.ceil(F.col("__m") / F.lit(share)).cast("int").alias("__pieces"))
     if hot.isEmpty():
         return left.join(right, keys, how)
     hot = F.broadcast(hot)  # at most `pieces` rows
