@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a graph by NN-descent, queries by greedy search in it. Euclidean distance.
 
 The graph starts from blocks of vectors that lie side by side in a few random projections. Each round of descent is a Spark
-join of neighbours of neighbours: every vector sends itself to the nodes that it lists and to (at most DEGREE, the nearest)
-nodes that list it; those who meet at a node learn of each other. Rounds end when few lists change. A query is an indexed row and
+join of neighbours of neighbours: at every node meet the vectors that it lists and (at most DEGREE, the nearest) those that
+list it; those who meet at a node learn of each other. So no node, however many list it, has a large meeting. Rounds end when few lists change. A query is an indexed row and
 starts at its own node: each round it opens the best nodes of its list (BEAM long) that it has not opened yet, until none is
 left. Rounds of all queries run together as joins of their open nodes with the graph, which is a bucketed table, so only the
 open nodes move.
@@ -12,8 +12,8 @@ their type can hold, and the whole beam is ranked by them. Equal vectors are one
 can matter. The result is approximate: recall against brute force is tested, and given in the README.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids;
-equal rows are one; of rows with one id the least vector counts; other columns are ignored; all vectors must have one
-length (others than the commonest are left out); an empty table gives an empty result.
+equal rows are one; of rows with one id the least vector counts; other columns are ignored; vectors are neighbours of those
+of their own length only, each length being a search of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import spread_join
 from .common import checkpointed, pa_schema
 from .grouped import grouped
 
@@ -40,7 +41,6 @@ TAKES, MEETING = 10, 96
 BEAM = 400
 #: Nodes that a query opens in a round.
 OPENS = 64
-SEARCH_ROUNDS = 64
 #: Files of the graph that is searched, at least, and nodes in a file.
 BUCKETS, BUCKET_NODES = 32, 20_000
 
@@ -166,14 +166,15 @@ def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) ->
 
 
 def _meetings(graph: DataFrame, degree: int) -> DataFrame:
-    """center, member, vec, bound: each vector at the nodes it lists and at up to `degree` nearest nodes that list it."""
-    listed = graph.select("id", F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select(F.col("e.nbrs").alias("id"), F.struct(F.col("e.dists").alias("d"), F.col("id").alias("by")).alias("r"))
-    # The number of lists that a vector is on is bounded by geometry, as equal vectors are one node.
-    back = listed.groupBy("id").agg(F.transform(F.slice(F.sort_array(F.collect_list("r")), 1, degree), lambda r: r["by"]).alias("back"))
-    df = graph.join(back, "id", "left")
-    places = F.array_union("nbrs", F.coalesce("back", F.array().cast("array<long>")))
+    """center, member, vec, bound: at each node those that it lists and the nearest `degree` of those that list it."""
+    listed = graph.select(F.col("id").alias("by"), F.explode(F.arrays_zip("nbrs", "dists")).alias("e")).select("by", F.col("e.nbrs").alias("to"), F.col("e.dists").alias("d"))
+    nearest_first = Window.partitionBy("to").orderBy("d", "by")
+    back = listed.withColumn("n", F.row_number().over(nearest_first)).filter(F.col("n") <= degree).select(F.col("to").alias("center"), F.col("by").alias("member"))
+    pairs = listed.select(F.col("by").alias("center"), F.col("to").alias("member")).unionByName(back).distinct()
     bound = F.when(F.size("nbrs") < degree, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("float")
-    return df.select(F.explode(places).alias("center"), F.col("id").alias("member"), "vec", bound.alias("bound"))
+    # A vector that very many list is sent to all of them from several tasks.
+    sent = listed.groupBy(F.col("to").alias("member")).agg((F.count(F.lit(1)) + degree).alias("__m"))
+    return spread_join(pairs, graph.select(F.col("id").alias("member"), "vec", bound.alias("bound")), ["member"], counts=sent)
 
 
 def _introduced(meetings: DataFrame, takes: int, meeting: int) -> DataFrame:
@@ -288,7 +289,7 @@ def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int,
                 out[k].append(v)
         yield out
 
-    for _ in range(SEARCH_ROUNDS):
+    while True:  # each round opens nodes, of which there are only so many
         unopened = F.slice(F.filter(F.arrays_zip("ids", "opened"), lambda x: ~x["opened"]), 1, opens)
         bound = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("float")
         front = beams.select("query", "vec", bound.alias("bound"), F.explode(unopened).alias("o")).select("query", "vec", "bound", F.col("o.ids").alias("node"))
@@ -305,15 +306,23 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     v = F.col(embedding).cast("array<double>")
     good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (sizes["n"] if sizes else 0))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every` its k nearest other rows found."""
     narrow = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     rows = checkpointed(usable(vectors))
+    lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect()]  # a number each, few
+    found = [_nearest(rows.filter(F.size("v") == n), narrow, k, every, degree, beam, rounds) for n in lengths or [0]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest(rows: DataFrame, narrow: bool, k: int, every: int, degree: int, beam: int, rounds: int) -> DataFrame:
+    """The same over vectors (vec_id, v) of one length."""
     nodes = checkpointed(rows.groupBy("v").agg(F.min("vec_id").alias("id")))
 
     as_bytes = packed_as("f" if narrow else "d")

@@ -16,7 +16,9 @@ copies included). Words are runs of anything but ASCII white space, as they stan
 
 Defined results: texts of one to four words are one shingle; texts that are null or without words are alike to nothing
 (class_id = doc_id, n_links 0); rows with a null doc_id take no part and get class_id null, n_links 0; repeated rows count
-as copies; other columns are ignored; an empty table gives an empty result. Sets are told apart by 128 bits of hash.
+as copies; other columns are ignored; an empty table gives an empty result. Sets are told apart by 128 bits of hash and
+their size, and numbered, so no two share a number. Keys that hold a large part of the rows (a shared token, a class of
+copies) are split over tasks.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import spread_join
 from ..operators.components import components
-from .common import checkpointed, map_batches, texts
+from .common import WORD, checkpointed, map_batches, texts
 from .grouped import grouped
 
 WORDS, SIMILARITY = 5, 0.8
@@ -105,7 +108,7 @@ def _orders(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled(docs: DataFrame, samples: int) -> DataFrame:
-    """doc_id, sid, sid2 (the set's identity), n (its size), tokens (the sampled ones, 32 bits of each)."""
+    """doc_id, sid, sid2 (the set's identity), n (its size), tokens (the sampled ones, 32 bits of each), text_hash."""
 
     def make():
         xor, times = _orders(samples)
@@ -115,36 +118,36 @@ def sampled(docs: DataFrame, samples: int) -> DataFrame:
                 sets = shingles(batch["text"][i : i + 512])
                 ids = [identity(s) for s in sets]
                 tokens = [(((s[None] ^ xor) * times).min(axis=1) >> _U(32)).astype(np.uint32).view(np.int32) if len(s) else None for s in sets]
-                yield {"doc_id": batch["doc_id"][i : i + 512], "sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "n": [len(s) for s in sets], "tokens": tokens}
+                yield {"doc_id": batch["doc_id"][i : i + 512], "sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "n": [len(s) for s in sets], "tokens": tokens, "text_hash": batch["text_hash"][i : i + 512]}
 
         return each
 
-    return map_batches(texts(docs), make, "doc_id long, sid long, sid2 long, n int, tokens array<int>")
+    return map_batches(texts(docs, F.xxhash64("text").alias("text_hash")), make, "doc_id long, sid long, sid2 long, n int, tokens array<int>, text_hash long")
 
 
 def buckets(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """sid, tokens, run, key, part_a, part_b, mine: the buckets of all runs that are compared, one row a set and bucket.
+    """set, tokens, run, key, part_a, part_b, mine: the buckets of all runs that are compared, one row a set and bucket.
 
     A bucket of up to `small` sets is (key, 0, 0). A larger one at the last level is there once for each pair of parts.
     """
     done = None
-    rows = sets.select("sid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.get("tokens", r * levels))).alias("run", "token"))
-    rows = rows.select("sid", "run", F.xxhash64("run", "token").alias("key"))
+    rows = sets.select("set", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.get("tokens", r * levels))).alias("run", "token"))
+    rows = rows.select("set", "run", F.xxhash64("run", "token").alias("key"))
     for level in range(1, levels + 1):
         counts = rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        rows = checkpointed(rows.join(counts, ["run", "key"]))
+        rows = checkpointed(spread_join(rows, counts, ["run", "key"], counts=counts.withColumnRenamed("m", "__m")))
         last = level == levels
-        ready = (rows if last else rows.filter(F.col("m") <= small)).select("sid", "run", "key", "m")
+        ready = (rows if last else rows.filter(F.col("m") <= small)).select("set", "run", "key", "m")
         done = ready if done is None else done.unionByName(ready)
         if last or rows.filter(F.col("m") > small).isEmpty():
             break
-        deeper = rows.filter(F.col("m") > small).join(sets.select("sid", "tokens"), "sid")
-        rows = deeper.select("sid", "run", F.xxhash64("key", F.get("tokens", F.col("run") * levels + level)).alias("key"))
+        deeper = rows.filter(F.col("m") > small).join(sets.select("set", "tokens"), "set")
+        rows = deeper.select("set", "run", F.xxhash64("key", F.get("tokens", F.col("run") * levels + level)).alias("key"))
     parts = F.ceil(F.col("m") / F.lit(small)).cast("int")
-    mine = F.pmod(F.xxhash64("sid"), parts).cast("int")
-    df = done.select("sid", "run", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    df = df.select("sid", "run", "key", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
-    return df.join(sets.select("sid", "tokens"), "sid")
+    mine = F.pmod(F.xxhash64("set"), parts).cast("int")
+    df = done.select("set", "run", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    df = df.select("set", "run", "key", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
+    return df.join(sets.select("set", "tokens"), "set")
 
 
 def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
@@ -178,7 +181,7 @@ def candidates(bucketed: DataFrame, agree: float = AGREE) -> DataFrame:
     """a, b: in each bucket a link from every set to the least set of its candidate group there."""
 
     def each(table: pa.Table) -> Iterator[dict]:
-        sids, mine = table.column("sid").to_numpy(), table.column("mine").to_numpy()
+        sids, mine = table.column("set").to_numpy(), table.column("mine").to_numpy()
         tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
         least = math.ceil(agree * tokens.shape[1])
         out_a, out_b = [], []
@@ -230,11 +233,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """sid, other, links: per set and block its exact links (weighed by copies) and the least set of its group there."""
+    """set, other, links: per set and block its exact links (weighed by copies) and the least set of its group there."""
     bound = round(similarity * 1000)
 
     def each(table: pa.Table) -> Iterator[dict]:
-        sids, copies, mine = (table.column(k).to_numpy() for k in ("sid", "copies", "mine"))
+        sids, copies, mine = (table.column(k).to_numpy() for k in ("set", "copies", "mine"))
         raw = table.column("shingles")
         out: list[list[np.ndarray]] = [[], [], []]
         for a, b in _groups(table, ["comp", "part_a", "part_b"]):
@@ -258,56 +261,70 @@ def verified(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if out[0]:
             sid, other, links = (np.concatenate(x) for x in out)
             some = links > 0
-            yield {"sid": sid[some], "other": other[some], "links": links[some]}
+            yield {"set": sid[some], "other": other[some], "links": links[some]}
 
-    return _by_group(members, ["comp", "part_a", "part_b"], each, "sid long, other long, links long")
+    return _by_group(members, ["comp", "part_a", "part_b"], each, "set long, other long, links long")
 
 
-def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs."""
+def classes(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables. Rows: doc_id, text_hash, sid, sid2, n for every row of docs. Sets: set, sid, sid2, n, least (doc_id),
+    copies, root (of its class). Links: set, other, links."""
     rows = checkpointed(sampled(docs, runs * levels))
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    sets = checkpointed(named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")))
+    sets = named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
+    sets = checkpointed(sets.withColumn("set", F.monotonically_increasing_id()))
     groups = components(candidates(buckets(sets, runs, levels, small)))
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("sid"), F.col("root").alias("comp"))
-    groups = checkpointed(groups.join(sets.select("sid", "least", "copies"), "sid"))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("set"), F.col("root").alias("comp"))
+    groups = checkpointed(groups.join(sets.select("set", "sid", "sid2", "least", "copies"), "set"))
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
     parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    placed = groups.join(sizes, "comp").select("sid", "comp", "copies", F.pmod(F.xxhash64("sid"), parts).cast("int").alias("mine"), parts.alias("parts"))
+    placed = spread_join(groups, sizes, ["comp"], counts=sizes.withColumnRenamed("m", "__m"))
+    placed = placed.select("set", "sid", "sid2", "comp", "copies", F.pmod(F.xxhash64("set"), parts).cast("int").alias("mine"), parts.alias("parts"))
 
     def whole(batch: dict[str, list]) -> Iterator[dict[str, list]]:
         for i in range(0, len(batch["text"]), 512):
             found = shingles(batch["text"][i : i + 512])
-            yield {"sid": [identity(s)[0] for s in found], "shingles": [s.tobytes() for s in found]}
+            ids = [identity(s) for s in found]
+            yield {"sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "shingles": [s.tobytes() for s in found]}
 
     wanted = texts(docs).join(groups.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    contents = map_batches(wanted, lambda: whole, "sid long, shingles binary")
-    members = contents.join(placed, "sid").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    members = members.select("sid", "comp", "copies", "shingles", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
-    exact = checkpointed(verified(members, similarity))
-    links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = components(exact.select(F.col("sid").alias("a"), F.col("other").alias("b")))
-    linked = sets.select("sid", "least", "copies").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
-    # Only sets whose class has another one need it looked up.
-    result = linked.join(least, "root").join(links, "sid", "left")
-    result = result.select(F.col("sid").alias("sid"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    slim = rows.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("sid")).alias("sid"))
-    out = slim.join(result, "sid", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    contents = map_batches(wanted, lambda: whole, "sid long, sid2 long, shingles binary")
+    members = contents.join(placed, ["sid", "sid2"]).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    members = members.select("set", "comp", "copies", "shingles", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
+    links = checkpointed(verified(members, similarity))
+    roots = components(links.select(F.col("set").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "set")
+    sets = checkpointed(sets.drop("tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    return rows.drop("tokens"), sets, links
+
+
+def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """doc_id, class_id, n_links for every row of docs."""
+    rows, sets, links = classes(docs, similarity, runs, levels, small, block)
+    least = sets.groupBy("root").agg(F.min("least").alias("class_id"))
+    result = spread_join(sets, least, ["root"]).join(links.groupBy("set").agg(F.sum("links").alias("links")), "set", "left")
+    result = result.select("sid", "sid2", "n", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    no_set = F.col("doc_id").isNull() | (F.col("n") == 0)
+    with_set = spread_join(rows.filter(~no_set).drop("text_hash"), result, ["sid", "sid2", "n"], counts=sets.select("sid", "sid2", "n", F.col("copies").alias("__m")))
+    alone = rows.filter(no_set).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_set.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links")).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all their columns, with one document of each class: its least doc_id, one row of it.
+    """The rows of docs, all their columns, with one document of each class: one row of its least doc_id; if several texts
+    of the class have that id, the one with the least hash.
 
-    Rows with a null doc_id belong to no class and stay.
+    Rows with a null doc_id, a null text or no words belong to no class and stay.
     """
-    classes = ngram_join(docs, similarity)
-    counted = classes.filter(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    counted = checkpointed(counted)
-    once = docs.join(counted.filter("__rows = 1").select("doc_id"), "doc_id", "left_semi")
-    out = once.unionByName(docs.filter(F.col("doc_id").isNull()))
-    several = counted.filter("__rows > 1").select("doc_id")
+    rows, sets, _ = classes(docs, similarity)
+    first = sets.groupBy("root").agg(F.min(F.struct("least", "sid", "sid2", "n")).alias("f")).select("root", F.col("f.least").alias("doc_id"), "f.sid", "f.sid2", "f.n")
+    # Only rows of the class' least id are looked at, so a large class is no large group here.
+    chosen = rows.join(first, ["doc_id", "sid", "sid2", "n"]).groupBy("root", "doc_id").agg(F.min("text_hash").alias("__text"), F.count(F.lit(1)).alias("__rows"))
+    chosen = checkpointed(chosen.select("doc_id", "__text", "__rows").distinct())
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(chosen.filter("__rows = 1"), ["doc_id", "__text"], "left_semi")
+    loose = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    out = kept.select(docs.columns).unionByName(loose)
+    several = chosen.filter("__rows > 1")
     if not several.isEmpty():
-        out = out.unionByName(docs.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+        out = out.unionByName(keyed.join(several, ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"]).select(docs.columns))
+    return out
