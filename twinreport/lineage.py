@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A key that holds more than this part of the rows is split into as many pieces; so there are at most PIECES such keys.
 PIECES = 256
 #: Rows that no task minds.
-FEW = 1000
+FEW = 300
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,23 +46,24 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, pieces: int = PIECES, few: int = FEW) -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int | None = None, pieces: int = PIECES, few: int = FEW
+) -> DataFrame:
     """left joined (inner or left) with right, which has one row for each key.
 
     The keys that hold more than one of `pieces` parts of left's rows, at most `pieces` of them, are split by a hash of
-    the row, and their rows of right are there once for each piece. left is read twice, so it should be a table; counts
-    (keys and __m, left's rows of each key), if known, saves that.
+    the row, and their rows of right are there once for each piece. left is read more than once, so it should be a table;
+    counts (keys and __m, left's rows of each key) and rows (how many left has), if known, save that.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")) if counts is None else counts
-    # What is too much is known only with the total, so the keys in question are a small table first.
-    many = checkpointed(counts.select(*keys, "__m").filter(F.col("__m") > few))
-    if many.isEmpty():
+    if rows is not None and rows <= few:
         return left.join(right, keys, how)
-    share = max(few, left.count() // pieces)
-    hot = many.filter(F.col("__m") > share).select(*keys, F.ceil(F.col("__m") / F.lit(share)).cast("int").alias("__pieces"))
-    if hot.isEmpty():
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m")) if counts is None else counts
+    most, total = counts.agg(F.max("__m"), F.sum("__m")).first()
+    share = max(few, (rows or total or 0) // pieces)
+    if (most or 0) <= share:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)  # at most `pieces` rows
+    hot = counts.filter(F.col("__m") > share).select(*keys, F.ceil(F.col("__m") / F.lit(share)).cast("int").alias("__pieces"))
+    hot = F.broadcast(checkpointed(hot))  # at most `pieces` rows
     salt = F.when(F.col("__pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.coalesce("__pieces", F.lit(1))))
     split = left.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__pieces")
     copies = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__pieces", F.lit(1)) - 1))).drop("__pieces")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..lineage import checkpointed, spread_join
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (a, b), a > b. Large: every larger neighbour of a node joins its least one; small: every smaller one does."""
+def _stars(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """edges (a, b), a > b, n of them. Large: every larger neighbour of a node joins its least one; small: every smaller one does."""
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = checkpointed(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("__m")))
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("__m"))
     moved = near.filter("b > a") if large else near
-    out = spread_join(moved, least.select("a", "m"), ["a"], counts=least.select("a", "__m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = spread_join(moved, least.select("a", "m"), ["a"], counts=least.select("a", "__m"), rows=n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:
         out = out.unionByName(least.select("a", F.col("m").alias("b")))
     return out.filter("a != b").distinct()
@@ -31,5 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now["n"] == 0:
             break
         before = now
-        edges = checkpointed(_stars(checkpointed(_stars(edges, True)), False))
+        edges = checkpointed(_stars(checkpointed(_stars(edges, True, now["n"])), False, now["n"]))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
