@@ -278,7 +278,7 @@ def test_quality_rules(spark, prose, odd):
     buckets = 256
     for docs in (prose, odd):
         rows = docs.collect()
-        model = quality_rules.Model(docs, quality_rules.labelled_texts(docs, labels), buckets)
+        model = quality_rules.Model(docs, quality_rules.labelled_counts(docs, labels, buckets)[0], buckets)
         split = {id(r): re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in rows}
         low = {}
         for r in labels.filter("quality IS NOT NULL").collect():

@@ -9,8 +9,8 @@ on the order of rows.
 
 Buckets are counted where the texts lie, so only counts are shuffled. The model is a table that meets the n-grams by a
 broadcast up to BROADCAST buckets (the bound of what is sent) and by a shuffle beyond, the heaviest buckets aside; the
-result is the same. For the trusted counts only the texts of labelled documents move: a bitmap of the labelled ids, BITS at
-most, keeps most others where they are (it only saves shuffling; the join that follows decides).
+result is the same. For the trusted counts only the texts of labelled documents move, once: a bitmap of the labelled ids,
+BITS at most, keeps most others where they are (it only saves shuffling; the join that follows decides).
 
 The least score is set for each language (`lang`, if docs have it) from labelled documents that pass the base rules, each
 scored without the trusted counts of its own text: where the shares kept of the trusted and of the bad ones (some label
@@ -28,10 +28,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import removed, written
 from .common import SPACES, checkpointed, texts
 
 #: Buckets for each square root of the corpus' bytes; the number is rounded up to a power of two.
-GROWTH = 8
+GROWTH = 2
 #: Buckets that are broadcast, at most; more meet the n-grams by a shuffle.
 BROADCAST = 1 << 22
 #: Bits of the bitmap of labelled ids, at most, and for each id.
@@ -45,9 +46,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """The number of buckets for a corpus: grows with the square root of its bytes."""
+    """The number of buckets for a corpus: grows with the square root of its bytes, from 2 ** 14 up."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return 1 << max(10, math.ceil(math.log2(GROWTH * math.sqrt(size + 1))))
+    return 1 << max(14, math.ceil(math.log2(GROWTH * math.sqrt(size + 1))))
 
 
 def _tail(items: Column, start: int, n: Column) -> Column:
@@ -65,7 +66,7 @@ def _hashed(docs: DataFrame, *keep: str) -> DataFrame:
         *keep,
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.transform("__words", lambda w: F.xxhash64(w)).alias("__w"),
     )
@@ -123,7 +124,19 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         bitmap[r["at"]] = str(r["bits"])
     maybe = F.getbit(F.get(F.split(F.lit(",".join(bitmap)), ",").cast("array<long>"), F.shiftright(place, 6)), place.bitwiseAND(63)) == 1
     rows = docs.filter(F.col("doc_id").isNotNull()).filter(maybe)
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang(docs).alias("__lang")).join(known, "doc_id")
+    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _lang(docs).alias("__lang")).join(known.hint("shuffle_hash"), "doc_id")
+
+
+def labelled_counts(docs: DataFrame, labels: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """__key (of the language), __label, base_failed, n (n-grams), grams: array of (bucket, c), the distinct buckets of a
+    labelled row and how often each is there; as a table, and its path."""
+    rows = _counted(labelled_texts(docs, labels), "__lang", "__label").select(
+        F.xxhash64("__lang").alias("__key"), "__label", "base_failed", F.sort_array(F.transform("__g", lambda h: _bucket(h, buckets).cast("int"))).alias("__s")
+    )
+    starts = F.filter(F.transform("__s", lambda _, i: i), lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
+    rows = rows.select("*", F.size("__s").alias("n"), starts.alias("__i"))
+    runs = F.zip_with("__i", _tail(F.col("__i"), 2, F.size("__i") - 1), lambda a, b: F.struct(F.get("__s", a).alias("bucket"), (F.coalesce(b, F.size("__s")) - a).alias("c")))
+    return written(rows.select("__key", "__label", "base_failed", "n", runs.alias("grams")), "labelled")
 
 
 class Model:
@@ -131,8 +144,8 @@ class Model:
 
     def __init__(self, docs: DataFrame, labelled: DataFrame, buckets: int):
         raw = _hashed(texts(docs)).select(F.explode(_grams()).alias("h")).groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("r"))
-        trusted = _hashed(labelled.filter("__label = 1")).select(F.explode(_grams()).alias("h"))
-        good = trusted.groupBy(_bucket(F.col("h"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("g"))
+        trusted = labelled.filter("__label = 1").select(F.inline("grams"))
+        good = trusted.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.sum("c").alias("g"))
         self.buckets = buckets
         self.table = checkpointed(raw.join(good, "bucket", "left").select("bucket", "r", F.coalesce("g", F.lit(0)).alias("g")))
         totals = self.table.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
@@ -169,16 +182,10 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 
 def own_scores(labelled: DataFrame, model: Model) -> DataFrame:
-    """__lang, __label, own of the labelled documents that pass the base rules: own leaves out what a trusted document itself
+    """__key, __label, own of the labelled documents that pass the base rules: own leaves out what a trusted document itself
     adds to the trusted counts."""
-    # The filter reads the row's number, which keeps the optimiser from copying all that base_failed takes to the scan.
-    rows = _counted(labelled, "__lang", "__label").withColumn("__row", F.monotonically_increasing_id()).filter("NOT base_failed AND __row >= 0")
-    # The distinct buckets of a row and how often each is there, by runs of the sorted ones.
-    rows = rows.select("__row", "__lang", "__label", F.sort_array(F.transform("__g", lambda h: _bucket(h, model.buckets))).alias("__s"))
-    starts = F.filter(F.transform("__s", lambda _, i: i), lambda i: (i == 0) | (F.get("__s", i) != F.get("__s", i - 1)))
-    rows = rows.select("*", F.size("__s").alias("n"), starts.alias("__i"))
-    runs = F.zip_with("__i", _tail(F.col("__i"), 2, F.size("__i") - 1), lambda a, b: F.struct(F.get("__s", a).alias("bucket"), (F.coalesce(b, F.size("__s")) - a).alias("c")))
-    grams = rows.select("__row", F.xxhash64("__lang").alias("__key"), "__label", "n", F.explode(runs).alias("e")).select("__row", "__key", "__label", "n", "e.bucket", "e.c")
+    rows = labelled.filter("NOT base_failed").withColumn("__row", F.monotonically_increasing_id())
+    grams = rows.select("__row", "__key", "__label", "n", F.inline("grams")).withColumn("bucket", F.col("bucket").cast("long"))
     met = model.meets(grams, ["r", "g"])
     left = F.greatest(F.col("g") - F.when(F.col("__label") == 1, F.col("c")).otherwise(0), F.lit(0))
     sums = met.groupBy("__row").agg(F.first("__key").alias("__key"), F.first("__label").alias("__label"), F.first("n").alias("n"), F.sum(F.col("c") * model.ratio(left)).alias("t"))
@@ -201,13 +208,15 @@ def cuts(own: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, labels: DataFrame, buckets: int | None = None, threshold: float | None = None, *, text_key: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed, score, kept for every row of docs; __text, a hash of the text, if asked for."""
-    labelled = labelled_texts(docs, labels)
-    model = Model(docs, labelled, buckets or bucket_count(docs))
+    buckets = buckets or bucket_count(docs)
+    labelled, path = labelled_counts(docs, labels, buckets)
+    model = Model(docs, labelled, buckets)
+    cut = checkpointed(cuts(own_scores(labelled, model))) if threshold is None else None
+    removed(docs.sparkSession, path)
     keep = ["doc_id", "__key", *["__text"] * text_key]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(_lang(docs)).alias("__key"))
     rows = scored(rows.withColumn("__text", F.xxhash64("text")) if text_key else rows, model, *keep)
-    if threshold is None:
-        cut = checkpointed(cuts(own_scores(labelled, model)))
+    if cut is not None:
         rows = rows.join(F.broadcast(cut) if cut.count() <= LANGUAGES else cut, "__key", "left")
     else:
         rows = rows.withColumn("cut", F.lit(threshold))
