@@ -5,25 +5,24 @@ from twinreport.functions import stacktrace as S
 from twinreport.functions import text as T
 from twinreport.functions.stem import lancaster, porter, porter2, stem_table
 
-TRACE = """
-Distribution: Ubuntu 6.10 (edgy)
-Gnome Release: 2.16.1 2006-10-02 (Ubuntu)
-BugBuddy Version: 2.16.0
-
-
-#0  wait_for at ../sys/wait.c line 41
-#1 spawn_sync at /tmp/spawn.c line 386
-#2 spawn_command at /tmp/spawn.c
-line 700
-#3 ?? from /usr/lib/breakpad.so
-#4 <signal handler called>
-#5 nodes_cmp at /tmp/boxed.c line 79
-#6 array_lookup at /tmp/array
-.h line 163
-#7 collect_value at /tmp/boxed.c
-line 360
-#8 emit_valist at /tmp/signal.c
-line 2955
+TRACE = """the window went away
+Package: viewer
+Severity: normal
+Version: 3.1
+Synopsis: gone after a click
+Debugging Information:
+
+Thread 2 (LWP 77):
+#0  0x0042 in poll () from libc
+#1  0x0043 in g_loop_run ()
+
+Thread 1 (LWP 76):
+#0  0x0100 in waitpid ()
+#1  0x0101 in crash_dialog ()
+#2  <signal handler called>
+#3 draw_icon at icon.c
+#4  0x0102 in layout_row ()
+#5  unread
 """
 
 
@@ -62,20 +61,33 @@ def test_sentences_and_messages(spark):
 
 
 def test_stack_traces(spark):
-    before, trace = S.split_description(F.col("x"), "signal")
+    before, trace = S.split_description(F.col("x"))
     r = one(spark, TRACE, before, trace)
-    assert r.c0 == "\n" and r.c1 == [["nodes_cmp", "array_lookup", "collect_value", "emit_valist"]]
-    df = spark.createDataFrame([(r.c1,)], "t array<array<string>>")
+    assert r.c0.endswith("Synopsis: gone after a click\n")
+    assert r.c1 == [["poll", "g_loop_run"], ["waitpid", "crash_dialog", "unknown", "draw_icon", "layout_row", "unknown"]]
+    body = TRACE[TRACE.index("#0  0x0100") :]
+    r = one(spark, "x \n" + body, S.stack_info(F.lower(F.col("x")), "signal"))
+    assert r.c0 == [["draw_icon", "layout_row"]]
+    df = spark.createDataFrame([(r.c0,)], "t array<array<string>>")
     empty, hollow = F.array().cast(S.TRACE), F.array(F.array().cast("array<string>"))
     t = F.col("t")
     sims = df.select(*[S.stack_similarity(a, b, "signal") for a, b in ((t, t), (hollow, t), (empty, t), (t, empty))]).first()
     assert list(sims) == [1.0, 1.0, 1.0, 0.0]
     again = df.select(S.split_description(F.concat(F.lit("words "), S.stack_text(t)))[1].alias("t")).first().t
-    assert again[0][0] == "unknown" and again[0][1:] == r.c1[0]
+    assert again[0][0] == "unknown" and again[0][1:] == r.c0[0]
     plain = one(spark, "no trace here", *S.split_description(F.col("x")))
     assert plain.c0 == "no trace here" and plain.c1 == []
-    py = one(spark, "distribution gnome release bugbuddy traceback (most recent call last) file in run\n in stop", S.split_description(F.col("x"))[1])
-    assert py.c0 == [["run", "stop"]]
+
+
+def test_python_traceback_starts_at_its_title(spark):
+    head = "distribution: x gnome release: y bugbuddy z found in menu "
+    text = head + "traceback (most recent call last) file a, in run\nfile b, in stop"
+    assert one(spark, text, S.split_description(F.col("x"))[1]).c0 == [["run\nfile", "stop"]]
+    assert one(spark, head + "traceback (most recent call last) in \n\ngo\n now", S.split_description(F.col("x"))[1]).c0 == [["go"]]
+
+
+def test_added_penalty(spark):
+    assert one(spark, "a,b", T.added_penalty(F.col("x"), F.lit("c")), T.added_penalty(F.lit(""), F.lit("c")), T.added_penalty(F.lit(None), F.lit("c"))).asDict() == {"c0": "a,b,c", "c1": "c", "c2": "c"}
 
 
 def test_stack_similarity_of_threads(spark):

@@ -33,9 +33,9 @@ def test_synonyms(spark):
 
 
 def test_weights(spark):
-    counts = spark.createDataFrame([(1, "summ", "firefox", 5), (1, "summ", "chrome", 12), (1, "desc", "max", 10), (1, "desc", "min", 30), (1, "desc", "fix", 10)], "bug_id long, field string, term string, tf long")
+    counts = spark.createDataFrame([(1, "summ", "oak", 5), (1, "summ", "elm", 12), (1, "desc", "lark", 7), (1, "desc", "wren", 21), (1, "desc", "rook", 7)], "bug_id long, field string, term string, tf long")
     dfs = terms.field_counts(counts)
-    assert terms.document_counts(counts).filter("term = 'fix'").first()["desc"] == 1
+    assert terms.document_counts(counts).filter("term = 'rook'").first()["desc"] == 1
     for r in terms.squared_lengths(terms.weights(counts, dfs, 100, "tfidf")).collect():
         assert abs(r.len2 - 1) < 1e-9
     assert {round(r.w, 9) for r in terms.weights(counts, dfs, 100, "bidf").collect()} == {round(math.log(101 / 2), 9)}
@@ -44,15 +44,30 @@ def test_weights(spark):
 
 
 def test_asymmetric_similarity(spark):
-    q = vectors(spark, "query_id", {1: {"firefox": 1.0, "chrome": 1.0}})
-    c = vectors(spark, "bug_id", {1: {"firefox": 1.0, "chrome": 1.0, "ie": 1.0}, 2: {"firefox": 1.0, "windows": 1.0, "linux": 1.0}, 3: {"other": 1.0}})
+    q = vectors(spark, "query_id", {1: {"oak": 1.0, "elm": 1.0}})
+    c = vectors(spark, "bug_id", {1: {"oak": 1.0, "elm": 1.0, "fir": 1.0}, 2: {"oak": 1.0, "ash": 1.0, "yew": 1.0}, 3: {"other": 1.0}})
     got = {r.bug_id: r.rd for r in similarity.similarities(q, c, Settings()).collect()}
     assert got == {1: 1.0, 2: 0.5}
-    unwanted = spark.createDataFrame([(1, "ie")], "query_id long, term string")
+    unwanted = spark.createDataFrame([(1, "fir")], "query_id long, term string")
     got = {r.bug_id: r.rd for r in similarity.similarities(q, c, Settings(penalty_weight=1.0), unwanted).collect()}
     assert got == {1: 0.5, 2: 0.5}
 
 
+def test_every_candidate_is_scored(spark):
+    """Candidates that share no term stay, an incoming report without terms is like all, traces count."""
+    s = Settings(scoring_strategy="weighted", bug_stacktrace_ratio=1.0)
+    trace = "array<array<string>>"
+    asked = spark.createDataFrame([(1, "p", None, None, None, [["f", "g"]]), (2, "p", 10**9, [10], 11, []), (3, "r", None, None, None, None)], f"query_id long, product string, ts long, exclude array<long>, dummy_bug_id long, stacktrace {trace}")
+    held = spark.createDataFrame([(10, "p", 10**9, [["f"]]), (11, "p", 10**9, []), (12, "p", 10**9, [["h", "??"]]), (13, "q", 10**9, []), (14, "p", 1, [])], f"bug_id long, product string, ts long, stacktrace {trace}")
+    ours = spark.createDataFrame([(1, "summ", "oak", 2.0), (1, "desc", "elm", 1.0)], "query_id long, field string, term string, w double")
+    theirs = spark.createDataFrame([(10, "summ", "oak", 1.0), (13, "summ", "oak", 1.0), (12, "desc", "yew", 1.0)], "bug_id long, field string, term string, w double")
+    got = {(r.query_id, r.bug_id): (r.rs, r.rd, r.rt, r.score) for r in similarity.over_candidates(asked, held, ours, theirs, s).collect()}
+    assert got == {
+        (1, 10): (0.5, 0.0, 0.5, 0.75), (1, 11): (0.0, 0.0, 0.0, 0.0), (1, 12): (0.0, 0.0, 0.0, 0.0), (1, 14): (0.0, 0.0, 0.0, 0.0),
+        (2, 12): (1.0, 1.0, 1.0, 2.0),
+    }
+
+
 def test_scores_cover_all_bands(spark):
     rows = [(s / 4, t / 4) for s in range(5) for t in range(5)]
     df = spark.createDataFrame(rows, "nl double, rt double")
@@ -123,13 +138,13 @@ def test_group_tables(spark):
 
 def test_difference_and_keyword(spark):
     s = Settings(stemmer="snowball")
-    new = terms.term_counts(reports(spark, [(1, "apple for summary", "linux description")]).withColumnRenamed("bug_id", "query_id"), s, "query_id")
-    old = terms.term_counts(reports(spark, [(5, "apple of ghost crashed", "description linux wow")]), s)
+    new = terms.term_counts(reports(spark, [(1, "kettle in kitchen", "steam everywhere")]).withColumnRenamed("bug_id", "query_id"), s, "query_id")
+    old = terms.term_counts(reports(spark, [(5, "kettle of copper leaked", "everywhere steam puddle")]), s)
     found = spark.createDataFrame([(1, 5, 1.0), (1, 6, 1.0)], "query_id long, bug_id long, score double")
     diff = recommend.report_difference(found, new, old)
-    assert {(r.field, r.term) for r in diff.collect()} == {("summ", "ghost"), ("summ", "crash"), ("desc", "wow")}
+    assert {(r.field, r.term) for r in diff.collect()} == {("summ", "copper"), ("summ", "leak"), ("desc", "puddl")}
     best = recommend.best_keyword(recommend.keyword_scores(diff, found, terms.field_counts(old), 10)).first()
-    assert best.term == "wow" and abs(best.score - math.log(11 / 2) / math.log(11)) < 1e-6
+    assert best.term == "puddl" and abs(best.score - math.log(11 / 2) / math.log(11)) < 1e-6
 
 
 def test_clusters(spark):
@@ -142,6 +157,30 @@ def test_clusters(spark):
         assert len({r.id % 3 for r in own}) == 1 and sum(r.representative for r in own) == 1
 
 
+def test_sentences_stop_after_enough_reports(spark):
+    rows = spark.createDataFrame([(1, b, p, "s") for b, n in ((5, 3), (6, 2), (7, 4)) for p in range(n)], "query_id long, bug_id long, pos long, sentence string")
+    ranked = spark.createDataFrame([(1, 7, 1), (1, 5, 2), (1, 6, 3)], "query_id long, bug_id long, rank long")
+    held = lambda most: {r.bug_id for r in recommend.first_reports(rows, ranked, most).collect()}
+    assert held(3) == {7} and held(4) == {7, 5} and held(6) == {7, 5} and held(7) == {7, 5, 6}
+
+
+def test_representatives(spark):
+    rows = spark.createDataFrame([(q, 1, i, f"s{i}") for q, n in ((1, 9), (2, 2)) for i in range(n)], "query_id long, bug_id long, pos long, sentence string")
+    w = spark.createDataFrame([(1, 1, i, f"t{i % 3}", 1.0 + i) for i in range(9)], "query_id long, bug_id long, pos long, term string, w double")
+    got = recommend.representatives(rows, w, 3).collect()
+    assert sorted(r.pos for r in got if r.query_id == 2) == [0, 1]
+    own = [r.pos for r in got if r.query_id == 1]
+    assert 1 <= len(own) <= 3 and len({p % 3 for p in own}) == len(own)
+    again = recommend.representatives(rows.repartition(3), w.repartition(2), 3).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_duplicate_texts(spark):
+    found = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id long, bug_id long, rank long")
+    got = {r.bug_id: (r.summ, r["desc"]) for r in recommend.duplicate_texts(found, reports(spark, [(5, "a", "b")])).collect()}
+    assert got == {5: ("a", "b"), 6: ("", "")}
+
+
 def test_evaluation(spark):
     cases = spark.createDataFrame([(1, 2), (2, 1), (3, 0)], "query_id long, n_true long")
     hits = spark.createDataFrame([(1, 5, True), (1, 6, False), (2, 7, False), (3, 8, True)], "query_id long, bug_id long, hit boolean")

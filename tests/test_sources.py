@@ -100,6 +100,22 @@ WANT = {(1, "second", ("p",), ("5",), (), "do_submit", 5), (2, "x", (), (), ("t"
 SCHEMA = "session_id long, seq long, command string, argument string"
 
 
+def test_store_update_and_distinct(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    store.write("t", spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "bug_id long, product string"))
+    got = store.update("t", spark.createDataFrame([(2, "c"), (4, "d")], "bug_id long, product string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a"), (2, "c"), (3, "b"), (4, "d")}
+    assert {r.product for r in store.distinct("t", "product").collect()} == {"a", "b", "c", "d"}
+
+
+def test_pasted_stack_goes_under_the_header(spark):
+    row = spark.createDataFrame([(5, "p", "s", "words", "#0  0x1 in f ()\n#1  0x2 in g ()", None, None, None, None)], "create_ts long, product string, summ string, desc string, raw_stack string, penalty array<string>, dummy_bug_id long, exclude_ids array<long>, skip_terms array<string>")
+    back = reports.from_line(reports.build_line(row)).first()
+    assert back["desc"].strip() == "words" and back.stacktrace == [["f", "g"]]
+    bare = reports.from_line(reports.build_line(row.withColumn("raw_stack", F.lit(None).cast("string")))).first()
+    assert bare.stacktrace == [] and bare.summ == "s"
+
+
 def shown(rows):
     return {(r.session_id, r.report, tuple(r.penalty), tuple(r.exclude), tuple(r.skip), r.ended, r.n_commands) for r in rows}
 

@@ -11,6 +11,7 @@ FRAME = ("#2  0xb588f19f in ", " ()")
 UNKNOWN = ("??", "unknown")
 RAISING = ("abort", "raise", "kernel_vsyscall", "??", "unknown")
 HANDLER = "<signal handler called>"
+TRACEBACK = "traceback (most recent call last)"
 
 TRACE = "array<array<string>>"
 
@@ -47,13 +48,14 @@ def stack_info(text: Column, algorithm: str = "weight") -> Column:
     body = F.substring(text, F.when(at > 0, at).otherwise(F.greatest(F.length(text), F.lit(1))), F.length(text))
     threads = F.split(body, "\n\n", -1)
     gdb = F.array(signal_frames(threads)) if algorithm == "signal" else F.transform(threads, thread_frames)
-    return F.when(F.contains(text, F.lit("traceback (most recent call last)")), F.array(python_frames(text))).otherwise(gdb)
+    start = _at(text, TRACEBACK)
+    return F.when(start > 0, F.array(python_frames(F.substring(text, start, F.length(text))))).otherwise(gdb)
 
 
 def python_frames(text: Column) -> Column:
-    """The word after each `in`, without line breaks."""
+    """The word after each `in` of a traceback, without line breaks at its ends."""
     words = F.split(text, " ", -1)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(a == "in", F.replace(b, F.lit("\n"), F.lit(""))))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(a == "in", F.regexp_replace(b, r"^\n+|\n+$", "")))
     return F.filter(pairs, lambda x: x.isNotNull())
 
 

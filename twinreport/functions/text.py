@@ -108,3 +108,8 @@ def drop_words(words: Column, key: Column, rate: float, seed: str = "drop") -> C
     """Words that stay when each is dropped with the rate: chosen by a hash of key and position, so reruns agree."""
     unit = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return F.filter(words, lambda w, i: unit(i) >= F.lit(rate))
+
+
+def added_penalty(raw: Column, term: Column) -> Column:
+    """A comma-separated list of penalty terms with one more; a null or empty list holds none."""
+    return F.when(F.coalesce(raw, F.lit("")) == "", term).otherwise(F.concat_ws(",", raw, term))

@@ -65,6 +65,6 @@ def hits(found: DataFrame, members: DataFrame, query: str = "query_id", remove_s
 
 
 def product_counts(basic: DataFrame, least: int = 100, prefix: str = "<option>", suffix: str = "</option>") -> DataFrame:
-    """product, n, line for products with at least so many reports."""
+    """product, n, line for products with at least so many reports, the largest first, ties by name."""
     rows = basic.filter(F.col("product").isNotNull()).groupBy("product").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return rows.withColumn("line", F.concat(F.lit(prefix), "product", F.lit(suffix), F.lit(" <!--"), F.col("n").cast("string"), F.lit("-->")))
+    return rows.withColumn("line", F.concat(F.lit(prefix), "product", F.lit(suffix), F.lit(" <!--"), F.col("n").cast("string"), F.lit("-->"))).orderBy(F.desc("n"), "product")

@@ -47,6 +47,12 @@ def best_keyword(scores: DataFrame, query: str = "query_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
+def top_keywords(scores: DataFrame, n: int = 10, query: str = "query_id") -> DataFrame:
+    """The n best terms of each query with their rank from 1."""
+    order = Window.partitionBy(query).orderBy(F.desc("score"), "term")
+    return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+
+
 def sentence_rows(reports: DataFrame, desc: Column | None = None) -> DataFrame:
     """bug_id, pos, sentence: the pieces of each description."""
     return reports.select("bug_id", F.posexplode(T.sentences(F.col("desc") if desc is None else desc)).alias("pos", "sentence"))
@@ -58,6 +64,61 @@ def sentences_with(rows: DataFrame, keywords: DataFrame, settings: Settings) ->
     return rows.join(keywords, "query_id").filter(F.array_contains(tokens, F.col("term"))).select("query_id", "bug_id", "pos", "sentence")
 
 
+def first_reports(sentences: DataFrame, ranked: DataFrame, most: int = 1000) -> DataFrame:
+    """The sentences (query_id, bug_id, ...) of the reports taken in order of rank until over `most` sentences are held."""
+    sizes = sentences.groupBy("query_id", "bug_id").agg(F.count(F.lit(1)).alias("n")).join(ranked.select("query_id", "bug_id", "rank"), ["query_id", "bug_id"])
+    ahead = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    taken = sizes.withColumn("__ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).filter(F.col("__ahead") <= most)
+    return sentences.join(taken.select("query_id", "bug_id"), ["query_id", "bug_id"], "left_semi")
+
+
+def duplicate_texts(found: DataFrame, reports: DataFrame) -> DataFrame:
+    """query_id, bug_id, rank, summ, desc of the reports taken for duplicates; empty texts for those that are gone."""
+    texts = reports.select("bug_id", "summ", "desc")
+    return found.join(texts, "bug_id", "left").select("query_id", "bug_id", "rank", F.coalesce("summ", F.lit("")).alias("summ"), F.coalesce("desc", F.lit("")).alias("desc"))
+
+
+def representatives(rows: DataFrame, vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """query_id, bug_id, pos, sentence, cluster: of each query's sentences all if they are at most k, else the nearest to the
+    centre of each of k clusters.
+
+    vectors: query_id, bug_id, pos, term, w. k-means by cosine over exact vocabularies, within a query; its sentences are
+    bounded by `first_reports`. Equal distances go to the first sentence; sentences without terms are a point of their own.
+    """
+    terms = vectors.groupBy("query_id", "bug_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    full = rows.join(terms, ["query_id", "bug_id", "pos"], "left")
+
+    def cluster(part):
+        import numpy as np
+
+        part = part.sort_values(["bug_id", "pos"]).reset_index(drop=True)
+        if len(part) <= k:
+            return part.assign(cluster=range(len(part)))[names]
+        bags = [dict(m) if m is not None else {} for m in part["terms"]]
+        place = {t: i for i, t in enumerate(sorted({t for b in bags for t in b}))}
+        x = np.zeros((len(part), len(place) + 1))
+        for i, b in enumerate(bags):
+            for t, w in b.items():
+                x[i, place[t]] = w
+            x[i, -1] = not b
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        r = np.random.default_rng(seed)
+        centre, label = x[np.sort(r.choice(len(x), k, replace=False))], None
+        for _ in range(50):
+            new = (x @ centre.T).argmax(axis=1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            for c in set(label.tolist()):
+                centre[c] = x[label == c].sum(axis=0)
+                centre[c] /= max(np.linalg.norm(centre[c]), 1e-12)
+        best = sorted({int(np.flatnonzero(label == c)[(x[label == c] @ centre[c]).argmax()]) for c in set(label.tolist())})
+        return part.iloc[best].assign(cluster=label[best])[names]
+
+    names = ["query_id", "bug_id", "pos", "sentence", "cluster"]
+    return full.groupBy("query_id").applyInPandas(cluster, "query_id long, bug_id long, pos long, sentence string, cluster long")
+
+
 def cluster_sentences(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """id, cluster, representative: k-means by cosine over sentence vectors (id, features), and whether the row is its
     cluster's nearest to the centre, ties to the smaller id."""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.stacktrace import TRACE, stack_similarity
 
 #: Scores are rounded before they are ranked, so that the order of sums doesn't decide ties.
 DIGITS = 6
@@ -88,6 +89,25 @@ def is_candidate(settings: Settings) -> Column:
     return young & ~excluded & ~F.coalesce(F.col("dummy_bug_id") == F.col("bug_id"), F.lit(False))
 
 
+def over_candidates(incoming: DataFrame, reports: DataFrame, ours: DataFrame, theirs: DataFrame, settings: Settings, unwanted: DataFrame | None = None) -> DataFrame:
+    """query_id, bug_id, rs, rd, rt, score for every candidate of each incoming report, those that share no term included.
+
+    incoming: as for `candidates`, and stacktrace; reports: bug_id, product, ts, stacktrace; ours, theirs: their vectors. A
+    field of an incoming report without weight is fully like every other; an incoming report without a trace is taken to
+    have the other's. The vectors meet within products only.
+    """
+    product_of = lambda v, r, key: v.join(r.select(key, "product"), key).withColumn("term", F.concat_ws("\x00", "product", "term")).drop("product")
+    pairs = similarities(product_of(ours, incoming, "query_id"), product_of(theirs, reports, "bug_id"), settings, unwanted)
+    weight = ours.groupBy("query_id").agg(*[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("w") * F.col("w"))), F.lit(0.0)).alias(f"__{f}") for f in ("summ", "desc")])
+    empty = lambda f: F.when(F.lit(settings.tfidf_algorithm == "bidf") & (F.coalesce(F.col(f"__{f}"), F.lit(0.0)) < 1e-6), 1.0).otherwise(0.0)
+    rows = candidates(incoming, reports, settings).join(pairs, ["query_id", "bug_id"], "left").join(weight, "query_id", "left")
+    rows = rows.join(incoming.select("query_id", F.col("stacktrace").alias("__ours")), "query_id").join(reports.select("bug_id", F.col("stacktrace").alias("__theirs")), "bug_id")
+    has_stack = F.exists(F.coalesce("__ours", F.array().cast(TRACE)), lambda t: F.size(t) > 0)
+    rt = F.when(~has_stack, 1.0).otherwise(stack_similarity(F.col("__ours"), F.col("__theirs"), settings.stacktrace_algorithm))
+    rows = rows.select("query_id", "bug_id", F.coalesce("rs", empty("summ")).alias("rs"), F.coalesce("rd", empty("desc")).alias("rd"), rt.alias("rt"), has_stack.alias("__has"))
+    return rows.withColumn("score", F.round(score(F.col("rs"), F.col("rd"), F.col("rt"), settings, F.col("__has")), DIGITS)).drop("__has")
+
+
 def top(scored: DataFrame, n: int, query: str = "query_id", key: str = "bug_id", value: str = "score") -> DataFrame:
     """The n best of each query, ties to the smaller key, with their rank from 1."""
     order = Window.partitionBy(query).orderBy(F.desc(value), key)

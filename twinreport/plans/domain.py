@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..lineage import checkpointed
+from ..functions import text as T
 from ..operators import similarity, terms
 
 BIDF = Settings()
@@ -41,22 +43,31 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted(spark: SparkSession, sf_dir: str, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Vectors of the incoming reports and of the corpus, document counts by field, number of reports."""
+    """Vectors of the incoming reports and of the corpus, document counts by field, number of reports.
+
+    Texts are tokenised once: the term counts are a table, from which all else follows.
+    """
     docs = corpus(spark, sf_dir)
-    counts = terms.term_counts(docs, settings, synonyms=False)
+    counts = checkpointed(terms.term_counts(docs, settings, synonyms=False))
     dfs = terms.field_counts(counts)
     n = docs.count()
-    theirs = terms.term_counts(incoming(spark, sf_dir), settings, "query_id", synonyms=False)
+    theirs = checkpointed(terms.term_counts(incoming(spark, sf_dir), settings, "query_id", synonyms=False))
     return terms.weights(theirs, dfs, n, settings.tfidf_algorithm, "query_id"), terms.weights(counts, dfs, n, settings.tfidf_algorithm), dfs, n
 
 
-def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF) -> DataFrame:
-    """query_id, bug_id, rs, rd for pairs that share a term."""
-    q, c, *_ = weighted(spark, sf_dir, settings)
+def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:
+    """query_id, bug_id, rs, rd for pairs that share a term; made: what `weighted` returned, if it is at hand."""
+    q, c, *_ = made or weighted(spark, sf_dir, settings)
     return similarity.similarities(q, c, settings)
 
 
-def scored(spark: SparkSession, sf_dir: str, settings: Settings = BIDF) -> DataFrame:
-    """query_id, bug_id, score by the weighted strategy."""
+def scored(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:
+    """query_id, bug_id, score by the weighted strategy, as a table that several steps read."""
     nl = F.col("rs") * settings.bug_summary_ratio + F.col("rd") * settings.bug_description_ratio
-    return compared(spark, sf_dir, settings).select("query_id", "bug_id", F.round(nl, similarity.DIGITS).alias("score"))
+    return checkpointed(compared(spark, sf_dir, settings, made).select("query_id", "bug_id", F.round(nl, similarity.DIGITS).alias("score")))
+
+
+def trace(key: str, every: int):
+    """Made-up traces, as the texts hold none: one thread of the first tokens, for one report in `every`."""
+    words = T.tokens(F.col("desc"))
+    return F.when(F.col(key) % every == 0, F.array(F.slice(words, 1, 8))).otherwise(F.array().cast("array<array<string>>"))

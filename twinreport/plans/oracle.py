@@ -188,7 +188,7 @@ ORACLE_SQL: dict[str, str] = {
     " SELECT query_id, bug_id, term, coalesce(x.tf, 0) AS a, coalesce(y.tf, 0) AS b, least(coalesce(x.tf, 0), coalesce(y.tf, 0)) AS shared FROM x FULL JOIN y USING (query_id, bug_id, term)",
     "compare_tfidf": f"{SCORED}, {vectors('tv', 'tc', 'bug_id', 'tfidf')}, {vectors('tq', 'qtc', 'query_id', 'tfidf')}, first AS (SELECT query_id, bug_id FROM ranked WHERE rank = 1),"
     " x AS (SELECT f.query_id, f.bug_id, t.term, t.w FROM first f JOIN tq t ON t.query_id = f.query_id AND t.field = 'desc'), y AS (SELECT f.query_id, f.bug_id, t.term, t.w FROM first f JOIN tv t ON t.bug_id = f.bug_id AND t.field = 'desc')"
-    " SELECT query_id, bug_id, term, round(coalesce(x.w, 0), 6) AS a, round(coalesce(y.w, 0), 6) AS b, round(coalesce(x.w, 0) * coalesce(y.w, 0), 6) AS product FROM x FULL JOIN y USING (query_id, bug_id, term)",
+    f" SELECT query_id, bug_id, term, round(coalesce(x.w, 0), 6) AS a, round(coalesce(y.w, 0), 6) AS b, round(coalesce(x.w, 0) * coalesce(y.w, 0), 6) AS product, coalesce(d.df, 0)::BIGINT AS df, round({IDF}, 6) AS idf FROM x FULL JOIN y USING (query_id, bug_id, term) LEFT JOIN (SELECT term, df FROM dfs WHERE field = 'desc') d USING (term)",
     "drop_report_filter": f"WITH {REPORTS} SELECT bug_id, product FROM reports WHERE NOT regexp_matches(descr, {quoted(DROPPED)})",
     "remove_bad_reports": f'WITH RECURSIVE {GROUPS}, {REPORTS} SELECT bug_id, "group" FROM members WHERE bug_id NOT IN (SELECT bug_id FROM reports WHERE regexp_matches(descr, {quoted(DROPPED)}))',
     "report_serde": f"WITH {REPORTS} SELECT ts AS create_ts, product, summ, descr || ' ' AS \"desc\", 'a;b|c' AS penalty, bug_id AS dummy_bug_id, bug_id || '|' || (bug_id + 1) AS exclude_ids, 'skip' AS skip_terms FROM reports",
@@ -214,4 +214,28 @@ ORACLE_SQL: dict[str, str] = {
     " SELECT bug_id, coalesce(partial, '') AS partial FROM reports LEFT JOIN kept USING (bug_id)",
     "date_seconds": "SELECT o_orderkey, epoch(date_trunc('day', o_orderdate))::BIGINT AS seconds FROM orders",
     "frame_names": "SELECT event_id, replace(event_type, ' ', '_') AS frame FROM events",
+    "similarity_over_candidates": f"{COMPARED}, asked AS (SELECT b.item_id AS query_id, 'src' || (b.item_id % 20) AS product, b.item_id * 8640000 AS ts, CASE WHEN b.item_id % 2 = 0 THEN list_slice({tokens('lower(b.text)')}, 1, 8) ELSE [] END AS t FROM benchmark b),"
+    f" theirs AS (SELECT bug_id, product, ts, CASE WHEN bug_id % 3 = 0 THEN list_slice({tokens('descr')}, 1, 8) END AS t FROM reports),"
+    " cand AS (SELECT a.query_id, r.bug_id, a.t AS u, r.t AS v FROM asked a JOIN theirs r USING (product) WHERE r.ts > a.ts - 63072000 AND r.bug_id != a.query_id AND r.bug_id != a.query_id + 20),"
+    " three AS (SELECT c.query_id, c.bug_id, coalesce(p.rs, CASE WHEN coalesce(l.s2, 0) < 1e-6 THEN 1.0 ELSE 0.0 END)::DOUBLE AS rs, coalesce(p.rd, CASE WHEN coalesce(l.d2, 0) < 1e-6 THEN 1.0 ELSE 0.0 END)::DOUBLE AS rd,"
+    " CASE WHEN len(u) = 0 THEN 1.0 WHEN v IS NULL THEN 0.0 ELSE coalesce(len(list_intersect(list_distinct(list_filter(u, lambda x: x NOT IN ('??', 'unknown'))), v)) / nullif(len(list_distinct(list_filter(list_concat(u, v), lambda x: x NOT IN ('??', 'unknown')))), 0), 0.0) END::DOUBLE AS rt"
+    " FROM cand c LEFT JOIN compared p ON p.query_id = c.query_id AND p.bug_id = c.bug_id LEFT JOIN lengths l ON l.query_id = c.query_id), both_of AS (SELECT *, rs * 0.5 + rd * 0.5 AS nl FROM three)"
+    " SELECT query_id, bug_id, round(rs, 6) AS rs, round(rd, 6) AS rd, round(rt, 6) AS rt, round(CASE WHEN nl > 0.2 AND rt > 0.05 THEN 0.75 + 0.25 * (nl + rt) / 2 WHEN nl > 0.2 THEN 0.5 + 0.25 * nl WHEN rt > 0.05 THEN 0.25 + 0.25 * rt ELSE 0.25 * (nl + rt) / 2 END, 6)::DOUBLE AS score FROM both_of",
+    "keyword_top": f"{KEYWORDS} SELECT query_id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM keys) WHERE rank <= 10",
+    "text_query": f"{SCORED} SELECT query_id, string_agg(bug_id::VARCHAR, ';' ORDER BY rank) AS ids FROM ranked WHERE rank <= 10 GROUP BY query_id",
+    "recommend_sentences": f"{KEYWORDS}, sentences AS ({SENTENCES}), held AS (SELECT b.query_id, b.bug_id, b.rank, s.pos, s.sentence FROM best b JOIN chosen c USING (query_id) JOIN sentences s ON s.bug_id = b.bug_id WHERE list_contains({tokens(strip('s.sentence'))}, c.term)),"
+    " sized AS (SELECT query_id, bug_id, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY min(rank) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM held GROUP BY query_id, bug_id)"
+    " SELECT query_id, bug_id, pos, sentence FROM held JOIN sized USING (query_id, bug_id) WHERE ahead <= 10",
+    "recommend_duplicates": f"{recursive(SIMILAR)}, {GROUPS}, few AS (SELECT s.query_id FROM sim s LEFT JOIN members m USING (bug_id) GROUP BY s.query_id HAVING count(DISTINCT m.\"group\") <= 10)"
+    " SELECT query_id, bug_id, rank, summ, descr AS \"desc\" FROM sim JOIN few USING (query_id) JOIN reports USING (bug_id) WHERE rank <= 5",
+    "explain_pairs": f"{SCORED}, first AS (SELECT r.query_id, r.bug_id, r.score, c.rs, c.rd FROM ranked r JOIN compared c USING (query_id, bug_id) WHERE r.rank = 1),"
+    " both_have AS (SELECT f.query_id, count(*) AS n FROM first f JOIN qtc q ON q.query_id = f.query_id JOIN tc t ON t.bug_id = f.bug_id AND t.field = q.field AND t.term = q.term GROUP BY f.query_id)"
+    " SELECT f.query_id, f.bug_id, i.summ AS ours, r.summ AS theirs, round(rs, 6) AS rs, round(rd, 6) AS rd, score, coalesce(n, 0) AS n_shared FROM first f JOIN incoming i USING (query_id) JOIN reports r USING (bug_id) LEFT JOIN both_have USING (query_id)",
+    "eval_rankings": f"{recursive(SIMILAR)}, {GROUPS}, own AS (SELECT s.query_id, m.\"group\" AS own FROM sim s JOIN members m USING (bug_id) WHERE s.rank = 1), cases AS (SELECT query_id, count(*) AS n_true FROM own JOIN members ON \"group\" = own GROUP BY query_id),"
+    " h1 AS (SELECT s.query_id, s.bug_id, s.rank, coalesce(m.\"group\" = o.own, false) AS hit FROM sim s JOIN own o USING (query_id) LEFT JOIN members m ON m.bug_id = s.bug_id),"
+    " few AS (SELECT s.query_id FROM sim s LEFT JOIN members m USING (bug_id) GROUP BY s.query_id HAVING count(DISTINCT m.\"group\") <= 10), h2 AS (SELECT * FROM h1 JOIN few USING (query_id) WHERE rank <= 5),"
+    f" {macro('similar', 'h1', 'LEFT JOIN')}, {macro('duplicate', 'h2', 'JOIN')} SELECT * FROM all_similar, all_duplicate",
+    "scores_at_least": "SELECT p_partkey, greatest(0, least(10, 11 - (p_size - 20)))::BIGINT AS n FROM part",
+    "penalty_added": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || ',' || p_type ELSE p_type END AS penalty FROM part",
+    "distinct_products": "SELECT DISTINCT source AS product FROM documents",
 }

@@ -15,7 +15,8 @@ from ..operators import evaluate, groups, recommend, similarity, terms
 from ..sources import reports
 from ..streaming import session
 from . import build
-from .domain import BIDF, TFIDF, compared, corpus, edges, incoming, incomplete, scored, table, weighted
+from ..lineage import checkpointed
+from .domain import BIDF, TFIDF, compared, corpus, edges, incoming, incomplete, scored, table, trace, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Similar enough for the synthetic texts, whose best reports score lower than real duplicates.
@@ -161,7 +162,7 @@ def _groups(spark, d):
 
 @query
 def duplicate_decision(spark, d):
-    return similarity.duplicates(_similar(spark, d), _groups(spark, d)[0], LOOSE).select("query_id", "bug_id", "score", "rank", "n_groups")
+    return similarity.duplicates(checkpointed(_similar(spark, d)), _groups(spark, d)[0], LOOSE).select("query_id", "bug_id", "score", "rank", "n_groups")
 
 
 def _ranked(spark, d):
@@ -232,8 +233,7 @@ def product_counts(spark, d):
 
 def _differences(spark, d):
     q, c, dfs, n = weighted(spark, d, BIDF)
-    rows = scored(spark, d)
-    best = similarity.top(rows, 10)
+    best = checkpointed(similarity.top(scored(spark, d, made=(q, c)), 10))
     return recommend.report_difference(best, q, c), best, dfs, n
 
 
@@ -271,7 +271,7 @@ def sentences_with_term(spark, d):
 
 def _pairs_of_best(spark, d, ours, theirs, value):
     """Incoming reports beside their best report, by description terms."""
-    best = similarity.top(scored(spark, d), 1).select("query_id", "bug_id")
+    best = checkpointed(similarity.top(scored(spark, d), 1).select("query_id", "bug_id"))
     a = best.join(ours.filter("field = 'desc'"), "query_id").select("query_id", "bug_id", "term", value)
     b = best.join(theirs.filter("field = 'desc'"), "bug_id").select("query_id", "bug_id", "term", value)
     return terms.compared(a, b, value, ["query_id", "bug_id"])
@@ -286,8 +286,10 @@ def compare_bow(spark, d):
 
 @query
 def compare_tfidf(spark, d):
-    q, c, *_ = weighted(spark, d, TFIDF)
-    return _pairs_of_best(spark, d, q, c, "w").select("query_id", "bug_id", "term", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") * F.col("b"), 6).alias("product"))
+    q, c, dfs, n = weighted(spark, d, TFIDF)
+    rows = _pairs_of_best(spark, d, q, c, "w").join(dfs.filter("field = 'desc'").select("term", "df"), "term", "left")
+    df = F.coalesce("df", F.lit(0))
+    return rows.select("query_id", "bug_id", "term", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") * F.col("b"), 6).alias("product"), df.cast("long").alias("df"), F.round(terms.idf(F.lit(n), df), 6).alias("idf"))
 
 
 @query
@@ -384,15 +386,107 @@ def frame_names(spark, d):
     return table(spark, d, "events").select("event_id", S.frame_name(record).alias("frame"))
 
 
+@query
+def similarity_over_candidates(spark, d):
+    """Every candidate of the incoming report's product, scored with stack traces by the heuristic strategy."""
+    s = Settings(bug_nl_threshold=0.2, bug_stacktrace_threshold=0.05)
+    ours, theirs, *_ = weighted(spark, d, BIDF)
+    asked = _asked(spark, d).join(incoming(spark, d).select("query_id", trace("query_id", 2).alias("stacktrace")), "query_id")
+    reports_ = corpus(spark, d).select("bug_id", "product", "ts", trace("bug_id", 3).alias("stacktrace"))
+    rows = similarity.over_candidates(asked, reports_, ours, theirs, s)
+    return rows.select("query_id", "bug_id", *[F.round(c, 6).alias(c) for c in ("rs", "rd", "rt", "score")])
+
+
+@query
+def keyword_top(spark, d):
+    return recommend.top_keywords(_keywords(spark, d)[0], 10)
+
+
+@query
+def text_query(spark, d):
+    """Ids of the ten reports most like a summary and a description, as one text."""
+    best = similarity.top(scored(spark, d), 10)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "bug_id"))), lambda x: x["bug_id"].cast("string"))
+    return best.groupBy("query_id").agg(F.array_join(ordered, ";").alias("ids"))
+
+
+def _recommended(spark, d):
+    """Sentences to ask about, their best reports, term vectors' inputs."""
+    rows, best, dfs, n = _differences(spark, d)
+    keyword = checkpointed(recommend.best_keyword(recommend.keyword_scores(rows, best, dfs, n)).select("query_id", "term"))
+    pieces = best.select("query_id", "bug_id").join(recommend.sentence_rows(corpus(spark, d)), "bug_id")
+    found = recommend.sentences_with(pieces, keyword, BIDF).withColumn("pos", F.col("pos").cast("long"))
+    return checkpointed(recommend.first_reports(found, best, 10)), dfs, n
+
+
+@query
+def recommend_sentences(spark, d):
+    return _recommended(spark, d)[0].select("query_id", "bug_id", "pos", "sentence")
+
+
+@query
+def recommend_clusters(spark, d):
+    """What is asked of each author: all sentences with the keyword, or one for each cluster of them."""
+    rows, dfs, n = _recommended(spark, d)
+    bags = rows.select(F.struct("query_id", "bug_id", "pos").alias("key"), F.lit("").alias("summ"), F.col("sentence").alias("desc"))
+    w = terms.weights(terms.term_counts(bags, TFIDF, "key", synonyms=False), dfs, n, "tfidf", "key").filter("w > 0").select("key.*", "term", "w")
+    return recommend.representatives(rows, w, BIDF.bug_sentence_number)
+
+
+@query
+def recommend_duplicates(spark, d):
+    """Id and texts of the reports that an incoming one seems to repeat."""
+    found = similarity.duplicates(checkpointed(_similar(spark, d)), _groups(spark, d)[0], LOOSE)
+    return recommend.duplicate_texts(found, corpus(spark, d))
+
+
+@query
+def explain_pairs(spark, d):
+    """Each incoming report beside its best one: summaries, similarities, score and number of shared terms."""
+    made = weighted(spark, d, BIDF)
+    pairs = checkpointed(compared(spark, d, BIDF, made))
+    nl = F.round(F.col("rs") * BIDF.bug_summary_ratio + F.col("rd") * BIDF.bug_description_ratio, similarity.DIGITS)
+    best = similarity.top(pairs.withColumn("score", nl), 1).drop("rank")
+    shared = made[0].select("query_id", "field", "term").join(best.select("query_id", "bug_id"), "query_id").join(made[1].select("bug_id", "field", "term"), ["bug_id", "field", "term"])
+    shared = shared.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    rows = best.join(shared, "query_id", "left").join(incoming(spark, d).select("query_id", F.col("summ").alias("ours")), "query_id").join(corpus(spark, d).select("bug_id", F.col("summ").alias("theirs")), "bug_id")
+    return rows.select("query_id", "bug_id", "ours", "theirs", F.round("rs", 6).alias("rs"), F.round("rd", 6).alias("rd"), "score", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+
+
+@query
+def eval_rankings(spark, d):
+    """Precision and recall of what the rankings return; a case's true group is that of its best report."""
+    rows, members = checkpointed(_similar(spark, d)), checkpointed(_groups(spark, d)[0])
+    own = rows.filter("rank = 1").join(members, "bug_id").select("query_id", F.col("group").alias("own"))
+    cases = own.join(members.groupBy(F.col("group").alias("own")).agg(F.count(F.lit(1)).alias("n_true")), "own").select("query_id", "n_true")
+    judge = lambda found: found.join(own, "query_id").join(members, "bug_id", "left").select("query_id", "bug_id", F.coalesce(F.col("group") == F.col("own"), F.lit(False)).alias("hit"))
+    return evaluate.macro(cases, judge(rows), judge(similarity.duplicates(rows, members, LOOSE)))
+
+
+@query
+def scores_at_least(spark, d):
+    return table(spark, d, "part").select("p_partkey", similarity.at_least(F.array(*[F.lit(i) for i in range(10, 0, -1)]), F.col("p_size") - 20).cast("long").alias("n"))
+
+
+@query
+def penalty_added(spark, d):
+    return table(spark, d, "part").select("p_partkey", T.added_penalty(F.when(F.col("p_size") > 25, F.col("p_brand")), F.col("p_type")).alias("penalty"))
+
+
+@query
+def distinct_products(spark, d):
+    return corpus(spark, d).select("product").distinct()
+
+
 @query
 def cluster_sentences(spark, d):
     s = recommend.sentence_rows(incoming(spark, d).withColumnRenamed("query_id", "bug_id"))
-    rows = s.select((F.col("bug_id") * 1000 + F.col("pos")).alias("bug_id"), F.lit("").alias("summ"), F.col("sentence").alias("desc"))
+    rows = s.select(F.struct("bug_id", "pos").alias("bug_id"), F.lit("").alias("summ"), F.col("sentence").alias("desc"))
     counts = terms.term_counts(rows, TFIDF, synonyms=False)
     n = corpus(spark, d).count()
     dfs = terms.field_counts(terms.term_counts(corpus(spark, d), BIDF, synonyms=False))
     w = terms.weights(counts, dfs, n, "tfidf").filter("w > 0").select(F.col("bug_id").alias("id"), "term", "w")
-    return recommend.cluster_sentences(recommend.sentence_features(w).cache(), 5)
+    return recommend.cluster_sentences(checkpointed(recommend.sentence_features(w)), 5)
 
 
 def _stemmed(name):

@@ -107,6 +107,13 @@ def to_line(r: DataFrame) -> DataFrame:
     return r.select(F.concat_ws(";", *parts).alias("line"))
 
 
+def build_line(r: DataFrame) -> DataFrame:
+    """line, as to_line, of a form's fields: raw_stack is the trace as it was pasted, put under the header that marks a trace."""
+    raw = F.coalesce("raw_stack", F.lit(""))
+    desc = F.when(raw == "", F.col("desc")).otherwise(F.concat_ws(" ", "desc", F.concat(F.lit(S.HEADER), raw)))
+    return to_line(r.withColumn("desc", desc).withColumn("stacktrace", F.array().cast(S.TRACE)))
+
+
 def from_line(lines: DataFrame, algorithm: str = "weight") -> DataFrame:
     """The report of each line; fields at the end may be missing."""
     f = F.split("line", ";", -1)

@@ -64,6 +64,14 @@ class Store:
     def remove_ids(self, name: str, ids: DataFrame, key: str = "bug_id") -> DataFrame:
         return self.write(name, self.read(name).join(ids.select(key).distinct(), key, "left_anti"))
 
+    def update(self, name: str, rows: DataFrame, key: str = "bug_id") -> DataFrame:
+        """Rows replace those of their keys and are added where there were none; of several rows of a key one is taken."""
+        new = rows.dropDuplicates([key])
+        return self.write(name, self.read(name).join(new.select(key), key, "left_anti").unionByName(new))
+
+    def distinct(self, name: str, column: str) -> DataFrame:
+        return self.read(name).select(column).distinct()
+
     def clean(self, name: str) -> DataFrame:
         return self.write(name, self.read(name).limit(0))
 
