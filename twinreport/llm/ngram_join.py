@@ -4,8 +4,8 @@ Documents with equal sets are one set with a number of copies. Each of RUNS inde
 at each level it joins the bucket of the shared token that its set samples (the least under a random order, so two sets
 sample the same one with a chance equal to their Jaccard similarity). Buckets of one set end; buckets of up to SMALL sets
 are compared by brute force; larger ones are split again on the next sampled token, down to LEVELS. What is still larger
-then is compared in blocks of sets, every block with every block, each in a task of its own. Runs are repeated until a
-pair at the threshold whose buckets take all levels is missed with a chance below 1 - RECALL.
+then shares LEVELS sampled tokens and is one candidate group as it is. Runs are repeated until a pair at the threshold whose
+buckets take all levels is missed with a chance below 1 - RECALL.
 
 Within a bucket, sets are compared by their samples; those that may be alike form candidate groups. The whole sets of each
 candidate group meet in blocks, where every pair's similarity is computed exactly, so precision is 1. Links are counted,
@@ -41,10 +41,12 @@ RECALL = 0.9998
 LEVELS = 5
 #: Repetitions: a pair at the threshold stays together for all levels with chance SIMILARITY ** LEVELS.
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - SIMILARITY**LEVELS))
-#: Sets of a bucket that is compared by brute force, and of a block of what cannot be split.
+#: Large buckets that are broadcast, at most; there is one in SMALL * RUNS sets or fewer at a level.
+LARGE = 100_000
+#: Sets of a bucket that is compared by brute force.
 SMALL = 1024
-#: Sets in a block of exact comparison.
-BLOCK = 384
+#: Sets in a block of exact comparison, and shingles, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Samples that agree for a candidate: over four standard deviations below the threshold.
 AGREE = 0.58
 
@@ -108,7 +110,8 @@ def _orders(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sampled(docs: DataFrame, samples: int) -> DataFrame:
-    """doc_id, sid, sid2 (the set's identity), n (its size), tokens (the sampled ones, 32 bits of each), text_hash."""
+    """doc_id, sid, sid2 (the set's identity), n (its size), tokens (the sampled ones, 32 bits of each), sketch (8 bits of
+    each, for comparing: chance only makes more candidates), text_hash."""
 
     def make():
         xor, times = _orders(samples)
@@ -118,36 +121,41 @@ def sampled(docs: DataFrame, samples: int) -> DataFrame:
                 sets = shingles(batch["text"][i : i + 512])
                 ids = [identity(s) for s in sets]
                 tokens = [(((s[None] ^ xor) * times).min(axis=1) >> _U(32)).astype(np.uint32).view(np.int32) if len(s) else None for s in sets]
-                yield {"doc_id": batch["doc_id"][i : i + 512], "sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "n": [len(s) for s in sets], "tokens": tokens, "text_hash": batch["text_hash"][i : i + 512]}
+                yield {"doc_id": batch["doc_id"][i : i + 512], "sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "n": [len(s) for s in sets], "tokens": tokens, "sketch": [None if t is None else t.astype("u1").tobytes() for t in tokens], "text_hash": batch["text_hash"][i : i + 512]}
 
         return each
 
-    return map_batches(texts(docs, F.xxhash64("text").alias("text_hash")), make, "doc_id long, sid long, sid2 long, n int, tokens array<int>, text_hash long")
+    return map_batches(texts(docs, F.xxhash64("text").alias("text_hash")), make, "doc_id long, sid long, sid2 long, n int, tokens array<int>, sketch binary, text_hash long")
 
 
-def buckets(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL) -> DataFrame:
-    """set, tokens, run, key, part_a, part_b, mine: the buckets of all runs that are compared, one row a set and bucket.
+def buckets(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """set, sketch, run, key: the buckets of all runs that are compared; and a, b: links of the sets of those that are still
+    larger at the last level, each to the least one."""
 
-    A bucket of up to `small` sets is (key, 0, 0). A larger one at the last level is there once for each pair of parts.
-    """
-    done = None
-    rows = sets.select("set", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.get("tokens", r * levels))).alias("run", "token"))
-    rows = rows.select("set", "run", F.xxhash64("run", "token").alias("key"))
+    def at(level: int) -> DataFrame:
+        """set, run, before, key: the bucket of every set and run at a level, and the one that it was in before."""
+        steps = lambda r, n: F.xxhash64(r, *[F.get("tokens", r * levels + i) for i in range(n)])
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), steps(r, level - 1).alias("before"), steps(r, level).alias("key")))
+        return sets.select("set", F.inline(pairs))
+
+    def checked(large: DataFrame) -> DataFrame:
+        return F.broadcast(large) if large.count() <= LARGE else large
+
+    done, large = None, None
     for level in range(1, levels + 1):
-        counts = rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        rows = checkpointed(spread_join(rows, counts, ["run", "key"], counts=counts.withColumnRenamed("m", "__m")))
-        last = level == levels
-        ready = (rows if last else rows.filter(F.col("m") <= small)).select("set", "run", "key", "m")
+        rows = at(level)
+        if large is not None:  # what is split again: the large buckets of the level before
+            rows = rows.join(large.select("run", F.col("key").alias("before")), ["run", "before"], "left_semi")
+        rows = rows.select("set", "run", "key")
+        counts = checkpointed(rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("m"), F.min("set").alias("least")).filter("m > 1"))
+        large = checked(counts.filter(F.col("m") > small).select("run", "key", "least"))
+        # Large buckets stay where they are; the others have no hot keys.
+        ready = rows.join(large, ["run", "key"], "left_anti").join(counts.filter(F.col("m") <= small).select("run", "key"), ["run", "key"])
         done = ready if done is None else done.unionByName(ready)
-        if last or rows.filter(F.col("m") > small).isEmpty():
+        if large.isEmpty():
             break
-        deeper = rows.filter(F.col("m") > small).join(sets.select("set", "tokens"), "set")
-        rows = deeper.select("set", "run", F.xxhash64("key", F.get("tokens", F.col("run") * levels + level)).alias("key"))
-    parts = F.ceil(F.col("m") / F.lit(small)).cast("int")
-    mine = F.pmod(F.xxhash64("set"), parts).cast("int")
-    df = done.select("set", "run", "key", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    df = df.select("set", "run", "key", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
-    return df.join(sets.select("set", "tokens"), "set")
+    links = rows.join(large, ["run", "key"]).filter("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
+    return done.select("set", "run", "key").join(sets.select("set", "sketch"), "set"), links
 
 
 def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
@@ -181,11 +189,11 @@ def candidates(bucketed: DataFrame, agree: float = AGREE) -> DataFrame:
     """a, b: in each bucket a link from every set to the least set of its candidate group there."""
 
     def each(table: pa.Table) -> Iterator[dict]:
-        sids, mine = table.column("set").to_numpy(), table.column("mine").to_numpy()
-        tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        sids = table.column("set").to_numpy()
+        tokens = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "u1").reshape(table.num_rows, -1)
         least = math.ceil(agree * tokens.shape[1])
         out_a, out_b = [], []
-        for a, b in _groups(table, ["run", "key", "part_a", "part_b"]):
+        for a, b in _groups(table, ["run", "key"]):
             t, s = tokens[a:b], sids[a:b]
             n = b - a
             if n == 2:
@@ -204,7 +212,7 @@ def candidates(bucketed: DataFrame, agree: float = AGREE) -> DataFrame:
         if out_a:
             yield {"a": np.concatenate(out_a), "b": np.concatenate(out_b)}
 
-    return _by_group(bucketed, ["run", "key", "part_a", "part_b"], each, "a long, b long").distinct()
+    return _by_group(bucketed, ["run", "key"], each, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -271,13 +279,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, l
     copies, root (of its class). Links: set, other, links."""
     rows = checkpointed(sampled(docs, runs * levels))
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    sets = named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
+    sets = named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = checkpointed(sets.withColumn("set", F.monotonically_increasing_id()))
-    groups = components(candidates(buckets(sets, runs, levels, small)))
+    compared, crowded = buckets(sets, runs, levels, small)
+    groups = components(candidates(compared).unionByName(crowded))
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("set"), F.col("root").alias("comp"))
-    groups = checkpointed(groups.join(sets.select("set", "sid", "sid2", "least", "copies"), "set"))
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    parts = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    groups = checkpointed(groups.join(sets.select("set", "sid", "sid2", "n", "least", "copies"), "set"))
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("m") / F.lit(block)), F.least("m", F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES)))).cast("int")
     placed = spread_join(groups, sizes, ["comp"], counts=sizes.withColumnRenamed("m", "__m"))
     placed = placed.select("set", "sid", "sid2", "comp", "copies", F.pmod(F.xxhash64("set"), parts).cast("int").alias("mine"), parts.alias("parts"))
 
@@ -293,8 +302,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, l
     members = members.select("set", "comp", "copies", "shingles", "mine", F.least("mine", "other").alias("part_a"), F.greatest("mine", "other").alias("part_b"))
     links = checkpointed(verified(members, similarity))
     roots = components(links.select(F.col("set").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "set")
-    sets = checkpointed(sets.drop("tokens").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
-    return rows.drop("tokens"), sets, links
+    sets = checkpointed(sets.drop("tokens", "sketch").join(roots, "set", "left").withColumn("root", F.coalesce("root", "set")))
+    return rows.drop("tokens", "sketch"), sets, links
 
 
 def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
