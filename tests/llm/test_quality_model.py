@@ -82,4 +82,4 @@ def test_own_scores_leave_out_a_documents_own_counts(corpus):
 
 def test_buckets_grow_with_the_corpus(spark):
     sizes = [quality_rules.bucket_count(spark.range(n).selectExpr("repeat('x', 1000000) AS text")) for n in (0, 1, 256, 1024)]
-    assert sizes == [1 << 14, 1 << 14, 1 << 15, 1 << 16]
+    assert sizes == [1 << 14, 1 << 14, 1 << 17, 1 << 18]

@@ -32,7 +32,7 @@ from ..lineage import removed, written
 from .common import SPACES, checkpointed, texts
 
 #: Buckets for each square root of the corpus' bytes; the number is rounded up to a power of two.
-GROWTH = 2
+GROWTH = 8
 #: Buckets that are broadcast, at most; more meet the n-grams by a shuffle.
 BROADCAST = 1 << 22
 #: Bits of the bitmap of labelled ids, at most, and for each id.
