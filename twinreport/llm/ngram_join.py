@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import spread_join
+from ..lineage import removed, spread_join, written
 from ..operators.components import components
 from .common import WORD, checkpointed, map_batches, texts
 from .grouped import grouped
@@ -47,6 +47,8 @@ LARGE = 100_000
 SMALL = 1024
 #: Sets in a block of exact comparison, and shingles, about.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Shingles times orders that are sampled at a time.
+SAMPLED = 1 << 17
 #: Samples that agree for a candidate: over four standard deviations below the threshold.
 AGREE = 0.58
 
@@ -109,6 +111,13 @@ def _orders(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     return draw(), draw()
 
 
+def _sample(s: np.ndarray, xor: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """32 bits of the least shingle under each order, some orders at a time, so that a long text takes no more memory."""
+    step = max(1, SAMPLED // len(s))
+    least = [((s[None] ^ xor[i : i + step]) * times[i : i + step]).min(axis=1) for i in range(0, len(xor), step)]
+    return (np.concatenate(least) >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def sampled(docs: DataFrame, samples: int) -> DataFrame:
     """doc_id, sid, sid2 (the set's identity), n (its size), tokens (the sampled ones, 32 bits of each), sketch (8 bits of
     each, for comparing: chance only makes more candidates), text_hash."""
@@ -120,7 +129,7 @@ def sampled(docs: DataFrame, samples: int) -> DataFrame:
             for i in range(0, len(batch["text"]), 512):
                 sets = shingles(batch["text"][i : i + 512])
                 ids = [identity(s) for s in sets]
-                tokens = [(((s[None] ^ xor) * times).min(axis=1) >> _U(32)).astype(np.uint32).view(np.int32) if len(s) else None for s in sets]
+                tokens = [_sample(s, xor, times) if len(s) else None for s in sets]
                 yield {"doc_id": batch["doc_id"][i : i + 512], "sid": [a for a, _ in ids], "sid2": [b for _, b in ids], "n": [len(s) for s in sets], "tokens": tokens, "sketch": [None if t is None else t.astype("u1").tobytes() for t in tokens], "text_hash": batch["text_hash"][i : i + 512]}
 
         return each
@@ -128,34 +137,37 @@ def sampled(docs: DataFrame, samples: int) -> DataFrame:
     return map_batches(texts(docs, F.xxhash64("text").alias("text_hash")), make, "doc_id long, sid long, sid2 long, n int, tokens array<int>, sketch binary, text_hash long")
 
 
-def buckets(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """set, sketch, run, key: the buckets of all runs that are compared; and a, b: links of the sets of those that are still
-    larger at the last level, each to the least one."""
-
-    def at(level: int) -> DataFrame:
-        """set, run, before, key: the bucket of every set and run at a level, and the one that it was in before."""
-        steps = lambda r, n: F.xxhash64(r, *[F.get("tokens", r * levels + i) for i in range(n)])
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), steps(r, level - 1).alias("before"), steps(r, level).alias("key")))
-        return sets.select("set", F.inline(pairs))
-
-    def checked(large: DataFrame) -> DataFrame:
-        return F.broadcast(large) if large.count() <= LARGE else large
+def buckets(sets: DataFrame, runs: int = RUNS, levels: int = LEVELS, small: int = SMALL) -> tuple[DataFrame, DataFrame, list[str]]:
+    """set, sketch, run, key: the buckets of all runs that are compared; a, b: links of the sets of those that are still
+    larger at the last level, each to the least one; and the paths of tables that both read.
 
-    done, large = None, None
+    A level reads what the one before left in large buckets, with the rest of the run's sampled tokens, and no set again.
+    """
+    path = lambda r: F.slice("tokens", r * levels + 1, levels)
+    rows = sets.select("set", F.inline(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.struct(r.alias("run"), path(r).alias("path")))))
+    done, paths, keys = None, [], ["run", "key"]
+    links = sets.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
     for level in range(1, levels + 1):
-        rows = at(level)
-        if large is not None:  # what is split again: the large buckets of the level before
-            rows = rows.join(large.select("run", F.col("key").alias("before")), ["run", "before"], "left_semi")
-        rows = rows.select("set", "run", "key")
-        counts = checkpointed(rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("m"), F.min("set").alias("least")).filter("m > 1"))
-        large = checked(counts.filter(F.col("m") > small).select("run", "key", "least"))
-        # Large buckets stay where they are; the others have no hot keys.
-        ready = rows.join(large, ["run", "key"], "left_anti").join(counts.filter(F.col("m") <= small).select("run", "key"), ["run", "key"])
+        rows = rows.select("set", "run", F.xxhash64("run", F.slice("path", 1, level)).alias("key"), "path")
+        counts = checkpointed(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.min("set").alias("least")).filter("m > 1"))
+        large = counts.filter(F.col("m") > small).select(*keys, "least")
+        crowded = large.count()
+        if crowded:
+            # Each row is marked by one join; the large buckets stay where they are, unless they are many.
+            sizes = counts.filter(F.col("m") > small).select(*keys, F.col("m").alias("__m"))
+            marked = rows.join(F.broadcast(large), keys, "left") if crowded <= LARGE else spread_join(rows, large, keys, "left", counts=sizes)
+            rest = F.when(F.col("least").isNotNull(), F.col("path")).alias("path") if level < levels else F.lit(None).alias("path")
+            rows, at = written(marked.select("set", *keys, "least", rest.cast("array<int>")), "buckets")
+            paths.append(at)
+        # What is left has no hot keys.
+        ready = (rows.filter("least IS NULL") if crowded else rows).join(counts.filter(F.col("m") <= small).select(*keys), keys).select("set", *keys)
         done = ready if done is None else done.unionByName(ready)
-        if large.isEmpty():
+        if not crowded:
             break
-    links = rows.join(large, ["run", "key"]).filter("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
-    return done.select("set", "run", "key").join(sets.select("set", "sketch"), "set"), links
+        rows = rows.filter("least IS NOT NULL")
+    else:
+        links = rows.filter("set != least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
+    return done.join(sets.select("set", "sketch"), "set"), links, paths
 
 
 def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
@@ -168,12 +180,20 @@ def _groups(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
 
 
+def _slabs(n: int) -> Iterator[slice]:
+    """Rows of a matrix of n columns, some at a time, so that temporaries stay small."""
+    step = max(1, (1 << 19) // n)
+    yield from (slice(i, i + step) for i in range(0, n, step))
+
+
 def _forest(linked: np.ndarray) -> np.ndarray:
     """The least member of each one's component, for a square matrix of links."""
-    root = np.arange(len(linked))
-    reach = linked | linked.T | np.eye(len(linked), dtype=bool)
+    n = len(linked)
+    root = np.arange(n)
+    reach = linked | linked.T
+    np.fill_diagonal(reach, True)
     while True:
-        new = np.where(reach, root[None], len(root)).min(axis=1)
+        new = np.concatenate([np.where(reach[i], root[None], n).min(axis=1) for i in _slabs(n)])
         new = new[new]
         if (new == root).all():
             return root
@@ -228,14 +248,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     keep = shared[number]
     column = (np.cumsum(shared) - 1)[number[keep]]
     owner = owner[keep]
-    out = np.zeros((n, n), np.float64)
-    width = 4096
+    # Sums of ones are exact in single precision up to 2 ** 24.
+    out = np.zeros((n, n), np.float32 if max(map(len, sets)) < 1 << 24 else np.float64)
+    width = max(256, (1 << 21) // n)
     for c in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [c, c + width])
         m = np.zeros((n, width), np.float32)
         m[owner[a:b], column[a:b] - c] = 1
         out += m @ m.T
-    inter = np.rint(out).astype(np.int64)
+    inter = out.astype(np.int32)
     np.fill_diagonal(inter, [len(s) for s in sets])
     return inter
 
@@ -256,16 +277,18 @@ def verified(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             sets = [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in own]
             s, k, m = sids[own], copies[own], mine[own]
             inter = overlaps(sets)
-            size = np.diag(inter)
-            union = size[:, None] + size[None] - inter
-            linked = inter * 1000 >= bound * union
+            size = np.diag(inter).astype(np.int64)
+            linked = np.empty(inter.shape, bool)
+            for i in _slabs(len(sets)):
+                both = inter[i].astype(np.int64)
+                linked[i] = both * 1000 >= bound * (size[i, None] + size[None] - both)
             np.fill_diagonal(linked, False)
             if table.column("part_a")[a].as_py() != table.column("part_b")[a].as_py():
                 linked &= m[:, None] != m[None]  # pairs within a part are counted where it meets itself
             root = _forest(linked)
             out[0].append(s)
             out[1].append(s[root])
-            out[2].append((linked * k[None]).sum(axis=1))
+            out[2].append(np.concatenate([(linked[i] * k[None]).sum(axis=1) for i in _slabs(len(sets))]))
         if out[0]:
             sid, other, links = (np.concatenate(x) for x in out)
             some = links > 0
@@ -281,8 +304,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, runs: int = RUNS, l
     named = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     sets = named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = checkpointed(sets.withColumn("set", F.monotonically_increasing_id()))
-    compared, crowded = buckets(sets, runs, levels, small)
-    groups = components(candidates(compared).unionByName(crowded))
+    compared, crowded, paths = buckets(sets, runs, levels, small)
+    try:
+        groups = components(candidates(compared).unionByName(crowded))
+    finally:
+        for path in paths:
+            removed(docs.sparkSession, path)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("set"), F.col("root").alias("comp"))
     groups = checkpointed(groups.join(sets.select("set", "sid", "sid2", "n", "least", "copies"), "set"))
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
