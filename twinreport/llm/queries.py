@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, fingerprints, license_scan, mixing, neighbours, ngram_join, packing, pii, quality_classifier, token_counts, tool_calls
+from . import collocations, divergence, fingerprints, license_scan, mixing, neighbours, ngram_join, packing, pii, quality_classifier, token_counts, tool_calls
 from .common import table
 from .quality_rules import quality_rules
 
@@ -51,6 +51,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -61,10 +65,11 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scans, op2_chat_formatting, op3_packing, op4_ngram_join, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii, op12_source_divergence, op13_fingerprints)
+    for f in (op1_license_scans, op2_chat_formatting, op3_packing, op4_ngram_join, op5_token_counts, op6_mixing, op7_quality_rules, op8_quality_classifier, op9_nearest_neighbours, op10_pii, op11_collocations, op12_source_divergence, op13_fingerprints)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": collocations.SQL,
     "op12_source_divergence": divergence.SQL,
     "op13_fingerprints": fingerprints.SQL,
     "op2_chat_formatting": r"""
