@@ -11,7 +11,7 @@ encoded texts numpy advances the states of all positions of a row at once, level
 that are reached by bincount; the tasks' counts are summed in shards. A word is two steps of the trie, its number's high
 and low half, so that a state's children lie close together.
 
-More candidates make more parts and so more passes over the encoded texts, one for each million candidates about; no
+More candidates make more parts and so more passes over the encoded texts, one for each PART of them; no
 candidate is left out.
 
 Defined results: a null text counts as empty, a null lang as `und`; repeated rows count each; ties go to the first phrase
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,29 +37,27 @@ from .grouped import grouped
 #: Occurrences of a candidate; part of a phrase's occurrences (in hundredths) that drops it for a longer one; rows a language.
 LEAST, COVERED, ROWS = 10, 50, 2000
 #: Candidates of a trie, about.
-PART = 1_000_000
+PART = 500_000
 #: Bits of a bitmap of what is frequent, at most.
 BITS = 1 << 27
-#: Characters of text in a row of encoded texts, about; words that a task counts or looks up before it starts afresh.
-SLAB, WORDS = 4 << 20, 300_000
+#: Bytes of text in a row of encoded texts, about; words that a task counts or looks up before it starts afresh.
+SLAB, WORDS = 2 << 20, 200_000
 #: Phrases that a task counts before it sends them on; of all words, so many make a shard.
-HELD, SHARD = 2_000_000, 1 << 20
+HELD, SHARD = 700_000, 1 << 20
 
-BREAK = "\n"
-#: Lower case for A-Z, a space for a tab, a break of its own for what ends a piece.
-LETTERS = {c: chr(c + 32) for c in range(ord("A"), ord("Z") + 1)} | {9: " "} | {ord(c): f" {BREAK} " for c in ".,;:!?\n\x0b\x0c\r"}
+BREAK = b"\n"
+#: Lower case for A-Z, a space for a tab, BREAK for what ends a piece; bytes of other characters stay.
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else c for c in range(256))
 
 
-def split(text: str | None) -> list[str]:
-    """The words of a text in order, BREAK between pieces and '' wherever."""
-    return (text or "").translate(LETTERS).split(" ")
+def split(text: bytes | None) -> list[bytes]:
+    """The words of a text (UTF-8) in order, BREAK between pieces and empty ones wherever."""
+    return (text or b"").translate(LETTERS).replace(BREAK, b" \n ").split(b" ")
 
 
-def word_hash(lang: str, word: str, seed: int) -> int:
+def word_hash(lang: bytes, word: bytes, seed: int) -> int:
     """0 and 1 are left to breaks and to nothing."""
-    import xxhash
-
-    return max(2, xxhash.xxh3_64_intdigest(f"{lang}\0{word}".encode(), seed))
+    return max(2, xxhash.xxh3_64_intdigest(lang + b"\0" + word, seed))
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -66,7 +65,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
@@ -78,14 +77,14 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     fields = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, Counter] = {}
+        found: dict[bytes, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in found.items():
-                counts.pop("", None)
+                counts.pop(b"", None)
                 counts.pop(BREAK, None)
                 h = _signed(np.fromiter((word_hash(lang, w, seed) for w in counts), np.uint64, len(counts)))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(h), pa.array(list(counts.values()), pa.int64())], schema=fields)
+                yield pa.RecordBatch.from_arrays([pa.array([lang.decode()] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(h), pa.array(list(counts.values()), pa.int64())], schema=fields)
             found.clear()
 
         for batch in batches:
@@ -157,7 +156,7 @@ def encode(docs: DataFrame, seed: int, frequent) -> DataFrame:
     fields = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, dict[str, int]] = {}
+        cache: dict[bytes, dict[bytes, int]] = {}
         held: list[np.ndarray] = []
         size = 0
 
@@ -174,19 +173,19 @@ def encode(docs: DataFrame, seed: int, frequent) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                known = cache.setdefault(lang, {"": 1, BREAK: 0})
+                known = cache.setdefault(lang, {b"": 1, BREAK: 0})
                 words = split(text)
                 new = list(set(words).difference(known))
                 if sum(map(len, cache.values())) + len(new) > WORDS:
                     cache.clear()
-                    known = cache.setdefault(lang, {"": 1, BREAK: 0})
+                    known = cache.setdefault(lang, {b"": 1, BREAK: 0})
                     new = list(set(words).difference(known))
                 if new:
                     h = np.fromiter((word_hash(lang, w, seed) for w in new), np.uint64, len(new))
                     known.update(zip(new, np.where(among(frequent.value, [h]), h, 0).tolist(), strict=True))
                 h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 held += [h[h != 1], np.zeros(1, np.uint64)]
-                size += len(text or "")
+                size += len(text or b"")
                 if size > SLAB:
                     yield out()
                     size = 0
@@ -240,15 +239,20 @@ def frequent_phrases(encoded: DataFrame, k: int, below, shards: int, least: int
         """The phrases of a row and how often each is there."""
         at = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         wide = len(words) + 1
-        pairs, number = np.unique(codes[at].astype(np.int64) * wide + codes[at + 1], return_inverse=True)
-        columns = [words[pairs // wide - 1], words[pairs % wide - 1]]
+        pair = codes[at].astype(np.int64) * wide + codes[at + 1]
         if k == 2:
-            return columns, np.bincount(number, minlength=len(pairs))
-        pair = np.full(len(codes), -1, np.int64)  # of each position, if it is frequent
-        pair[at] = np.where(among(below.value, columns)[number], number, -1)
-        at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-        triples, number = np.unique(pair[at] * wide + codes[at + 2], return_inverse=True)
-        return [*[c[triples // wide] for c in columns], words[triples % wide - 1]], np.bincount(number, minlength=len(triples))
+            pairs, n = np.unique(pair, return_counts=True)
+            return [words[pairs // wide - 1], words[pairs % wide - 1]], n
+        often = np.zeros(len(codes), bool)
+        often[at] = among(below.value, [words[codes[at] - 1], words[codes[at + 1] - 1]])
+        at = np.flatnonzero(often[:-1] & often[1:])
+        pair = codes[at].astype(np.int64) * wide + codes[at + 1]
+        named = None
+        if wide > 1 << 21:  # numbers of pairs, as three words don't fit 64 bits
+            named, pair = np.unique(pair, return_inverse=True)
+        triples, n = np.unique(pair * wide + codes[at + 2], return_counts=True)
+        pairs = triples // wide if named is None else named[triples // wide]
+        return [words[pairs // wide - 1], words[pairs % wide - 1], words[triples % wide - 1]], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[np.ndarray], np.ndarray]] = []
