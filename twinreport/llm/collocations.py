@@ -41,7 +41,7 @@ PART = 500_000
 #: Bits of a bitmap of what is frequent, at most.
 BITS = 1 << 27
 #: Bytes of text in a row of encoded texts, about; words that a task counts or looks up before it starts afresh.
-SLAB, WORDS = 2 << 20, 200_000
+SLAB, WORDS = 2 << 20, 150_000
 #: Phrases that a task counts before it sends them on; of all words, so many make a shard.
 HELD, SHARD = 700_000, 1 << 20
 
@@ -68,6 +68,12 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
+def rows(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes | None]]:
+    """lang, text of one row after the other, so that a batch's texts are not there twice."""
+    for lang, text in zip(*batch.columns, strict=True):
+        yield lang.as_py(), text.as_py()
+
+
 # --- words ---------------------------------------------------------------------------------------------------------
 
 
@@ -88,7 +94,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
             found.clear()
 
         for batch in batches:
-            for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for lang, text in rows(batch):
                 found.setdefault(lang, Counter()).update(split(text))
                 if sum(map(len, found.values())) > WORDS:
                     yield from out()
@@ -122,11 +128,11 @@ def mix(columns: list[np.ndarray]) -> np.ndarray:
     return m
 
 
-def bitmap(rows: DataFrame, columns: list[str], n: int) -> np.ndarray:
-    """Bits of the rows' hashes, n rows: 64-bit words, BITS / 64 of them at most."""
+def bitmap(often: DataFrame, columns: list[str], n: int) -> np.ndarray:
+    """Bits of the hashes of the rows, n of them: 64-bit words, BITS / 64 of them at most."""
     bits = 1 << max(6, min(BITS.bit_length() - 1, (32 * n).bit_length()))
     schema = "at long, bits long"
-    fields = pa_schema(rows.sparkSession, schema)
+    fields = pa_schema(often.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +143,7 @@ def bitmap(rows: DataFrame, columns: list[str], n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(_signed(at)), pa.array(_signed(made))], schema=fields)
 
     out = np.zeros(bits // 64, np.uint64)
-    parts = rows.select(*columns).mapInArrow(run, schema).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    parts = often.select(*columns).mapInArrow(run, schema).groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[parts.column("at").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
     return out
 
@@ -172,7 +178,7 @@ def encode(docs: DataFrame, seed: int, frequent) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary())], schema=fields)
 
         for batch in batches:
-            for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for lang, text in rows(batch):
                 known = cache.setdefault(lang, {b"": 1, BREAK: 0})
                 words = split(text)
                 new = list(set(words).difference(known))
@@ -417,17 +423,16 @@ def count_phrases(spark: SparkSession, encoded: DataFrame, trie) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
-        total = np.zeros(len(t.base), np.int64)
+        found = np.zeros(len(t.accepts), np.int64)
         held, size = [], 0
         for words, codes in slabs(batches):
             held += t.states(words, codes)
             size += sum(map(len, held[-2:]))
             if size > HELD:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+                found += np.bincount(np.concatenate(held), minlength=len(t.base))[t.accepts]
                 held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        found = total[t.accepts]
+            found += np.bincount(np.concatenate(held), minlength=len(t.base))[t.accepts]
         for i in range(0, len(found), step):
             if found[i : i + step].any():
                 yield pa.RecordBatch.from_pydict({"shard": [i // step], "n": [_planes(found[i : i + step])]}, schema=fields)
