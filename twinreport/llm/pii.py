@@ -54,7 +54,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _AREA = re.compile(r"[0-9+][0-9+() .-]*")
 #: The same with the slash of loose numbers.
 _LOOSE_AREA = re.compile(r"[0-9+][0-9+() ./-]*")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+#: What a run of digits doesn't begin, no later digit of it begins either.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 

@@ -74,7 +74,7 @@ ORACLE_SQL: dict[str, str] = {
     "op13_fingerprints": fingerprints.SQL,
     "op2_chat_formatting": r"""
 WITH RECURSIVE asks AS (
-  SELECT conv_id, turn, role = 'user' AS is_user, text, ((conv_id * 7 + turn) % 20 + 20) % 20 AS kind, coalesce(to_json(text)::VARCHAR, 'null') AS said
+  SELECT conv_id, turn, role = 'user' AS is_user, text, (((conv_id % 20) * 7 + turn % 20) % 20 + 20) % 20 AS kind, coalesce(to_json(text)::VARCHAR, 'null') AS said
   FROM conversations WHERE role IN ('user', 'system') AND turn IS NOT NULL AND conv_id IS NOT NULL
 ), made AS (
   SELECT *, CASE WHEN is_user THEN 'answer' ELSE 'configure' END AS name,

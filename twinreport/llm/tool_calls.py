@@ -41,7 +41,7 @@ TYPES = {
     "array": "ARRAY<.*>",
     "null": "VOID",
 }
-#: Positions in a bucket of the places.
+#: Positions in a bucket of the places, and levels in a block of them.
 BUCKET = 1024
 #: Dependencies of a call through which others are seen to be implied, at most; more only means more rounds.
 NARROW = 4
@@ -62,13 +62,14 @@ def _number(t: Column) -> Column:
 
 def canonical(json: Column) -> Column:
     """Canonical JSON of a JSON text; null if it doesn't parse."""
-    # With escapes put aside, every other piece between quotes is outside of strings; raw control characters are not JSON.
+    # With escapes put aside, every other piece between quotes is outside of strings. Raw control characters, as stand for
+    # the escapes meanwhile, are not JSON.
     masked = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
     token = lambda t: F.when(t.rlike("^-?[0-9]"), _number(t)).otherwise(t)
     outside = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit("-?[0-9][0-9.eE+-]*|[^0-9-]+|-"), F.lit(0)), token), "")
     pieces = F.transform(F.split(masked, '"'), lambda x, i: F.when((i % 2 == 0) & x.rlike("[0-9]"), outside(x)).otherwise(x))
     spelled = F.replace(F.replace(F.array_join(pieces, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
-    return F.to_json(F.try_parse_json(spelled))
+    return F.when(~json.rlike("[\x01\x02]"), F.to_json(F.try_parse_json(spelled)))
 
 
 def valid(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -154,8 +155,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     answers = answers.select(*KEYS, F.col("position").alias("result_position"), "content", F.col("n").alias("n_results"))
     ranked = one.join(levels(one), KEYS, "left").withColumn("__bucket", F.floor(F.coalesce("position", F.lit(0)) / BUCKET))
     parts = ranked.filter(F.col("level").isNotNull()).groupBy("conv_id", "level", "__bucket").agg(F.count(F.lit(1)).alias("__m"))
-    ahead = Window.partitionBy("conv_id").orderBy("level", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("conv_id", "level", "__bucket", F.coalesce(F.sum("__m").over(ahead), F.lit(0)).alias("__ahead"))
+    # A conversation may be one chain of calls, with a level each, so sums run within blocks of levels and over the blocks.
+    parts = checkpointed(parts.withColumn("__block", F.floor(F.col("level") / BUCKET)))
+    over = Window.partitionBy("conv_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = parts.groupBy("conv_id", "__block").agg(F.sum("__m").alias("__sum")).select("conv_id", "__block", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("conv_id", "__block").orderBy("level", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__ahead", F.coalesce(F.sum("__m").over(within), F.lit(0))).join(blocks, ["conv_id", "__block"])
+    parts = parts.select("conv_id", "level", "__bucket", (F.col("__ahead") + F.col("__before")).alias("__ahead"))
     inside = Window.partitionBy("conv_id", "level", "__bucket").orderBy("position", "call_id")
     placed = ranked.withColumn("__inside", F.row_number().over(inside) - 1).join(parts, ["conv_id", "level", "__bucket"], "left")
     df = placed.withColumn("place", F.when(F.col("level").isNotNull(), F.col("__ahead") + F.col("__inside")))
@@ -200,13 +206,13 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     A user's or system's turn whose text is a JSON object with name and arguments is that call. Each other user turn calls
     `answer`, each system turn `configure`; as such calls would all be sound, a rule (VARIETY) makes some of them unsound in
     each way that validation and ordering know. A call depends on the user's or system's turns one and two before it. The
-    assistant's turn after a call is its result. Turns of other roles are neither; null conversations or turns take no part.
+    assistant's turn after a call is its result; at the least turn that a long can hold it is none's. Turns of other roles are neither; null conversations or turns take no part.
     """
     id_of = lambda t: F.concat(F.lit("call_"), t.cast("string"))
     text, turn = F.col("text"), F.col("turn")
     user = F.col("role") == "user"
     asks = conversations.filter(F.col("role").isin("user", "system") & turn.isNotNull() & F.col("conv_id").isNotNull())
-    kind, number = F.pmod(F.col("conv_id") * 7 + turn, F.lit(VARIETY)), turn.cast("string")
+    kind, number = F.pmod(F.pmod("conv_id", F.lit(VARIETY)) * 7 + F.pmod(turn, F.lit(VARIETY)), F.lit(VARIETY)), turn.cast("string")
     member = lambda key, value: F.concat(F.lit(f'"{key}":'), value)
     said, mood = quoted(text), F.lit('"mood":true')
     answer = (
@@ -229,11 +235,11 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # Which of the two turns are calls is known from the table alone: a join with the distinct turns of calls.
     turns = asks.select("conv_id", turn.alias("__turn")).distinct()
-    before = rows.select("conv_id", "call_id", "position").distinct().select("*", F.explode(F.array(F.col("position") - 1, F.col("position") - 2)).alias("__turn"))
+    before = rows.select("conv_id", "call_id", "position").distinct().select("*", F.explode(F.array(F.try_subtract("position", F.lit(1)), F.try_subtract("position", F.lit(2)))).alias("__turn"))
     needs = before.join(turns, ["conv_id", "__turn"]).groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set(id_of(F.col("__turn")))).alias("depends_on"))
     more = F.when(F.col("is_told"), F.array().cast("array<string>")).when(F.col("kind") == 3, F.array(F.lit("call_missing"))).when(F.col("kind") == 4, F.array("call_id")).otherwise(F.array().cast("array<string>"))
     calls = rows.join(needs, ["conv_id", "call_id"], "left").withColumn("depends_on", F.concat(F.coalesce("depends_on", F.array().cast("array<string>")), more))
-    results = conversations.filter((F.col("role") == "assistant") & turn.isNotNull()).select("conv_id", id_of(turn - 1).alias("call_id"), turn.alias("position"), text.alias("content"))
+    results = conversations.filter((F.col("role") == "assistant") & turn.isNotNull()).select("conv_id", id_of(F.try_subtract(turn, F.lit(1))).alias("call_id"), turn.alias("position"), text.alias("content"))
     return calls, results
 
 
