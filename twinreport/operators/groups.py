@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import checkpointed
 from .components import components
 
 
@@ -26,6 +29,51 @@ def duplicate_groups(edges: DataFrame, incomplete: DataFrame) -> tuple[DataFrame
     return members, sizes
 
 
+@dataclass
+class GroupStore:
+    """Duplicate groups that links are added to: nodes (bug_id, group), links (group, e: statements), bad (bug_id)."""
+
+    nodes: DataFrame
+    links: DataFrame
+    bad: DataFrame
+    #: Nodes whose group another one took in at the last addition, and nodes that came with it.
+    moved: int = 0
+    added: int = 0
+
+    @staticmethod
+    def empty(spark: SparkSession) -> GroupStore:
+        rows = lambda schema: checkpointed(spark.createDataFrame([], schema))
+        return GroupStore(rows("bug_id long, group long"), rows("group long, e long"), rows("bug_id long"))
+
+    def with_links(self, edges: DataFrame, incomplete: DataFrame | None = None) -> GroupStore:
+        """The store after more links (src, dst; one row per statement) and more incomplete reports.
+
+        New links meet the stored groups of their ends, and only these groups are joined: the components are those of the
+        links between groups, at most as many as there are new links, and only nodes of groups that another one takes in
+        get another name. A group's name stays the least of all it joins.
+        """
+        edges = checkpointed(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("bug_id")).distinct().join(self.nodes, "bug_id", "left")
+        ends = checkpointed(ends.select("bug_id", F.col("group").isNull().alias("new"), F.coalesce("group", "bug_id").alias("old")))
+        of = lambda c, name: ends.select(F.col("bug_id").alias(c), F.col("old").alias(name))
+        between = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst")
+        names = checkpointed(components(between.select("a", "b")).select(F.col("node").alias("group"), F.col("root").alias("to")))
+        renamed = lambda df: df.join(names, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
+        fresh = ends.filter("new").select("bug_id", F.col("old").alias("group"))
+        statements = renamed(between.groupBy(F.col("a").alias("group")).agg(F.count(F.lit(1)).alias("e")))
+        links = renamed(self.links).unionByName(statements).groupBy("group").agg(F.sum("e").alias("e"))
+        bad = self.bad if incomplete is None else self.bad.unionByName(incomplete.select(F.col("bug_id").cast("long").alias("bug_id"))).distinct()
+        moved = self.nodes.join(names, "group", "left_semi").count()
+        nodes = checkpointed(renamed(self.nodes.unionByName(fresh)).select("bug_id", "group"))
+        return GroupStore(nodes, checkpointed(links), checkpointed(bad), moved, fresh.count())
+
+    def groups(self) -> tuple[DataFrame, DataFrame]:
+        """Members and sizes, as `duplicate_groups` of all links so far."""
+        marked = self.nodes.join(self.bad.withColumn("__bad", F.lit(True)), "bug_id", "left").withColumn("__bad", F.coalesce("__bad", F.lit(False)))
+        sizes = marked.groupBy("group").agg(F.count_if("__bad").alias("i"), F.count_if(~F.col("__bad")).alias("n_members")).join(self.links, "group")
+        return marked.filter(~F.col("__bad")).select("bug_id", "group"), sizes.filter("n_members > 0").select("group", (F.col("e") + 1 - F.col("i")).alias("size"), "n_members")
+
+
 def star_groups(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members and sizes where each origin (src) with its targets (dst) is a group; a report in several is in that of the largest origin."""
     full = edges.select(F.col("src").alias("group"), F.col("dst").alias("bug_id")).unionByName(edges.select(F.col("src").alias("group"), F.col("src").alias("bug_id"))).distinct()

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.stacktrace import TRACE, stack_similarity
+from ..lineage import checkpointed, spread_join
 
 #: Scores are rounded before they are ranked, so that the order of sums doesn't decide ties.
 DIGITS = 6
+#: Incoming reports that are broadcast, at most.
+SENT = 100_000
 
 
 def products(incoming: DataFrame, corpus: DataFrame, query: str = "query_id", key: str = "bug_id") -> DataFrame:
@@ -72,14 +75,34 @@ def score(rs: Column, rd: Column, rt: Column, settings: Settings, has_stack: Col
     )
 
 
-def candidates(incoming: DataFrame, reports: DataFrame, settings: Settings) -> DataFrame:
+def candidates(incoming: DataFrame, reports: DataFrame, settings: Settings, sent: int = SENT) -> DataFrame:
     """query_id, bug_id: reports of the product that are not older than the window nor excluded, nor the report itself.
 
-    incoming: query_id, product, ts (null: no bound), exclude (array or null), dummy_bug_id (or null). For pairs that are
-    already formed use `is_candidate`; this join pairs every report of a product with its incoming reports.
+    incoming: query_id, product, ts (null: no bound), exclude (array or null), dummy_bug_id (or null). Up to `sent` of them
+    are broadcast, so reports are filtered where they lie; more meet them in a range join (`in_ranges`).
     """
     q = incoming.select("query_id", "product", F.col("ts").alias("__ts"), "exclude", "dummy_bug_id")
-    return reports.select("bug_id", "product", "ts").join(q, "product").filter(is_candidate(settings)).select("query_id", "bug_id")
+    rows = reports.select("bug_id", "product", "ts")
+    pairs = rows.join(F.broadcast(q), "product") if q.count() <= sent else in_ranges(q, rows, settings.window_seconds)
+    return pairs.filter(is_candidate(settings)).select("query_id", "bug_id")
+
+
+def in_ranges(q: DataFrame, rows: DataFrame, window: int) -> DataFrame:
+    """Rows (product, ts, ...) beside the incoming reports (product, __ts, ...) of their product, but for those of buckets of
+    time that end before an incoming report's window.
+
+    Buckets are as wide as the window. An incoming report goes to the buckets of its product that there are, from that in
+    which its window starts; a bucket of a product that holds many rows is split, whatever part of all rows it is.
+    """
+    rows = checkpointed(rows.withColumn("__bucket", F.floor(F.col("ts") / window)))
+    counts = checkpointed(rows.groupBy("product", "__bucket").agg(F.count(F.lit(1)).alias("__m")))
+    from_ = F.floor((F.col("__ts") - window) / window)
+    there = q.withColumn("__from", from_).join(counts.select("product", "__bucket"), "product")
+    there = there.filter(F.col("__ts").isNull() | F.col("__bucket").isNull() | (F.col("__bucket") >= F.col("__from"))).drop("__from")
+    # Rows without a time are in no window, only with incoming reports without one.
+    null = F.lit(-(1 << 60))
+    keyed = lambda df: df.withColumn("__bucket", F.coalesce("__bucket", null))
+    return spread_join(keyed(rows), keyed(there), ["product", "__bucket"], counts=keyed(counts)).drop("__bucket")
 
 
 def is_candidate(settings: Settings) -> Column:

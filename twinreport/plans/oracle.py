@@ -239,3 +239,12 @@ ORACLE_SQL: dict[str, str] = {
     "penalty_added": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || ',' || p_type ELSE p_type END AS penalty FROM part",
     "distinct_products": "SELECT DISTINCT source AS product FROM documents",
 }
+
+# Other ways to the same rows.
+ORACLE_SQL |= {
+    "candidate_range_join": ORACLE_SQL["candidate_prefilter"],
+    "asm_pruned_topn": ORACLE_SQL["asm_similarity_topn"],
+    "dot_pruned_topn": ORACLE_SQL["dot_similarity_topn"],
+    "pruned_similar_cut": ORACLE_SQL["similar_cut"],
+    "groups_by_batches": f'WITH RECURSIVE {GROUPS} SELECT bug_id, "group", size, n_members FROM members JOIN sizes USING ("group")',
+}

@@ -16,7 +16,7 @@ from ..sources import reports
 from ..streaming import session
 from . import build
 from ..lineage import checkpointed
-from .domain import BIDF, TFIDF, compared, corpus, edges, incoming, incomplete, scored, table, trace, weighted
+from .domain import BIDF, TFIDF, compared, corpus, counted, edges, incoming, incomplete, scored, searched, table, trace, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Similar enough for the synthetic texts, whose best reports score lower than real duplicates.
@@ -112,6 +112,17 @@ def asm_similarity_topn(spark, d):
     return similarity.top(scored(spark, d), 10)
 
 
+@query
+def asm_pruned_topn(spark, d):
+    """The same by bounds of terms, without forming every pair that shares one."""
+    return searched(spark, d).top(10)
+
+
+@query
+def dot_pruned_topn(spark, d):
+    return searched(spark, d, TFIDF).top(10)
+
+
 @query
 def asm_similarity_penalty(spark, d):
     q, c, *_ = weighted(spark, d, BIDF)
@@ -132,6 +143,12 @@ def candidate_prefilter(spark, d):
     return similarity.candidates(_asked(spark, d), corpus(spark, d), BIDF)
 
 
+@query
+def candidate_range_join(spark, d):
+    """The same candidates by the range join over buckets of time."""
+    return similarity.candidates(_asked(spark, d), corpus(spark, d), BIDF, sent=0)
+
+
 def _strategy(name):
     def f(spark, d):
         s = Settings(scoring_strategy=name, bug_nl_threshold=0.2, bug_stacktrace_ratio=0.2)
@@ -156,6 +173,16 @@ def similar_cut(spark, d):
     return _similar(spark, d)
 
 
+def _similar_pruned(spark, d, made=None):
+    made = made or counted(spark, d, LOOSE)
+    return searched(spark, d, LOOSE, made).similar(made[3])
+
+
+@query
+def pruned_similar_cut(spark, d):
+    return _similar_pruned(spark, d)
+
+
 def _groups(spark, d):
     return groups.duplicate_groups(edges(spark, d), incomplete(spark, d))
 
@@ -192,6 +219,17 @@ def duplicate_group_size(spark, d):
     return _groups(spark, d)[1]
 
 
+@query
+def groups_by_batches(spark, d):
+    """The groups after the links came in four batches, each joined to what was stored."""
+    store = groups.GroupStore.empty(spark)
+    links = edges(spark, d)
+    for i in range(4):
+        store = store.with_links(links.filter(F.pmod("src", F.lit(4)) == i), incomplete(spark, d) if i == 1 else None)
+    members, sizes = store.groups()
+    return members.join(sizes, "group").select("bug_id", "group", "size", "n_members")
+
+
 @query
 def star_groups(spark, d):
     e = edges(spark, d)
