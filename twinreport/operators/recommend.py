@@ -78,6 +78,25 @@ def duplicate_texts(found: DataFrame, reports: DataFrame) -> DataFrame:
     return found.join(texts, "bug_id", "left").select("query_id", "bug_id", "rank", F.coalesce("summ", F.lit("")).alias("summ"), F.coalesce("desc", F.lit("")).alias("desc"))
 
 
+def answers(similar: DataFrame, keyword: DataFrame, sentences: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """One packed answer for each incoming report that has similar ones.
+
+    query_id, n_similar, keyword (null if no term splits them), n_sentences, sentences (array of bug_id, pos, sentence, in
+    order), duplicates (ids in order of rank, comma-joined), texts (array of rank, bug_id, summ, desc), tip. sentences:
+    query_id, bug_id, pos, sentence, bounded for each report by `first_reports` or `representatives`; duplicates: of
+    `duplicate_texts`, a few for each report.
+    """
+    said = sentences.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("bug_id", "pos", "sentence"))).alias("sentences"))
+    again = duplicates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "bug_id", "summ", "desc"))).alias("texts"))
+    rows = similar.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_similar"))
+    rows = rows.join(keyword.select("query_id", F.col("term").alias("keyword")), "query_id", "left").join(said, "query_id", "left").join(again, "query_id", "left")
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    ids = F.coalesce(F.array_join(F.transform("texts", lambda x: x["bug_id"].cast("string")), ","), F.lit(""))
+    n_sentences = F.when(F.col("sentences").isNull(), 0).otherwise(n("sentences"))
+    n_texts = F.when(F.col("texts").isNull(), 0).otherwise(n("texts"))
+    return rows.select("query_id", "n_similar", "keyword", n_sentences.cast("long").alias("n_sentences"), "sentences", ids.alias("duplicates"), "texts", T.tip(n_texts, n_sentences).alias("tip"))
+
+
 def representatives(rows: DataFrame, vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """query_id, bug_id, pos, sentence, cluster: of each query's sentences all if they are at most k, else the nearest to the
     centre of each of k clusters.

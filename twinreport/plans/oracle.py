@@ -92,17 +92,20 @@ def recursive(sql: str) -> str:
     return "WITH RECURSIVE " + sql.removeprefix("WITH ")
 
 
-DIFFERENCES = (
-    f"{SCORED}, best AS (SELECT * FROM ranked WHERE rank <= 10), known AS (SELECT query_id, field, term FROM qtc UNION SELECT query_id, 'desc', term FROM qtc WHERE field = 'summ'),"
+TEN = f"{SCORED}, best AS (SELECT * FROM ranked WHERE rank <= 10)"
+DIFFERENCE = (
+    ", known AS (SELECT query_id, field, term FROM qtc UNION SELECT query_id, 'desc', term FROM qtc WHERE field = 'summ'),"
     " diff AS (SELECT b.query_id, b.bug_id, t.field, t.term FROM best b JOIN tc t ON t.bug_id = b.bug_id ANTI JOIN known k ON k.query_id = b.query_id AND k.field = t.field AND k.term = t.term)"
 )
-KEYWORDS = (
-    f"{DIFFERENCES}, sums AS (SELECT query_id, sum(score) AS total_score FROM best GROUP BY query_id),"
+DIFFERENCES = TEN + DIFFERENCE
+KEYWORD = (
+    ", sums AS (SELECT query_id, sum(score) AS total_score FROM best GROUP BY query_id),"
     " mass AS (SELECT d.query_id, d.term, sum(b.score) AS mass FROM diff d JOIN best b ON b.query_id = d.query_id AND b.bug_id = d.bug_id WHERE d.field = 'desc' GROUP BY d.query_id, d.term),"
     f" keys AS (SELECT m.query_id, m.term, round((1 - 2 * abs(m.mass / s.total_score - 0.5)) * ({IDF} / ln((SELECT n FROM total) + 1)), 6) AS score"
     " FROM mass m JOIN sums s ON s.query_id = m.query_id AND s.total_score > 0 LEFT JOIN dfs d ON d.field = 'desc' AND d.term = m.term),"
     " chosen AS (SELECT query_id, term, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS k FROM keys) WHERE k = 1)"
 )
+KEYWORDS = DIFFERENCES + KEYWORD
 SENTENCES = "SELECT bug_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT bug_id, string_split_regex(descr, '\\.[ \\n]|\\n\\n') AS s FROM reports)"
 DROPPED = r"\+1 \([0-9]{3}\)|token = "
 TRACES = (
@@ -223,9 +226,6 @@ ORACLE_SQL: dict[str, str] = {
     " SELECT query_id, bug_id, round(rs, 6) AS rs, round(rd, 6) AS rd, round(rt, 6) AS rt, round(CASE WHEN nl > 0.2 AND rt > 0.05 THEN 0.75 + 0.25 * (nl + rt) / 2 WHEN nl > 0.2 THEN 0.5 + 0.25 * nl WHEN rt > 0.05 THEN 0.25 + 0.25 * rt ELSE 0.25 * (nl + rt) / 2 END, 6)::DOUBLE AS score FROM both_of",
     "keyword_top": f"{KEYWORDS} SELECT query_id, term, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM keys) WHERE rank <= 10",
     "text_query": f"{SCORED} SELECT query_id, string_agg(bug_id::VARCHAR, ';' ORDER BY rank) AS ids FROM ranked WHERE rank <= 10 GROUP BY query_id",
-    "recommend_sentences": f"{KEYWORDS}, sentences AS ({SENTENCES}), held AS (SELECT b.query_id, b.bug_id, b.rank, s.pos, s.sentence FROM best b JOIN chosen c USING (query_id) JOIN sentences s ON s.bug_id = b.bug_id WHERE list_contains({tokens(strip('s.sentence'))}, c.term)),"
-    " sized AS (SELECT query_id, bug_id, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY min(rank) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM held GROUP BY query_id, bug_id)"
-    " SELECT query_id, bug_id, pos, sentence FROM held JOIN sized USING (query_id, bug_id) WHERE ahead <= 10",
     "recommend_duplicates": f"{recursive(SIMILAR)}, {GROUPS}, few AS (SELECT s.query_id FROM sim s LEFT JOIN members m USING (bug_id) GROUP BY s.query_id HAVING count(DISTINCT m.\"group\") <= 10)"
     " SELECT query_id, bug_id, rank, summ, descr AS \"desc\" FROM sim JOIN few USING (query_id) JOIN reports USING (bug_id) WHERE rank <= 5",
     "explain_pairs": f"{SCORED}, first AS (SELECT r.query_id, r.bug_id, r.score, c.rs, c.rd FROM ranked r JOIN compared c USING (query_id, bug_id) WHERE r.rank = 1),"
@@ -240,6 +240,22 @@ ORACLE_SQL: dict[str, str] = {
     "distinct_products": "SELECT DISTINCT source AS product FROM documents",
 }
 
+# From the similar reports on.
+HELD = (
+    f"{SIMILAR}, best AS (SELECT query_id, bug_id, score, rank FROM sim){DIFFERENCE}{KEYWORD}, sentences AS ({SENTENCES}),"
+    f" held AS (SELECT b.query_id, b.bug_id, b.rank, s.pos, s.sentence FROM best b JOIN chosen c USING (query_id) JOIN sentences s ON s.bug_id = b.bug_id WHERE list_contains({tokens(strip('s.sentence'))}, c.term)),"
+    " sized AS (SELECT query_id, bug_id, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY min(rank) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM held GROUP BY query_id, bug_id),"
+    " taken AS (SELECT query_id, bug_id, pos, sentence FROM held JOIN sized USING (query_id, bug_id) WHERE ahead <= 1000)"
+)
+ORACLE_SQL["recommend_sentences"] = f"{HELD} SELECT query_id, bug_id, pos, sentence FROM taken"
+ORACLE_SQL["recommend_answers"] = (
+    f"{recursive(HELD)}, {GROUPS}, few AS (SELECT s.query_id FROM sim s LEFT JOIN members m USING (bug_id) GROUP BY s.query_id HAVING count(DISTINCT m.\"group\") <= 10),"
+    " again AS (SELECT query_id, count(*) AS n, string_agg(bug_id::VARCHAR, ',' ORDER BY rank) AS ids FROM sim JOIN few USING (query_id) WHERE rank <= 5 GROUP BY query_id),"
+    " said AS (SELECT query_id, count(*) AS n FROM taken GROUP BY query_id), found AS (SELECT query_id, count(*) AS n_similar FROM sim GROUP BY query_id)"
+    f" SELECT f.query_id, n_similar, c.term AS keyword, coalesce(s.n, 0) AS n_sentences, coalesce(a.ids, '') AS duplicates, CASE WHEN a.n > 0 THEN {quoted(TIPS[0])} WHEN s.n > 0 THEN {quoted(TIPS[1])} ELSE {quoted(TIPS[2])} END AS tip"
+    " FROM found f LEFT JOIN chosen c USING (query_id) LEFT JOIN said s USING (query_id) LEFT JOIN again a USING (query_id)"
+)
+
 # Other ways to the same rows.
 ORACLE_SQL |= {
     "candidate_range_join": ORACLE_SQL["candidate_prefilter"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -448,27 +449,64 @@ def text_query(spark, d):
     return best.groupBy("query_id").agg(F.array_join(ordered, ";").alias("ids"))
 
 
-def _recommended(spark, d):
-    """Sentences to ask about, their best reports, term vectors' inputs."""
-    rows, best, dfs, n = _differences(spark, d)
-    keyword = checkpointed(recommend.best_keyword(recommend.keyword_scores(rows, best, dfs, n)).select("query_id", "term"))
-    pieces = best.select("query_id", "bug_id").join(recommend.sentence_rows(corpus(spark, d)), "bug_id")
-    found = recommend.sentences_with(pieces, keyword, BIDF).withColumn("pos", F.col("pos").cast("long"))
-    return checkpointed(recommend.first_reports(found, best, 10)), dfs, n
+@dataclass
+class Recommendation:
+    """What is found out for incoming reports, each part a table: similar reports, keyword, sentences with it, duplicates."""
+
+    similar: DataFrame
+    keyword: DataFrame
+    sentences: DataFrame
+    duplicates: DataFrame
+    dfs: DataFrame
+    n: int
+
+
+def _recommended(spark, d) -> Recommendation:
+    """From the similar reports on: what they say and the incoming one doesn't, the keyword that splits them best, their
+    sentences with it in order of rank until over a thousand are held, and those that it may repeat."""
+    made = counted(spark, d, LOOSE)
+    ours, counts, dfs, n = made
+    rows = checkpointed(_similar_pruned(spark, d, made))
+    scores = recommend.keyword_scores(recommend.report_difference(rows, ours, counts), rows, dfs, n)
+    keyword = checkpointed(recommend.best_keyword(scores).select("query_id", "term"))
+    theirs = corpus(spark, d).join(rows.select("bug_id").distinct(), "bug_id", "left_semi")
+    pieces = rows.select("query_id", "bug_id").join(recommend.sentence_rows(theirs), "bug_id")
+    found = recommend.sentences_with(pieces, keyword, LOOSE).withColumn("pos", F.col("pos").cast("long"))
+    sentences = checkpointed(recommend.first_reports(found, rows))
+    again = recommend.duplicate_texts(similarity.duplicates(rows, _groups(spark, d)[0], LOOSE), theirs)
+    return Recommendation(rows, keyword, sentences, checkpointed(again), dfs, n)
+
+
+def _shown(r: Recommendation) -> DataFrame:
+    """All sentences of a report that has few, or one for each cluster of them."""
+    bags = r.sentences.select(F.struct("query_id", "bug_id", "pos").alias("key"), F.lit("").alias("summ"), F.col("sentence").alias("desc"))
+    w = terms.weights(terms.term_counts(bags, TFIDF, "key", synonyms=False), r.dfs, r.n, "tfidf", "key").filter("w > 0").select("key.*", "term", "w")
+    return recommend.representatives(r.sentences, w, BIDF.bug_sentence_number)
 
 
 @query
 def recommend_sentences(spark, d):
-    return _recommended(spark, d)[0].select("query_id", "bug_id", "pos", "sentence")
+    return _recommended(spark, d).sentences.select("query_id", "bug_id", "pos", "sentence")
 
 
 @query
 def recommend_clusters(spark, d):
     """What is asked of each author: all sentences with the keyword, or one for each cluster of them."""
-    rows, dfs, n = _recommended(spark, d)
-    bags = rows.select(F.struct("query_id", "bug_id", "pos").alias("key"), F.lit("").alias("summ"), F.col("sentence").alias("desc"))
-    w = terms.weights(terms.term_counts(bags, TFIDF, "key", synonyms=False), dfs, n, "tfidf", "key").filter("w > 0").select("key.*", "term", "w")
-    return recommend.representatives(rows, w, BIDF.bug_sentence_number)
+    return _shown(_recommended(spark, d))
+
+
+@query
+def recommend_answers(spark, d):
+    """One row for each incoming report that has similar ones: keyword, sentences and duplicates found, what the author is told."""
+    r = _recommended(spark, d)
+    return recommend.answers(r.similar, r.keyword, r.sentences, r.duplicates).select("query_id", "n_similar", "keyword", "n_sentences", "duplicates", "tip")
+
+
+@query
+def recommend_packed(spark, d):
+    """The same with the sentences that are shown and the texts of the duplicates."""
+    r = _recommended(spark, d)
+    return recommend.answers(r.similar, r.keyword, _shown(r), r.duplicates)
 
 
 @query

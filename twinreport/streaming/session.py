@@ -78,6 +78,75 @@ def stream(commands: DataFrame, timeout: str = "1 hour") -> DataFrame:
     return commands.groupBy("session_id").applyInPandasWithState(update, STATE, STATE.replace("session_id long, ", ""), "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: The state store that timers and lists of `ordered` need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ordered(commands: DataFrame, delay: str = "10 minutes", idle: str = "1 day", time: str = "at") -> DataFrame:
+    """The state of each session of a stream whenever commands of it are folded, in their order, however they arrived.
+
+    commands: session_id, seq, command, argument and a time. A command is held until the watermark, `delay` behind the
+    latest time seen, has passed its time: all commands of earlier times are there by then, and what has passed is folded
+    by seq as `fold` does. So the last state of a session is that of `fold`, for any batches whose commands come no later
+    than the delay. A session without commands for `idle` is let go; commands later than the delay are dropped.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    fields = ["report", "penalty", "exclude", "skip", "ended", "n_commands"]
+    held_schema = "at long, seq long, command string, argument string"
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    class Ordered(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", held_schema)
+            self.state = handle.getValueState("state", STATE.replace("session_id long, ", "") + ", last long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            times = set()
+            for frame in rows:
+                found = [(int(r.at), int(r.seq), r.command, r.argument) for r in frame[["at", "seq", "command", "argument"]].astype(object).where(frame.notna(), None).itertuples()]
+                if found:
+                    self.held.appendList(found)
+                    times |= {f[0] for f in found}
+            for t in times:
+                self.handle.registerTimer(t)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
+            held = list(self.held.get()) if self.held.exists() else []
+            old = self.state.get() if self.state.exists() else None
+            due = [h for h in held if h[0] <= passed]
+            if not due:
+                if old is not None and not held and old[-1] + keep <= passed:
+                    self.state.clear()
+                return
+            rest = [tuple(h) for h in held if h[0] > passed]
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+            state = dict(zip(fields, old, strict=False)) if old is not None else {"report": None, "penalty": [], "exclude": [], "skip": [], "ended": None, "n_commands": 0}
+            state |= {k: list(state[k]) for k in ADDS.values()}
+            for _, _, command, argument in sorted(due, key=lambda h: (h[1], h[2].startswith("do_"), h[2], h[3] is not None, h[3] or "")):
+                state = step(state, command, argument)
+            last = max([h[0] for h in due] + [old[-1] if old is not None else 0])
+            self.state.update((*[state[f] for f in fields], last))
+            self.handle.registerTimer(last + keep)
+            yield pd.DataFrame([{"session_id": key[0], **state}])
+
+        def close(self) -> None:
+            pass
+
+    spark = commands.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rows = commands.withWatermark(time, delay).select("session_id", "seq", "command", "argument", F.col(time).alias("__time"))
+    rows = rows.withColumn("at", F.unix_millis("__time"))
+    return rows.groupBy("session_id").transformWithStateInPandas(Ordered(), STATE, "Update", "EventTime")
+
+
 def respond(states: DataFrame, text_limit: int = 512) -> DataFrame:
     """What a session answers: its report, cut to the limit, and its lists."""
     from ..functions.text import truncated
