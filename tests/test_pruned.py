@@ -66,6 +66,17 @@ def test_few_pairs_are_formed(spark):
     assert (search.formed["first"] + search.formed["reaching"]) * 10 < scored.count()
 
 
+def test_reports_that_are_no_candidates(spark):
+    s = Settings(bug_no_similar_threshold=0.0)
+    search, scored, ours = ready(spark, s, 60, 4)
+    gone = checkpointed(similarity.top(scored, 2).select("query_id", "bug_id"))
+    again = Pruned(ours, search.theirs, search.theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df")), s, gone)
+    left = scored.join(gone, ["query_id", "bug_id"], "left_anti")
+    total = ours.select("query_id").distinct().join(gone.groupBy("query_id").agg(F.count(F.lit(1)).alias("g")), "query_id", "left").select("query_id", (60 - F.coalesce("g", F.lit(0))).alias("n"))
+    want = similarity.similar(left, s, total).select("query_id", "bug_id", "score", "cut", "rank")
+    assert sorted(map(tuple, again.similar(60).collect())) == sorted(map(tuple, want.collect()))
+
+
 def tables(spark, products, seed=1, n=4000, asked=30):
     r = random.Random(seed)
     year = 365 * 86400

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["tokenize", "synonym_expand", "asm_similarity_topn", "score_quantiles", "duplicate_group_size", "keyword_entropy", "stack_similarity_max", "session_fold", "report_serde"]
+NAMES = ["tokenize", "synonym_expand", "asm_similarity_topn", "score_quantiles", "duplicate_group_size", "keyword_entropy", "stack_similarity_max", "session_fold", "report_serde", "level1_tables", "dump_tables", "level0_groups", "test_cases", "eval_grid", "recommend_answers"]
 
 
 def plain(v):

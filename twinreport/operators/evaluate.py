@@ -28,6 +28,56 @@ def sample_members(members: DataFrame, groups: DataFrame, k: int, seed: int = 1)
     return chosen.join(members, "group").groupBy("draw", "group").agg(F.min_by("bug_id", F.struct(chance(F.col("bug_id")), "bug_id")).alias("bug_id"))
 
 
+def draws(members: DataFrame, strata: DataFrame, numbers: dict[str, int], seed: int = 1) -> DataFrame:
+    """stratum, draw, group, bug_id: so many draws with replacement from each stratum (of `strata`), a group by equal
+    chance, then a member; the least hash of seed, draw and id decides, so reruns agree."""
+    chance = lambda kind, c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(kind), F.col("draw").cast("string"), F.col(c).cast("string")).cast("binary"))
+    many = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    rows = strata.filter(F.col("stratum").isin(*numbers)).withColumn("draw", F.explode(F.sequence(F.lit(1), many[F.col("stratum")])))
+    chosen = rows.groupBy("stratum", "draw").agg(F.min_by("group", chance("g", "group")).alias("group"))
+    return chosen.join(members, "group").groupBy("stratum", "draw", "group").agg(F.min_by("bug_id", chance("b", "bug_id")).alias("bug_id"))
+
+
+def cases(drawn: DataFrame, reports: DataFrame, rates: tuple[float, ...], settings: Settings) -> DataFrame:
+    """The drawn reports (bug_id, ts, product, summ, desc) without some of their words, once for each rate: the fields of a
+    report line, which names the report it comes from, and rate and stratum."""
+    none = F.array().cast("array<string>")
+    rows = drawn.join(reports, "bug_id")
+    trace = F.col("stacktrace") if "stacktrace" in reports.columns else F.array().cast("array<array<string>>")
+    out = None
+    for rate in rates:
+        text = lambda c, rate=rate: incomplete_text(F.col(c), F.col("bug_id"), rate, settings)
+        one = rows.select(
+            F.lit(rate).alias("rate"), "stratum", F.col("ts").alias("create_ts"), "product", text("summ").alias("summ"), text("desc").alias("desc"), trace.alias("stacktrace"),
+            none.alias("penalty"), F.col("bug_id").alias("dummy_bug_id"), none.cast("array<long>").alias("exclude_ids"), none.alias("skip_terms"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def grid_metrics(cases: DataFrame, similar_hits: DataFrame, duplicate_hits: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """threshold, rate and the means of `macro` for each pair of them, from one scored table.
+
+    cases: query_id, rate, n_true; the hits: query_id, bug_id, hit, high (the best score of the case). What a case returns
+    counts at the thresholds that its best score reaches.
+    """
+    at = lambda df: df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    per = lambda rows: at(rows).filter(F.col("high") >= F.col("threshold")).groupBy("threshold", "query_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"))
+    kept = at(cases.filter("n_true > 0"))
+    rows = None
+    for name, found, how in (("similar", similar_hits, "left"), ("duplicate", duplicate_hits, "inner")):
+        c = kept.join(per(found), ["threshold", "query_id"], how).select("threshold", "rate", "n_true", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("h", F.lit(0)).alias("h"))
+        one = c.groupBy("threshold", "rate").agg(
+            F.count(F.lit(1)).alias(f"{name}_cases"),
+            F.round(F.avg(F.when(F.col("n") > 0, F.col("h") / F.nullif("n", F.lit(0))).otherwise(0.0)), 6).alias(f"{name}_precision"),
+            F.round(F.avg(F.col("h") / F.col("n_true")), 6).alias(f"{name}_recall"),
+            F.round(F.avg((F.col("h") > 0).cast("double")), 6).alias(f"{name}_binary_recall"),
+            F.round(F.avg("n"), 6).alias(f"{name}_size"),
+        )
+        rows = one if rows is None else rows.join(one, ["threshold", "rate"], "left")
+    return rows.withColumn("duplicate_cases", F.coalesce("duplicate_cases", F.lit(0)))
+
+
 def incomplete_text(text: Column, key: Column, rate: float, settings: Settings, seed: str = "drop") -> Column:
     """The tokens that stay, joined by spaces; templates go first. A rate of at most 0.001 leaves the text as it is."""
     if rate <= 0.001:

@@ -43,11 +43,12 @@ class Pruned:
     ours: query_id, field, term, w; theirs: bug_id, block, field, term and w, or without w if a term weighs the same in all
     reports; weights: field, term, block, top (the largest weight in the block), df (its reports). Scores are those of the weighted strategy:
     each field's similarity (of `settings.tfidf_algorithm`) times its ratio. theirs is read several times, so it should be
-    a table. `formed` counts the pairs of each step.
+    a table. `formed` counts the pairs of each step. without: query_id, bug_id of reports that are no candidates.
     """
 
-    def __init__(self, ours: DataFrame, theirs: DataFrame, weights: DataFrame, settings: Settings):
+    def __init__(self, ours: DataFrame, theirs: DataFrame, weights: DataFrame, settings: Settings, without: DataFrame | None = None):
         s = settings
+        self.without = None if without is None else checkpointed(without.select("query_id", "bug_id").distinct())
         self.settings, self.theirs, self.formed = s, theirs, {}
         ratio = F.when(F.col("field") == "summ", s.bug_summary_ratio).otherwise(s.bug_description_ratio)
         own = Window.partitionBy("query_id", "field")
@@ -76,7 +77,7 @@ class Pruned:
     def _sums(self, terms: DataFrame, name: str) -> DataFrame:
         """query_id, block, bug_id, s: what the terms (of incoming reports) add up to in each report that holds one."""
         pairs = _met(self.theirs, terms.select("query_id", *KEYS, "part", "bound"), KEYS, self.n_terms).groupBy("query_id", "block", "bug_id").agg(F.sum(self._value()).alias("s"))
-        pairs = checkpointed(pairs)
+        pairs = checkpointed(pairs if self.without is None else pairs.join(self.without, ["query_id", "bug_id"], "left_anti"))
         self.formed[name] = pairs.count()
         return pairs
 
@@ -121,17 +122,24 @@ class Pruned:
         these is scored against every report.
         """
         sizes = self.theirs.groupBy("bug_id").agg(F.count(F.lit(1)).alias("m"))
-        if sizes.count() < n_reports:
+        if self.without is None and sizes.count() < n_reports:
             return self.base.select("query_id", F.lit(0.0).alias("low"))
         few = checkpointed(sizes.orderBy("m", "bug_id").limit(WITNESSES).select("bug_id"))
-        shared = _met(self.theirs, few, ["bug_id"], WITNESSES).join(self.terms.select("query_id", *KEYS), KEYS).select("query_id", "bug_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+        shared = _met(self.theirs, few, ["bug_id"], WITNESSES).join(self.terms.select("query_id", *KEYS), KEYS).select("query_id", "bug_id")
+        if self.without is not None:  # those that are no candidates witness nothing
+            shared = shared.unionByName(self.without.join(few, "bug_id"))
+        shared = shared.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
         held = self.base.select("query_id").join(shared.filter(F.col("m") >= few.count()), "query_id", "left").withColumn("all", F.col("m").isNotNull())
         held = checkpointed(held.select("query_id", "all"))
         open_ = held.filter("all")
         if open_.isEmpty():
             return held.select("query_id", F.lit(0.0).alias("low"))
         scores = self._scored(self._sums(self.terms.join(open_, "query_id", "left_semi"), "least"))
-        low = scores.groupBy("query_id").agg(F.when(F.count(F.lit(1)) < n_reports, 0.0).otherwise(F.min("score")).alias("low"))
+        all_of = F.lit(n_reports)
+        if self.without is not None:
+            fewer = self.without.groupBy("query_id").agg(F.count(F.lit(1)).alias("fewer"))
+            scores, all_of = scores.join(fewer, "query_id", "left"), F.lit(n_reports) - F.coalesce(F.max("fewer"), F.lit(0))
+        low = scores.groupBy("query_id").agg(F.when(F.count(F.lit(1)) < all_of, 0.0).otherwise(F.min("score")).alias("low"))
         return held.join(low, "query_id", "left").select("query_id", F.coalesce("low", F.lit(0.0)).alias("low"))
 
     def similar(self, n_reports: int) -> DataFrame:

@@ -43,11 +43,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(first, "h").filter("doc_id != dst").select(F.col("doc_id").alias("src"), "dst")
 
 
-def counted(spark: SparkSession, sf_dir: str, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Term counts of the incoming reports and of the corpus, both tables, document counts by field, number of reports."""
+def counted(spark: SparkSession, sf_dir: str, settings: Settings, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Term counts of the incoming reports (`asked`, if given) and of the corpus, both tables, document counts by field,
+    number of reports."""
     docs = corpus(spark, sf_dir)
     counts = checkpointed(terms.term_counts(docs, settings, synonyms=False))
-    theirs = checkpointed(terms.term_counts(incoming(spark, sf_dir), settings, "query_id", synonyms=False))
+    asked = incoming(spark, sf_dir) if asked is None else asked
+    theirs = checkpointed(terms.term_counts(asked, settings, "query_id", synonyms=False))
     return theirs, counts, terms.field_counts(counts), docs.count()
 
 
@@ -60,18 +62,18 @@ def weighted(spark: SparkSession, sf_dir: str, settings: Settings, made: tuple |
     return terms.weights(ours, dfs, n, settings.tfidf_algorithm, "query_id"), terms.weights(counts, dfs, n, settings.tfidf_algorithm), dfs, n
 
 
-def searched(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> Pruned:
-    """The corpus ready for searches by the incoming reports. made: what `counted` returned."""
+def searched(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None, without: DataFrame | None = None) -> Pruned:
+    """The corpus ready for searches by the incoming reports. made: what `counted` returned; without: no candidates."""
     made = made or counted(spark, sf_dir, settings)
     ours, counts, dfs, n = made
     if settings.tfidf_algorithm == "bidf":  # a term weighs the same everywhere, so the corpus needs no weights of its own
         one = F.lit(0).alias("block")
-        return Pruned(terms.weights(ours, dfs, n, "bidf", "query_id"), counts.select("bug_id", one, "field", "term"), dfs.select("field", "term", one, terms.idf(F.lit(n), F.col("df")).alias("top"), "df"), settings)
+        return Pruned(terms.weights(ours, dfs, n, "bidf", "query_id"), counts.select("bug_id", one, "field", "term"), dfs.select("field", "term", one, terms.idf(F.lit(n), F.col("df")).alias("top"), "df"), settings, without)
     ours, theirs, *_ = weighted(spark, sf_dir, settings, made)
     # A term of a short report weighs more.
     sizes = counts.groupBy("bug_id").agg(F.floor(2 * F.log2(F.sum("tf"))).cast("int").alias("block"))
     theirs = checkpointed(theirs.filter("w != 0").join(sizes, "bug_id"))
-    return Pruned(ours, theirs, theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df")), settings)
+    return Pruned(ours, theirs, theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df")), settings, without)
 
 
 def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:

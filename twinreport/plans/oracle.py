@@ -256,6 +256,59 @@ ORACLE_SQL["recommend_answers"] = (
     " FROM found f LEFT JOIN chosen c USING (query_id) LEFT JOIN said s USING (query_id) LEFT JOIN again a USING (query_id)"
 )
 
+# Files that Spark wrote from the tables, read again.
+CODED = "split_part(replace(replace({x}, chr(10), 'NEWLINE'), ';', 'SEMICOLON'), '=', 1)"
+ORACLE_SQL |= {
+    "level1_tables": f"WITH x AS (SELECT doc_id AS bug_id, lower({decode(CODED.format(x=FIRST_LINE))}) AS summ, lower({decode(CODED.format(x='text'))}) AS \"desc\", 0::BIGINT AS n_threads, doc_id * 60 AS ts, lower(source) AS product FROM documents WHERE doc_id % 10 > 1)"
+    f' SELECT * FROM x WHERE NOT regexp_matches("desc", {quoted(DROPPED)})',
+    "dump_tables": "WITH x AS (SELECT doc_id, source, replace(text, chr(10), ' ') AS t FROM documents) SELECT doc_id AS bug_id, split_part(doc_id || '|' || substr(t, 1, 40) || '|' || t, '|', 2) AS summ, split_part(doc_id || '|' || substr(t, 1, 40) || '|' || t, '|', 3) AS \"desc\","
+    " 0::BIGINT AS n_threads, doc_id * 100 AS ts, source AS product FROM x",
+    "level0_groups": "WITH RECURSIVE " + GROUPS.replace("WHERE doc_id != first)", "WHERE doc_id != first AND (doc_id % 2 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)))") + ' SELECT bug_id, "group", size, n_members FROM members JOIN sizes USING ("group")',
+}
+
+# Reports drawn from groups, without some of their words, as incoming reports.
+DRAWN = (
+    "strata AS (SELECT \"group\", CASE WHEN size < 3 THEN 'small' WHEN size < 5 THEN 'middle' ELSE 'large' END AS stratum FROM sizes WHERE size > 0 AND size NOT IN (3, 5) AND size < 99999),"
+    " turns AS (SELECT s.*, unnest(range(1, CASE stratum WHEN 'small' THEN 5 ELSE 4 END)) AS draw FROM strata s),"
+    " chosen_groups AS (SELECT stratum, draw, arg_min(\"group\", md5('1:g:' || draw || ':' || \"group\")) AS \"group\" FROM turns GROUP BY stratum, draw),"
+    " drawn AS (SELECT stratum, draw, arg_min(bug_id, md5('1:b:' || draw || ':' || bug_id)) AS bug_id FROM chosen_groups JOIN members USING (\"group\") GROUP BY stratum, draw),"
+    " rated AS (SELECT d.*, unnest([0.0, 0.2, 0.4, 0.6, 0.8])::DOUBLE AS rate FROM drawn d),"
+    " whole AS (SELECT row_number() OVER () AS query_id, x.rate, x.stratum, x.bug_id AS dummy_bug_id, r.ts AS create_ts, r.product, r.summ, r.descr FROM rated x JOIN reports r USING (bug_id)),"
+    + " ".join(
+        f"{c}_words AS (SELECT query_id, string_agg(w, ' ' ORDER BY i) AS left_over FROM (SELECT query_id, rate, dummy_bug_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS w FROM (SELECT *, {tokens(strip(c))} AS t FROM whole))"
+        " WHERE ('0x' || substr(md5('drop:' || dummy_bug_id || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= rate GROUP BY query_id),"
+        for c in ("summ", "descr")
+    )
+    + " asked AS (SELECT w.* EXCLUDE (summ, descr), CASE WHEN rate <= 0.001 THEN w.summ ELSE coalesce(s.left_over, '') END AS summ, CASE WHEN rate <= 0.001 THEN w.descr ELSE coalesce(d.left_over, '') END AS descr"
+    " FROM whole w LEFT JOIN summ_words s USING (query_id) LEFT JOIN descr_words d USING (query_id))"
+)
+ORACLE_SQL["test_cases"] = f"WITH RECURSIVE {REPORTS}, {GROUPS}, {DRAWN} SELECT rate, stratum, create_ts, product, summ, descr || ' ' AS \"desc\", dummy_bug_id FROM asked"
+JUDGED = (
+    recursive(SIMILAR)
+    .replace(INCOMING, f"{GROUPS}, {DRAWN}, incoming AS (SELECT query_id, summ, descr FROM asked)")
+    .replace("FROM dots JOIN lengths USING (query_id))", "FROM dots JOIN lengths USING (query_id) JOIN (SELECT query_id, dummy_bug_id FROM asked) USING (query_id) WHERE bug_id != dummy_bug_id)")
+    .replace("WHERE hi >= 0.2 AND", "WHERE")
+    + ', own AS (SELECT query_id, rate, "group" AS own FROM asked JOIN members ON bug_id = dummy_bug_id), high AS (SELECT query_id, max(score) AS high FROM sim GROUP BY query_id),'
+    ' true_of AS (SELECT o.query_id, o.rate, count(*) - 1 AS n_true FROM own o JOIN members m ON m."group" = o.own GROUP BY o.query_id, o.rate HAVING count(*) > 1),'
+    " judged AS (SELECT s.query_id, s.bug_id, s.rank, high, coalesce(m.\"group\" = o.own, false) AS hit FROM sim s JOIN own o USING (query_id) JOIN high USING (query_id) LEFT JOIN members m ON m.bug_id = s.bug_id),"
+    ' few AS (SELECT s.query_id FROM sim s LEFT JOIN members m USING (bug_id) GROUP BY s.query_id HAVING count(DISTINCT m."group") <= 10),'
+    " again AS (SELECT * FROM judged JOIN few USING (query_id) WHERE rank <= 5), grid AS (SELECT query_id, rate, n_true, unnest([0.65, 0.7, 0.75])::DOUBLE AS threshold FROM true_of)"
+)
+
+
+def grid_means(name: str, hits: str, join: str) -> str:
+    return (
+        f"{name}_means AS (SELECT threshold, rate, count(*) AS {name}_cases, round(avg(CASE WHEN coalesce(n, 0) > 0 THEN h / n ELSE 0.0 END), 6) AS {name}_precision, round(avg(coalesce(h, 0) / n_true), 6) AS {name}_recall,"
+        f" round(avg(CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS {name}_binary_recall, round(avg(coalesce(n, 0)), 6) AS {name}_size FROM grid g"
+        f" {join} (SELECT threshold, query_id, count(*) AS n, count(*) FILTER (hit) AS h FROM {hits} JOIN (SELECT DISTINCT threshold FROM grid) ON high >= threshold GROUP BY threshold, query_id) x USING (threshold, query_id) GROUP BY threshold, rate)"
+    )
+
+
+ORACLE_SQL["eval_grid"] = (
+    f"{JUDGED}, {grid_means('similar', 'judged', 'LEFT JOIN')}, {grid_means('duplicate', 'again', 'JOIN')}"
+    " SELECT s.*, coalesce(duplicate_cases, 0) AS duplicate_cases, duplicate_precision, duplicate_recall, duplicate_binary_recall, duplicate_size FROM similar_means s LEFT JOIN duplicate_means d USING (threshold, rate)"
+)
+
 # Other ways to the same rows.
 ORACLE_SQL |= {
     "candidate_range_join": ORACLE_SQL["candidate_prefilter"],

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,14 @@ from ..operators import evaluate, groups, recommend, similarity, terms
 from ..sources import reports
 from ..streaming import session
 from . import build
-from ..lineage import checkpointed
+from ..lineage import checkpointed, removed, shared_folder
 from .domain import BIDF, TFIDF, compared, corpus, counted, edges, incoming, incomplete, scored, searched, table, trace, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Similar enough for the synthetic texts, whose best reports score lower than real duplicates.
 LOOSE = Settings(bug_no_similar_threshold=0.2)
+#: What drops a report of the synthetic texts.
+DROPPED = r"\+1 \([0-9]{3}\)|token = "
 
 
 def query(f):
@@ -333,16 +336,50 @@ def compare_tfidf(spark, d):
 
 @query
 def drop_report_filter(spark, d):
-    return corpus(spark, d).filter(~T.drops_report(F.col("desc"), r"\+1 \([0-9]{3}\)|token = ")).select("bug_id", "product")
+    return corpus(spark, d).filter(~T.drops_report(F.col("desc"), DROPPED)).select("bug_id", "product")
 
 
 @query
 def remove_bad_reports(spark, d):
-    s = Settings(drop_report_regexp=r"\+1 \([0-9]{3}\)|token = ")
+    s = Settings(drop_report_regexp=DROPPED)
     kept = build.remove_bad_reports({"text": corpus(spark, d), "duplicate_group": _groups(spark, d)[0]}, s)
     return kept["duplicate_group"]
 
 
+@query
+def level1_tables(spark, d):
+    """Documents as level-1 lines, read into text and basic."""
+    coded = lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("NEWLINE")), F.lit(";"), F.lit("SEMICOLON"))
+    docs = table(spark, d, "documents")
+    field = lambda k, v: F.concat(F.lit(f"{k}="), v)
+    resolution = F.when(F.col("doc_id") % 10 == 0, "resolution=INCOMPLETE").when(F.col("doc_id") % 10 != 1, "resolution=FIXED")
+    lines = docs.select(F.concat_ws(";", F.lit("Bug#=7"), field("Bug#", F.col("doc_id").cast("string")), field("short_desc", coded(F.substring_index("text", "\n", 1))), field("long:1:text", coded(F.col("text"))), resolution, field("product", F.upper("source")), field("creation_ts", (F.col("doc_id") * 60).cast("string"))).alias("value"))
+    text, basic = reports.parse_level1(lines, Settings(drop_report_regexp=DROPPED))
+    return text.join(basic, "bug_id").select("bug_id", "summ", "desc", F.size("stacktrace").cast("long").alias("n_threads"), "ts", "product")
+
+
+@query
+def dump_tables(spark, d):
+    """Documents as pipe-separated lines, read into text and basic."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.translate("text", "\n", " ").alias("text"))
+    text = reports.parse_dump(docs.select(F.concat_ws("|", "id", F.substring("text", 1, 40), "text").alias("value")))
+    basic = reports.parse_dump_basic(docs.select(F.concat_ws("|", "id", "source", F.concat("id", F.lit("00"))).alias("value")))
+    return text.join(basic, "bug_id").select("bug_id", "summ", "desc", F.size("stacktrace").cast("long").alias("n_threads"), "ts", "product")
+
+
+@query
+def level0_groups(spark, d):
+    """Duplicate links and incomplete reports as raw records; a link counts unless its record was marked before it. An
+    incomplete report of an even id is marked after its link."""
+    records = table(spark, d, "documents").select(F.col("doc_id").alias("bug_id")).join(edges(spark, d), F.col("bug_id") == F.col("src"), "left").join(incomplete(spark, d).distinct().withColumn("bad", F.lit(True)), "bug_id", "left")
+    mark = F.when(F.col("bad"), "    <resolution>INCOMPLETE</resolution>")
+    link = F.concat(F.lit("    <dup_id>"), F.col("dst").cast("string"), F.lit("</dup_id>"))
+    even = F.col("bug_id") % 2 == 0
+    lines = F.concat_ws("\n", F.lit(""), F.concat(F.lit("    <bug_id>"), F.col("bug_id").cast("string"), F.lit("</bug_id>")), F.when(even, link).otherwise(mark), F.lit("    <thetext>x &lt;dup_id&gt;</thetext>"), F.when(even, mark).otherwise(link), F.lit("  </bug>"))
+    members, sizes = groups.duplicate_groups(*(checkpointed(x) for x in reports.parse_level0(records.select(lines.alias("value")))))
+    return members.join(sizes, "group").select("bug_id", "group", "size", "n_members")
+
+
 @query
 def report_serde(spark, d):
     rows = corpus(spark, d).select(
@@ -539,6 +576,45 @@ def eval_rankings(spark, d):
     return evaluate.macro(cases, judge(rows), judge(similarity.duplicates(rows, members, LOOSE)))
 
 
+RATES, THRESHOLDS = (0.0, 0.2, 0.4, 0.6, 0.8), (0.65, 0.7, 0.75)
+STRATA, DRAWS = Settings(small_group=3, middle_group=5), {"small": 4, "middle": 3, "large": 3}
+
+
+def _cases(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Test cases: reports drawn from the strata of groups, without some of their words, written as report lines and read
+    again; and the groups' members."""
+    members, sizes = _groups(spark, d)
+    members = checkpointed(members)
+    drawn = checkpointed(evaluate.draws(members, evaluate.strata(sizes, STRATA), DRAWS))
+    path = f"{shared_folder(spark)}/cases-{uuid.uuid4().hex}"
+    reports.write_lines(evaluate.cases(drawn, corpus(spark, d), RATES, BIDF), path, ["rate", "stratum"])
+    back = checkpointed(reports.read_lines(spark, path, ["rate", "stratum"]).withColumn("query_id", F.monotonically_increasing_id()))
+    removed(spark, path)
+    return back, members
+
+
+@query
+def test_cases(spark, d):
+    return _cases(spark, d)[0].select(F.col("rate").cast("double").alias("rate"), "stratum", "create_ts", "product", "summ", "desc", "dummy_bug_id")
+
+
+@query
+def eval_grid(spark, d):
+    """Precision and recall of what is found for the test cases, at each threshold and rate: a case's true reports are those
+    of the group it was drawn from, but for itself."""
+    rows, members = _cases(spark, d)
+    s = replace(BIDF, bug_no_similar_threshold=0.0)
+    made = counted(spark, d, s, rows.select("query_id", "summ", "desc"))
+    itself = rows.select("query_id", F.col("dummy_bug_id").alias("bug_id"))
+    found = checkpointed(searched(spark, d, s, made, itself).similar(made[3]))
+    high = found.groupBy("query_id").agg(F.max("score").alias("high"))
+    own = itself.join(members, "bug_id").select("query_id", F.col("group").alias("own"))
+    judged = lambda df: df.join(own, "query_id").join(high, "query_id").join(members, "bug_id", "left").select("query_id", "bug_id", "high", F.coalesce(F.col("group") == F.col("own"), F.lit(False)).alias("hit"))
+    true = own.join(members.groupBy(F.col("group").alias("own")).agg((F.count(F.lit(1)) - 1).alias("n_true")), "own")
+    cases = rows.select("query_id", F.col("rate").cast("double").alias("rate")).join(true, "query_id").select("query_id", "rate", "n_true")
+    return evaluate.grid_metrics(cases, judged(found), judged(similarity.duplicates(found, members, s)), THRESHOLDS)
+
+
 @query
 def scores_at_least(spark, d):
     return table(spark, d, "part").select("p_partkey", similarity.at_least(F.array(*[F.lit(i) for i in range(10, 0, -1)]), F.col("p_size") - 20).cast("long").alias("n"))

@@ -98,13 +98,13 @@ def read_level0(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_level0(spark.read.option("lineSep", "<bug>").text(path))
 
 
-def to_line(r: DataFrame) -> DataFrame:
-    """line: create_ts;product;summary;description and stack trace;penalty;dummy_bug_id;exclude_ids;skip_terms."""
+def to_line(r: DataFrame, *keep: str) -> DataFrame:
+    """line: create_ts;product;summary;description and stack trace;penalty;dummy_bug_id;exclude_ids;skip_terms; and `keep`."""
     listed = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
     text = lambda c: T.encode_special(F.coalesce(c, F.lit("")))
     desc = F.concat_ws(" ", F.coalesce("desc", F.lit("")), S.stack_text(F.col("stacktrace")))
     parts = [F.coalesce(F.col("create_ts").cast("string"), F.lit("")), text(F.col("product")), text(F.col("summ")), text(desc), text(listed("penalty")), F.coalesce(F.col("dummy_bug_id").cast("string"), F.lit("")), listed("exclude_ids"), text(listed("skip_terms"))]
-    return r.select(F.concat_ws(";", *parts).alias("line"))
+    return r.select(F.concat_ws(";", *parts).alias("line"), *keep)
 
 
 def build_line(r: DataFrame) -> DataFrame:
@@ -114,13 +114,27 @@ def build_line(r: DataFrame) -> DataFrame:
     return to_line(r.withColumn("desc", desc).withColumn("stacktrace", F.array().cast(S.TRACE)))
 
 
-def from_line(lines: DataFrame, algorithm: str = "weight") -> DataFrame:
-    """The report of each line; fields at the end may be missing."""
+def write_lines(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Report lines of rows as text files, in folders by the columns `by`; other columns that a line has no field for are lost."""
+    lines = rows.withColumn("__by", F.struct(*by))
+    fields = ["create_ts", "product", "summ", "desc", "stacktrace", "penalty", "dummy_bug_id", "exclude_ids", "skip_terms"]
+    to_line(lines.select(*fields, "__by"), "__by").select("line", "__by.*").write.partitionBy(*by).text(path)
+
+
+def read_lines(spark: SparkSession, path: str, by: list[str], algorithm: str = "weight") -> DataFrame:
+    """The reports that `write_lines` wrote, with the columns `by` as text."""
+    lines = spark.read.schema("value string, " + ", ".join(f"{c} string" for c in by)).text(path)
+    return from_line(lines.withColumnRenamed("value", "line"), algorithm, *by)
+
+
+def from_line(lines: DataFrame, algorithm: str = "weight", *keep: str) -> DataFrame:
+    """The report of each line, and the columns `keep`; fields at the end may be missing."""
     f = F.split("line", ";", -1)
     at = lambda i: F.coalesce(F.get(f, i), F.lit(""))
     listed = lambda i: F.when(at(i) == "", F.array().cast("array<string>")).otherwise(F.split(T.decode_special(at(i)), ",", -1))
     before, trace = S.split_description(T.decode_special(at(3)), algorithm)
     return lines.select(
+        *keep,
         at(0).try_cast("long").alias("create_ts"),
         T.decode_special(at(1)).alias("product"),
         T.decode_special(at(2)).alias("summ"),
