@@ -33,7 +33,6 @@ from .grouped import grouped
 DEGREE = 24
 PROJECTIONS = 3
 BLOCK = 128
-ROUNDS = 6
 #: Descent ends when a round changes less than this part of all list entries.
 CHANGED = 0.05
 #: New acquaintances that a member takes home from one meeting, and members that meet at once.
@@ -44,8 +43,8 @@ OPENS = 64
 #: Files of the graph that is searched, at least, and nodes in a file.
 BUCKETS, BUCKET_NODES = 32, 20_000
 
-GRAPH = "id long, vec binary, nbrs array<long>, dists array<float>, changed int"
-PAIRS = "id long, cand long, dist float"
+GRAPH = "id long, vec binary, nbrs array<long>, dists array<double>, changed int"
+PAIRS = "id long, cand long, dist double"
 
 
 def packed_as(kind: str) -> Callable[[np.ndarray], list[bytes]]:
@@ -70,13 +69,13 @@ def nearest_pairs(ids: np.ndarray, x: np.ndarray, takes: int, bound: np.ndarray
     """(id, cand, dist): for each of a few vectors the nearest of the others, below its bound."""
     n = len(ids)
     if n < 2:
-        return ids[:0], ids[:0], np.zeros(0, np.float32)
+        return ids[:0], ids[:0], np.zeros(0)
     d = squared(x, x)
     np.fill_diagonal(d, np.inf)
     m = min(takes, n - 1)
     j = np.argpartition(d, m - 1, axis=1)[:, :m]
     v = np.take_along_axis(d, j, axis=1)
-    ok = v < (np.full((n, 1), np.inf, np.float32) if bound is None else bound[:, None])
+    ok = v < (np.full((n, 1), np.inf) if bound is None else bound[:, None])
     return np.repeat(ids, m)[ok.ravel()], ids[j][ok], v[ok]
 
 
@@ -86,9 +85,9 @@ def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Arra
 
 def _merged(graph: DataFrame, pairs: DataFrame, degree: int) -> DataFrame:
     """The graph with each list improved by the pairs found; changed: new entries in the list."""
-    empty = [F.lit(None).cast("long").alias("cand"), F.lit(None).cast("float").alias("dist")]
+    empty = [F.lit(None).cast("long").alias("cand"), F.lit(None).cast("double").alias("dist")]
     rows = graph.select("id", "vec", "nbrs", "dists", *empty).unionByName(
-        pairs.select("id", F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("array<long>").alias("nbrs"), F.lit(None).cast("array<float>").alias("dists"), "cand", "dist")
+        pairs.select("id", F.lit(None).cast("binary").alias("vec"), F.lit(None).cast("array<long>").alias("nbrs"), F.lit(None).cast("array<double>").alias("dists"), "cand", "dist")
     )
 
     def each(table: pa.Table) -> Iterator[dict]:
@@ -101,7 +100,7 @@ def _merged(graph: DataFrame, pairs: DataFrame, degree: int) -> DataFrame:
         counts = np.asarray(nbrs.value_lengths())
         who = np.concatenate([np.repeat(nodes, counts), ids[new]])
         whom = np.concatenate([nbrs.flatten().to_numpy(zero_copy_only=False), cand.take(pa.array(new)).to_numpy()])
-        dist = np.concatenate([column("dists").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False), column("dist").take(pa.array(new)).to_numpy()]).astype(np.float32)
+        dist = np.concatenate([column("dists").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False), column("dist").take(pa.array(new)).to_numpy()])
         fresh = np.arange(len(who)) >= counts.sum()
         order = np.lexsort((fresh, whom, who))
         who, whom, dist, fresh = who[order], whom[order], dist[order], fresh[order]
@@ -118,13 +117,14 @@ def _merged(graph: DataFrame, pairs: DataFrame, degree: int) -> DataFrame:
         nodes = nodes[order]
         starts = np.concatenate([np.searchsorted(who, nodes), [len(who)]])
         news = np.concatenate([[0], np.cumsum(fresh)])
-        yield {"id": nodes, "vec": vec.take(pa.array(own[order])), "nbrs": _lists(starts, whom, pa.int64()), "dists": _lists(starts, dist, pa.float32()), "changed": news[starts[1:]] - news[starts[:-1]]}
+        yield {"id": nodes, "vec": vec.take(pa.array(own[order])), "nbrs": _lists(starts, whom, pa.int64()), "dists": _lists(starts, dist, pa.float64()), "changed": news[starts[1:]] - news[starts[:-1]]}
 
     return grouped(rows, "id", each, GRAPH)
 
 
 def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) -> DataFrame:
-    """Pairs of vectors that lie side by side in a random projection's order of signs."""
+    """Pairs of vectors that lie side by side in a random projection's order of signs, and within blocks dealt by a hash, so
+    that every vector meets others whatever the partitions are; all others, if they are few."""
 
     def coded(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +157,19 @@ def _first_pairs(nodes: DataFrame, projections: int, block: int, takes: int) ->
         if ids:
             yield pairs(0, len(ids))
 
-    out = None
+    def dealt(table: pa.Table) -> Iterator[dict]:
+        keys, ids, vecs = table.column("key").to_numpy(), table.column("id").to_numpy(), table.column("vec").to_pylist()
+        cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            who, whom, dist = nearest_pairs(ids[a:b], restored(vecs[a:b]), takes)
+            yield {"id": who, "cand": whom, "dist": dist}
+
+    many = max(1, nodes.count() // block)
+    out = grouped(nodes.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(many))), "key", dealt, PAIRS)
     for seed in range(projections):
         rows = nodes.mapInArrow(coded(seed), "id long, vec binary, code long, side double")
         found = rows.repartitionByRange("code", "side").sortWithinPartitions("code", "side", "id").mapInArrow(blocks, PAIRS)
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(found)
     return out
 
 
@@ -171,7 +179,7 @@ def _meetings(graph: DataFrame, degree: int) -> DataFrame:
     nearest_first = Window.partitionBy("to").orderBy("d", "by")
     back = listed.withColumn("n", F.row_number().over(nearest_first)).filter(F.col("n") <= degree).select(F.col("to").alias("center"), F.col("by").alias("member"))
     pairs = listed.select(F.col("by").alias("center"), F.col("to").alias("member")).unionByName(back).distinct()
-    bound = F.when(F.size("nbrs") < degree, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("float")
+    bound = F.when(F.size("nbrs") < degree, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("double")
     # A vector that very many list is sent to all of them from several tasks.
     sent = listed.groupBy(F.col("to").alias("member")).agg((F.count(F.lit(1)) + degree).alias("__m"))
     return spread_join(pairs, graph.select(F.col("id").alias("member"), "vec", bound.alias("bound")), ["member"], counts=sent)
@@ -198,16 +206,20 @@ def _introduced(meetings: DataFrame, takes: int, meeting: int) -> DataFrame:
     return grouped(meetings, "center", each, PAIRS)
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """NN-descent over nodes (id, vec): id, vec, nbrs and dists (squared, ascending), changed."""
+def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int | None = None) -> DataFrame:
+    """NN-descent over nodes (id, vec): id, vec, nbrs and dists (squared, ascending), changed.
+
+    Rounds (or only so many) go on until one changes less than the part CHANGED of all entries; lists only improve, so they end.
+    """
     nodes = checkpointed(nodes)
     n = nodes.count()
-    blank = nodes.select("id", "vec", F.array().cast("array<long>").alias("nbrs"), F.array().cast("array<float>").alias("dists"))
+    blank = nodes.select("id", "vec", F.array().cast("array<long>").alias("nbrs"), F.array().cast("array<double>").alias("dists"))
     graph = checkpointed(_merged(blank, _first_pairs(nodes, PROJECTIONS, BLOCK, degree), degree))
-    for _ in range(rounds):
+    while rounds is None or rounds > 0:
         graph = checkpointed(_merged(graph, _introduced(_meetings(graph, degree), TAKES, MEETING), degree))
-        if (graph.agg(F.sum("changed")).first()[0] or 0) < CHANGED * n * degree:
+        if (graph.agg(F.sum("changed")).first()[0] or 0) <= CHANGED * n * degree:
             break
+        rounds = rounds and rounds - 1
     return graph
 
 
@@ -224,7 +236,7 @@ def _adjacency(graph: DataFrame, degree: int) -> DataFrame:
     return grouped(_meetings(graph, degree), "center", each, "node long, nbrs array<long>, vecs binary")
 
 
-BEAMS = "query long, vec binary, ids array<long>, dists array<float>, opened array<boolean>"
+BEAMS = "query long, vec binary, ids array<long>, dists array<double>, opened array<boolean>"
 
 
 def greedy_search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, beam: int = BEAM, opens: int = OPENS) -> DataFrame:
@@ -243,7 +255,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int = DEGREE, be
 def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int, opens: int) -> DataFrame:
     """The beams when none has a node left to open."""
     start = graph.join(queries, graph["id"] == queries["query"]).select(
-        "query", "vec", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("float")).alias("dists"), F.array(F.lit(False)).alias("opened")
+        "query", "vec", F.array("query").alias("ids"), F.array(F.lit(0.0).cast("double")).alias("dists"), F.array(F.lit(False)).alias("opened")
     )
     beams = checkpointed(start)
 
@@ -259,9 +271,9 @@ def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int,
                 width = len(vec[0])
                 x = restored([v[k * width : (k + 1) * width] for v, s in zip(c["vecs"][i : i + 512], size, strict=True) for k in range(s)])
                 d = ((x - np.repeat(q, size, axis=0)) ** 2).sum(axis=1)
-                ok = d < np.repeat(np.array(c["bound"][i : i + 512], np.float32), size)
+                ok = d < np.repeat(np.array(c["bound"][i : i + 512]), size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array(c["query"][i : i + 512]), size)[ok]), pa.array(np.concatenate([np.array(s) for s in nbrs])[ok]), pa.array(d[ok].astype(np.float32))], names=["query", "cand", "dist"]
+                    [pa.array(np.repeat(np.array(c["query"][i : i + 512]), size)[ok]), pa.array(np.concatenate([np.array(s) for s in nbrs])[ok]), pa.array(d[ok])], names=["query", "cand", "dist"]
                 )
 
     def each(table: pa.Table) -> Iterator[dict]:
@@ -274,7 +286,7 @@ def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int,
             at = a + int(np.flatnonzero(is_state[a:b])[0])
             new = np.delete(np.arange(a, b), at - a)
             who = np.concatenate([np.array(ids[at].as_py(), np.int64), cand[new]])
-            d = np.concatenate([np.array(dists[at].as_py(), np.float32), dist[new].astype(np.float32)])
+            d = np.concatenate([np.array(dists[at].as_py(), np.float64), dist[new]])
             o = np.concatenate([np.array(opened[at].as_py(), bool), np.zeros(len(new), bool)])
             # The nodes opened last round are the first `opens` that were not open.
             held = len(ids[at])
@@ -291,12 +303,12 @@ def _searched(graph: DataFrame, queries: DataFrame, links: DataFrame, beam: int,
 
     while True:  # each round opens nodes, of which there are only so many
         unopened = F.slice(F.filter(F.arrays_zip("ids", "opened"), lambda x: ~x["opened"]), 1, opens)
-        bound = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("float")
+        bound = F.when(F.size("ids") < beam, F.lit(float("inf"))).otherwise(F.array_max("dists")).cast("double")
         front = beams.select("query", "vec", bound.alias("bound"), F.explode(unopened).alias("o")).select("query", "vec", "bound", F.col("o.ids").alias("node"))
         if front.isEmpty():
             break
-        seen = links.join(front.hint("shuffle_hash"), "node").select("query", "vec", "bound", "nbrs", "vecs").mapInArrow(looked, "query long, cand long, dist float")
-        rows = beams.select("*", F.lit(None).cast("long").alias("cand"), F.lit(None).cast("float").alias("dist")).unionByName(seen, allowMissingColumns=True)
+        seen = links.join(front.hint("shuffle_hash"), "node").select("query", "vec", "bound", "nbrs", "vecs").mapInArrow(looked, "query long, cand long, dist double")
+        rows = beams.select("*", F.lit(None).cast("long").alias("cand"), F.lit(None).cast("double").alias("dist")).unionByName(seen, allowMissingColumns=True)
         beams = checkpointed(grouped(rows, "query", each, BEAMS))
     return beams.select("query", "ids", "dists")
 
@@ -309,19 +321,19 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, degree: int = DEGREE, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by `every` its k nearest other rows found."""
     narrow = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     rows = checkpointed(usable(vectors))
     lengths = [r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect()]  # a number each, few
-    found = [_nearest(rows.filter(F.size("v") == n), narrow, k, every, degree, beam, rounds) for n in lengths or [0]]
+    found = [_nearest(rows.filter(F.size("v") == n), narrow, k, every, degree, beam) for n in lengths or [0]]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _nearest(rows: DataFrame, narrow: bool, k: int, every: int, degree: int, beam: int, rounds: int) -> DataFrame:
+def _nearest(rows: DataFrame, narrow: bool, k: int, every: int, degree: int, beam: int) -> DataFrame:
     """The same over vectors (vec_id, v) of one length."""
     nodes = checkpointed(rows.groupBy("v").agg(F.min("vec_id").alias("id")))
 
@@ -333,7 +345,7 @@ def _nearest(rows: DataFrame, narrow: bool, k: int, every: int, degree: int, bea
                 x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(as_bytes(x))], names=["id", "vec"])
 
-    graph = neighbour_graph(nodes.select("id", "v").mapInArrow(packed, "id long, vec binary"), degree, rounds)
+    graph = neighbour_graph(nodes.select("id", "v").mapInArrow(packed, "id long, vec binary"), degree)
     member = rows.join(nodes, "v").select("vec_id", "id")
     asked = member.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"))
     found = greedy_search(graph, asked.select("query").distinct(), degree, beam)
