@@ -35,6 +35,7 @@ from ..lineage import removed, spread_join, written
 from ..operators.components import components
 from .common import WORD, checkpointed, map_batches, texts
 from .grouped import grouped
+from .tokens import let_go
 
 WORDS, SIMILARITY = 5, 0.8
 RECALL = 0.9998
@@ -125,6 +126,8 @@ def sampled(docs: DataFrame, samples: int) -> DataFrame:
     def make():
         xor, times = _orders(samples)
 
+        let_go()  # what an earlier packing step holds in this worker
+
         def each(batch: dict[str, list]) -> Iterator[dict[str, list]]:
             for i in range(0, len(batch["text"]), 512):
                 sets = shingles(batch["text"][i : i + 512])
