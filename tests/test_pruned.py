@@ -118,3 +118,11 @@ def test_groups_by_batches_are_those_of_a_rebuild(spark):
         want = groups.duplicate_groups(spark.createDataFrame(all_links, "src long, dst long"), spark.createDataFrame(all_bad, "bug_id long"))
         for got, w in zip(store.groups(), want, strict=True):
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, w.collect()))
+
+
+def test_a_text_finds_what_it_was_taken_from(spark):
+    from twinreport.plans import domain
+
+    row = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy(F.length("text").desc()).first()
+    got = domain.ask(spark, "/root/testdata/sf0.001", row["text"].split("\n")[0].upper(), row["text"], 3).collect()
+    assert [r["rank"] for r in got] == [1, 2, 3] and got[0]["score"] == 1.0 and row["doc_id"] in [r["bug_id"] for r in got]

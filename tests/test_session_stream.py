@@ -46,3 +46,12 @@ def test_stream_of_shuffled_batches_is_the_fold(spark, tmp_path):
     want = {x["session_id"]: tuple(tuple(x[f]) if isinstance(x[f], list) else x[f] for f in fields) for x in want.select("session_id", *[F.col(f) for f in fields]).collect()}
     seen.pop(-1, None)
     assert seen == want
+
+
+def test_answer_holds_the_limits(spark):
+    from twinreport.config import Settings
+
+    states = spark.createDataFrame([(1, "x" * 600, ["a"], [], [], None, 1)], session.STATE)
+    r = session.respond(states, 10, Settings(bug_sentence_number=4), "https://reports/%d").first()
+    assert r["report"] == "x" * 10 + " ..." and (r["max_sentences"], r["max_duplicates"], r["link"]) == (4, 5, "https://reports/%d")
+    assert session.respond(states).columns == ["session_id", "report", "penalty", "exclude", "skip", "ended"]

@@ -76,6 +76,12 @@ def searched(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made:
     return Pruned(ours, theirs, theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df")), settings, without)
 
 
+def ask(spark: SparkSession, sf_dir: str, summary: str, description: str, n: int = 10, settings: Settings = BIDF) -> DataFrame:
+    """bug_id, score, rank of the n reports most like a summary and a description."""
+    asked = spark.createDataFrame([(0, summary.lower(), description.lower())], "query_id long, summ string, desc string")
+    return searched(spark, sf_dir, settings, counted(spark, sf_dir, settings, asked)).top(n).drop("query_id")
+
+
 def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:
     """query_id, bug_id, rs, rd for pairs that share a term; made: what `weighted` returned, if it is at hand."""
     q, c, *_ = made or weighted(spark, sf_dir, settings)

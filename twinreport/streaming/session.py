@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
+
 ENDS = ("do_submit", "do_cancel")
 ADDS = {"add_penalty": "penalty", "add_exclude": "exclude", "add_skip_term": "skip"}
 SETS = ("set_report_info", "set_report_basic_info")
@@ -147,8 +149,13 @@ def ordered(commands: DataFrame, delay: str = "10 minutes", idle: str = "1 day",
     return rows.groupBy("session_id").transformWithStateInPandas(Ordered(), STATE, "Update", "EventTime")
 
 
-def respond(states: DataFrame, text_limit: int = 512) -> DataFrame:
-    """What a session answers: its report, cut to the limit, and its lists."""
+def respond(states: DataFrame, text_limit: int = 512, settings: Settings | None = None, link: str = "") -> DataFrame:
+    """What a session answers: its report, cut to the limit, and its lists; with settings also how many sentences and
+    duplicates it shows at most, and the link under which reports are found."""
     from ..functions.text import truncated
 
-    return states.select("session_id", truncated(F.col("report"), text_limit).alias("report"), "penalty", "exclude", "skip", "ended")
+    rows = states.select("session_id", truncated(F.col("report"), text_limit).alias("report"), "penalty", "exclude", "skip", "ended")
+    if settings is None:
+        return rows
+    limits = {"max_sentences": F.lit(settings.bug_sentence_number), "max_duplicates": F.lit(settings.bug_duplicate_number), "link": F.lit(link)}
+    return rows.withColumns(limits)
