@@ -25,6 +25,8 @@ from .similarity import DIGITS
 SENT = 500_000
 #: Reports that the first terms find for each one that is sought, about; how many of them are scored in full for the bound.
 FIRST, FULL = 5, 2
+#: The same for all that is sought, at least.
+FIRST_LEAST, FULL_LEAST = 30, 10
 #: Sums in another order may differ by less.
 SLACK = 2.0 * 10**-DIGITS
 #: Reports with the fewest terms that are tried for one without a common term.
@@ -78,7 +80,7 @@ class Pruned:
         """query_id, block, bug_id, s: what the terms (of incoming reports) add up to in each report that holds one."""
         pairs = _met(self.theirs, terms.select("query_id", *KEYS, "part", "bound"), KEYS, self.n_terms).groupBy("query_id", "block", "bug_id").agg(F.sum(self._value()).alias("s"))
         pairs = checkpointed(pairs if self.without is None else pairs.join(self.without, ["query_id", "bug_id"], "left_anti"))
-        self.formed[name] = pairs.count()
+        self.formed[name] = self.formed.get(name, 0) + pairs.count()
         return pairs
 
     def _filled(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -104,9 +106,9 @@ class Pruned:
 
     def bound(self, k: int) -> DataFrame:
         """query_id, least: a score that k reports reach, for every incoming report; 0 if fewer share a term."""
-        start = F.col("found") < FIRST * k
+        start = F.col("found") < max(FIRST * k, FIRST_LEAST)
         first = self._sums(self.terms.filter(start), "first")
-        best = similarity.top(first.select("query_id", "bug_id", F.col("s").alias("score")), FULL * k).select("query_id", "bug_id", F.col("score").alias("s"))
+        best = similarity.top(first.select("query_id", "bug_id", F.col("s").alias("score")), max(FULL * k, FULL_LEAST)).select("query_id", "bug_id", F.col("score").alias("s"))
         full = similarity.top(self._scored(self._filled(best, self.terms.filter(~start))), k)
         kth = full.filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         return checkpointed(self.base.select("query_id").join(kth, "query_id", "left").select("query_id", F.coalesce("least", F.lit(0.0)).alias("least")))
