@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import text as T
+from ..lineage import met
 from .similarity import DIGITS
 from .terms import unit_idf
 
 
-def report_difference(found: DataFrame, incoming: DataFrame, corpus: DataFrame, skip: DataFrame | None = None, query: str = "query_id") -> DataFrame:
+def report_difference(found: DataFrame, incoming: DataFrame, corpus: DataFrame, skip: DataFrame | None = None, query: str = "query_id", n: int | None = None) -> DataFrame:
     """query, bug_id, field, term: terms of the found reports (query, bug_id) that the incoming report lacks.
 
     Of a summary those not in the incoming summary; of a description those in neither field and not skipped (query, term).
+    n: the found reports, if known; some are broadcast, so that no other report's terms are shuffled.
     """
-    theirs = found.select(query, "bug_id").join(corpus.select("bug_id", "field", "term"), "bug_id")
+    each, words = found.select(query, "bug_id"), corpus.select("bug_id", "field", "term")
+    theirs = each.join(words, "bug_id") if n is None else met(words, each, ["bug_id"], n)
     known = incoming.filter("field = 'summ'").select(query, F.explode(F.array(F.lit("summ"), F.lit("desc"))).alias("field"), "term")
     known = known.unionByName(incoming.filter("field = 'desc'").select(query, "field", "term"))
     if skip is not None:
@@ -53,15 +58,17 @@ def top_keywords(scores: DataFrame, n: int = 10, query: str = "query_id") -> Dat
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
 
 
-def sentence_rows(reports: DataFrame, desc: Column | None = None) -> DataFrame:
-    """bug_id, pos, sentence: the pieces of each description."""
-    return reports.select("bug_id", F.posexplode(T.sentences(F.col("desc") if desc is None else desc)).alias("pos", "sentence"))
+def sentence_rows(reports: DataFrame, desc: Column | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """bug_id, pos, sentence: the pieces of each description; more: columns to keep."""
+    return reports.select(*more, "bug_id", F.posexplode(T.sentences(F.col("desc") if desc is None else desc)).alias("pos", "sentence"))
 
 
-def sentences_with(rows: DataFrame, keywords: DataFrame, settings: Settings) -> DataFrame:
-    """query, bug_id, pos, sentence for sentences (of query's found reports) that hold the query's keyword (query, term)."""
+def sentences_with(rows: DataFrame, keywords: DataFrame, settings: Settings, n: int | None = None) -> DataFrame:
+    """query, bug_id, pos, sentence for sentences (of query's found reports) that hold the query's keyword (query, term).
+    n: the keywords, if known; some are broadcast."""
     tokens = T.tokens(T.strip_template(F.col("sentence")), settings.tokenizer, settings.ascii_boundary)
-    return rows.join(keywords, "query_id").filter(F.array_contains(tokens, F.col("term"))).select("query_id", "bug_id", "pos", "sentence")
+    asked = rows.join(keywords, "query_id") if n is None else met(rows, keywords, ["query_id"], n)
+    return asked.filter(F.array_contains(tokens, F.col("term"))).select("query_id", "bug_id", "pos", "sentence")
 
 
 def first_reports(sentences: DataFrame, ranked: DataFrame, most: int = 1000) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.stacktrace import TRACE, stack_similarity
-from ..lineage import checkpointed, spread_join
+from ..lineage import checkpointed, met, spread_join
 
 #: Scores are rounded before they are ranked, so that the order of sums doesn't decide ties.
 DIGITS = 6
@@ -19,12 +19,16 @@ DIGITS = 6
 SENT = 100_000
 
 
-def products(incoming: DataFrame, corpus: DataFrame, query: str = "query_id", key: str = "bug_id") -> DataFrame:
-    """query, key, summ, desc: sparse products of each field for pairs that share a term. A weight of 0 adds nothing, and is left out."""
+def products(incoming: DataFrame, corpus: DataFrame, query: str = "query_id", key: str = "bug_id", n_terms: int | None = None) -> DataFrame:
+    """query, key, summ, desc: sparse products of each field for pairs that share a term. A weight of 0 adds nothing, and is left out.
+
+    n_terms: the incoming rows, if known; some are broadcast, so that a corpus dealt by key is not shuffled again.
+    """
     q = incoming.filter("w != 0").select(query, "field", "term", F.col("w").alias("qw"))
     c = corpus.filter("w != 0").select(key, "field", "term", F.col("w").alias("cw"))
     part = lambda f: F.coalesce(F.sum(F.when(F.col("field") == f, F.col("qw") * F.col("cw"))), F.lit(0.0)).alias(f)
-    return q.join(c, ["field", "term"]).groupBy(query, key).agg(part("summ"), part("desc"))
+    pairs = q.join(c, ["field", "term"]) if n_terms is None else met(c, q, ["field", "term"], n_terms)
+    return pairs.groupBy(query, key).agg(part("summ"), part("desc"))
 
 
 def penalties(corpus: DataFrame, terms: DataFrame, query: str = "query_id", key: str = "bug_id") -> DataFrame:
@@ -38,13 +42,13 @@ def asymmetric(dot: Column, len2: Column, penalty: Column | None = None, penalty
     return F.when(F.coalesce(len2, F.lit(0.0)) < 1e-6, 1.0).otherwise(F.greatest(F.lit(0.0), top / len2))
 
 
-def similarities(incoming: DataFrame, corpus: DataFrame, settings: Settings, unwanted: DataFrame | None = None, query: str = "query_id", key: str = "bug_id") -> DataFrame:
-    """query, key, rs, rd: similarity of summaries and descriptions for pairs that share a term."""
-    pairs = products(incoming, corpus, query, key)
+def similarities(incoming: DataFrame, corpus: DataFrame, settings: Settings, unwanted: DataFrame | None = None, query: str = "query_id", key: str = "bug_id", n_terms: int | None = None) -> DataFrame:
+    """query, key, rs, rd: similarity of summaries and descriptions for pairs that share a term. n_terms: as for `products`."""
+    pairs = products(incoming, corpus, query, key, n_terms)
     if settings.tfidf_algorithm == "tfidf":
         return pairs.select(query, key, F.col("summ").alias("rs"), F.col("desc").alias("rd"))
     length = incoming.groupBy(query).agg(*[F.coalesce(F.sum(F.when(F.col("field") == f, F.col("w") * F.col("w"))), F.lit(0.0)).alias(f"{f}_len2") for f in ("summ", "desc")])
-    pairs = pairs.join(length, query)
+    pairs = pairs.join(length, query) if n_terms is None else met(pairs, length, [query], n_terms)
     penalty = None
     if unwanted is not None:
         pairs = pairs.join(penalties(corpus, unwanted, query, key), [query, key], "left")

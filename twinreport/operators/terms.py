@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import Settings
 from ..functions import text as T
 from ..functions.stem import STEMMERS, stem_table
 from ..functions.words import DOMAIN_STOP_WORDS, STOP_WORDS, SYNONYMS
+from ..lineage import SENT, checkpointed, met
 
 FIELDS = ("summ", "desc")
+#: Terms whose document counts are broadcast, at most.
+HOT = 250_000
+#: Lists of tokens that a task counts at once.
+LISTS = 1000
 
 
-def token_rows(reports: DataFrame, settings: Settings, key: str = "bug_id", strip: bool = True) -> DataFrame:
-    """key, field, pos, term: every token; templates are removed from descriptions only."""
+def _token_lists(reports: DataFrame, settings: Settings, key: str, strip: bool = True) -> DataFrame:
+    """key, f (field, terms): each field's tokens; templates are removed from descriptions only."""
     desc = T.strip_template(F.col("desc")) if strip else F.col("desc")
     split = lambda c: T.tokens(c, settings.tokenizer, settings.ascii_boundary)
     each = F.array(F.struct(F.lit("summ").alias("field"), split(F.col("summ")).alias("terms")), F.struct(F.lit("desc").alias("field"), split(desc).alias("terms")))
-    rows = reports.select(key, F.explode(each).alias("f")).select(key, "f.field", F.posexplode("f.terms").alias("pos", "term"))
-    return rows
+    return reports.select(key, F.explode(each).alias("f"))
+
+
+def token_rows(reports: DataFrame, settings: Settings, key: str = "bug_id", strip: bool = True) -> DataFrame:
+    """key, field, pos, term: every token; templates are removed from descriptions only."""
+    return _token_lists(reports, settings, key, strip).select(key, "f.field", F.posexplode("f.terms").alias("pos", "term"))
 
 
 def stemmed(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -64,6 +74,42 @@ def term_counts(reports: DataFrame, settings: Settings, key: str = "bug_id", syn
     return bags(token_rows(reports, settings, key), settings, key, synonyms=synonyms)
 
 
+def local_counts(reports: DataFrame, settings: Settings, key: str = "bug_id") -> DataFrame:
+    """key, field, term, tf as `term_counts` without synonyms, counted where a report lies, so that no token is shuffled.
+
+    Stems, and reports of a key that is there more than once, meet by a shuffle.
+    """
+    if settings.stemmer != "none":
+        return term_counts(reports, settings, key, synonyms=False)
+    again = checkpointed(reports.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col(key).alias("__again")))
+    n = again.count()
+    if n:
+        few, same = (F.broadcast(again) if n <= SENT else again), reports[key].eqNullSafe(F.col("__again"))
+        repeated = term_counts(reports.join(few, same, "left_semi"), settings, key, synonyms=False)
+        reports = reports.join(few, same, "left_anti")
+    lists = _token_lists(reports, settings, key).select(key, "f.field", "f.terms")
+    schema = StructType([lists.schema[key], lists.schema["field"], StructField("term", StringType()), StructField("tf", LongType())])
+    rows = lists.mapInArrow(_counted_lists, schema).filter(~is_stop_word(F.col("term"), settings))
+    return rows.unionByName(repeated) if n else rows
+
+
+def _counted_lists(batches):
+    """Batches of (key, field, terms) as (key, field, term, tf), a few lists at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for start in range(0, len(batch), LISTS):
+            key, field, lists = batch.slice(start, LISTS).columns
+            words = lists.flatten().dictionary_encode()
+            n = max(1, len(words.dictionary))
+            row = np.repeat(np.arange(len(lists), dtype=np.int64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            found, tf = np.unique(row * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            at = pa.array(found // n)
+            columns = [key.take(at), field.take(at), words.dictionary.take(pa.array(found % n)), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:2], "term", "tf"])
+
+
 def as_maps(rows: DataFrame, value: str, key: str = "bug_id") -> DataFrame:
     """One row per key with a map of terms for each field."""
     made = [F.map_from_entries(F.filter(F.collect_list(F.when(F.col("field") == f, F.struct("term", value))), lambda x: x.isNotNull())).alias(f) for f in FIELDS]
@@ -88,6 +134,40 @@ def field_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def looked_up(counts: DataFrame, dfs: DataFrame) -> DataFrame:
+    """counts with df, for terms that dfs holds, a table of few bytes beside counts.
+
+    The most frequent terms, which most rows hold, are broadcast; the rows of the others meet dfs by a shuffle, where no
+    term is in more reports than the least frequent one that was broadcast.
+    """
+    level = F.floor(F.log2(F.col("df"))).cast("int").alias("level")
+    sizes, n, least = dict(map(tuple, dfs.groupBy(level).agg(F.count(F.lit(1))).collect())), 0, 0
+    for k in sorted(sizes, reverse=True):
+        n += sizes[k]
+        if n > HOT:
+            least = 2 ** (k + 1)
+            break
+    keys = ["field", "term"]
+    hot = F.broadcast(dfs.filter(F.col("df") >= least).select(*keys, "df"))
+    rows = counts.join(hot, keys)
+    return rows.unionByName(counts.join(hot, keys, "left_anti").join(dfs.filter(F.col("df") < least).select(*keys, "df"), keys)) if least else rows
+
+
+def lengths(counts: DataFrame, dfs: DataFrame, n: int, key: str = "bug_id") -> DataFrame:
+    """key, summ, desc: the lengths of the tf-idf vectors of each field, one row a report; null for a field without terms."""
+    w = F.col("tf") * idf(F.lit(n), F.col("df"))
+    part = lambda f: F.sqrt(F.sum(F.when(F.col("field") == f, w * w))).alias(f)
+    return looked_up(counts, dfs).groupBy(key).agg(*map(part, FIELDS))
+
+
+def scaled(counts: DataFrame, lengths_: DataFrame, dfs: DataFrame, n: int, n_terms: int, key: str = "bug_id") -> DataFrame:
+    """key, field, term, w as the tf-idf weights of `weights`, for a part of the counts: lengths_ are those of whole reports,
+    dfs holds the part's terms, n_terms of them. The rows are dealt by key."""
+    rows = met(counts, dfs, ["field", "term"], n_terms).join(lengths_, key)
+    w, length = F.col("tf") * idf(F.lit(n), F.col("df")), F.when(F.col("field") == "summ", F.col("summ")).otherwise(F.col("desc"))
+    return rows.select(key, "field", "term", F.when(length > 1e-4, w / length).otherwise(w).alias("w"))
+
+
 def weights(counts: DataFrame, dfs: DataFrame, n: int, algorithm: str = "bidf", key: str = "bug_id") -> DataFrame:
     """key, field, term, w. tfidf: tf * idf, scaled to length one if the length exceeds 0.0001; bidf: idf alone.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..lineage import checkpointed
+from ..lineage import checkpointed, finished, met, written
 from ..functions import text as T
 from ..operators import similarity, terms
 from ..operators.pruned import Pruned
 
+#: For tables of terms, which repeat far apart.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)}
 BIDF = Settings()
 TFIDF = Settings(tfidf_algorithm="tfidf")
 
@@ -43,14 +47,27 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(first, "h").filter("doc_id != dst").select(F.col("doc_id").alias("src"), "dst")
 
 
-def counted(spark: SparkSession, sf_dir: str, settings: Settings, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Term counts of the incoming reports (`asked`, if given) and of the corpus, both tables, document counts by field,
-    number of reports."""
+class Counted(NamedTuple):
+    """Term counts of the incoming reports and of the corpus, document counts by field, all tables; number of reports."""
+
+    ours: DataFrame
+    counts: DataFrame
+    dfs: DataFrame
+    n: int
+    paths: list[str]  # of the tables; who returns rows that no longer need them may delete them (`finished`)
+
+
+def counted(spark: SparkSession, sf_dir: str, settings: Settings, asked: DataFrame | None = None) -> Counted:
+    """What follows from the texts, each tokenised once. asked: the incoming reports, if they are others than the table's.
+
+    The corpus' counts lie report by report, in columns: without shuffling them, and in less than the texts' size.
+    """
     docs = corpus(spark, sf_dir)
-    counts = checkpointed(terms.term_counts(docs, settings, synonyms=False))
+    counts, at = written(terms.local_counts(docs, settings), "counts", **PACKED)
+    dfs, dfs_at = written(terms.field_counts(counts), "dfs", **PACKED)
     asked = incoming(spark, sf_dir) if asked is None else asked
-    theirs = checkpointed(terms.term_counts(asked, settings, "query_id", synonyms=False))
-    return theirs, counts, terms.field_counts(counts), docs.count()
+    ours = checkpointed(terms.term_counts(asked, settings, "query_id", synonyms=False))
+    return Counted(ours, counts, dfs, docs.count(), [at, dfs_at])
 
 
 def weighted(spark: SparkSession, sf_dir: str, settings: Settings, made: tuple | None = None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -58,14 +75,28 @@ def weighted(spark: SparkSession, sf_dir: str, settings: Settings, made: tuple |
 
     Texts are tokenised once: the term counts are a table, from which all else follows. made: what `counted` returned.
     """
-    ours, counts, dfs, n = made or counted(spark, sf_dir, settings)
+    ours, counts, dfs, n, _ = made or counted(spark, sf_dir, settings)
     return terms.weights(ours, dfs, n, settings.tfidf_algorithm, "query_id"), terms.weights(counts, dfs, n, settings.tfidf_algorithm), dfs, n
 
 
+def asked_of(made: Counted, settings: Settings) -> tuple[DataFrame, int, DataFrame]:
+    """Vectors of the incoming reports, how many rows they have, and those of the corpus for the terms of incoming reports
+    alone, as no other adds to a product."""
+    ours, counts, dfs, n, _ = made
+    asked = ours.select("field", "term").distinct()
+    n_terms = ours.count()
+    dfs_ = checkpointed(met(dfs, asked, ["field", "term"], n_terms))
+    q = checkpointed(terms.weights(ours, dfs_, n, settings.tfidf_algorithm, "query_id"))
+    if settings.tfidf_algorithm == "tfidf":
+        return q, n_terms, terms.scaled(counts, terms.lengths(counts, dfs, n), dfs_, n, n_terms)
+    c = met(counts, dfs_, ["field", "term"], n_terms).select("bug_id", "field", "term", terms.idf(F.lit(n), F.col("df")).alias("w"))
+    return q, n_terms, c.repartition("bug_id")
+
+
 def searched(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None, without: DataFrame | None = None) -> Pruned:
     """The corpus ready for searches by the incoming reports. made: what `counted` returned; without: no candidates."""
     made = made or counted(spark, sf_dir, settings)
-    ours, counts, dfs, n = made
+    ours, counts, dfs, n, _ = made
     if settings.tfidf_algorithm == "bidf":  # a term weighs the same everywhere, so the corpus needs no weights of its own
         one = F.lit(0).alias("block")
         return Pruned(terms.weights(ours, dfs, n, "bidf", "query_id"), counts.select("bug_id", one, "field", "term"), dfs.select("field", "term", one, terms.idf(F.lit(n), F.col("df")).alias("top"), "df"), settings, without)
@@ -82,16 +113,30 @@ def ask(spark: SparkSession, sf_dir: str, summary: str, description: str, n: int
     return searched(spark, sf_dir, settings, counted(spark, sf_dir, settings, asked)).top(n).drop("query_id")
 
 
-def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:
-    """query_id, bug_id, rs, rd for pairs that share a term; made: what `weighted` returned, if it is at hand."""
-    q, c, *_ = made or weighted(spark, sf_dir, settings)
-    return similarity.similarities(q, c, settings)
+def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: Counted | None = None) -> DataFrame:
+    """query_id, bug_id, rs, rd for pairs that share a term; made: what `counted` returned, if it is at hand.
+
+    The terms that both sides hold are dealt by report, and summed where they then lie; pairs are not shuffled.
+    """
+    q, n_terms, c = asked_of(made or counted(spark, sf_dir, settings), settings)
+    return similarity.similarities(q, c, settings, n_terms=n_terms)
 
 
-def scored(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None) -> DataFrame:
-    """query_id, bug_id, score by the weighted strategy, as a table that several steps read."""
+def pairs(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: Counted | None = None) -> DataFrame:
+    """query_id, bug_id, score by the weighted strategy, for one step that reads them."""
     nl = F.col("rs") * settings.bug_summary_ratio + F.col("rd") * settings.bug_description_ratio
-    return checkpointed(compared(spark, sf_dir, settings, made).select("query_id", "bug_id", F.round(nl, similarity.DIGITS).alias("score")))
+    return compared(spark, sf_dir, settings, made).select("query_id", "bug_id", F.round(nl, similarity.DIGITS).alias("score"))
+
+
+def scored(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: Counted | None = None) -> DataFrame:
+    """The same as a table that several steps read."""
+    return checkpointed(pairs(spark, sf_dir, settings, made))
+
+
+def best_of(spark: SparkSession, sf_dir: str, n: int, settings: Settings = BIDF, made: Counted | None = None) -> DataFrame:
+    """query_id, bug_id, score, rank: the n best of all pairs, as a checkpoint; tables that were made for it are deleted."""
+    own = made or counted(spark, sf_dir, settings)
+    return finished(similarity.top(pairs(spark, sf_dir, settings, own), n), [] if made else own.paths)
 
 
 def trace(key: str, every: int):

@@ -17,8 +17,8 @@ from ..operators import evaluate, groups, recommend, similarity, terms
 from ..sources import reports
 from ..streaming import session
 from . import build
-from ..lineage import checkpointed, removed, shared_folder
-from .domain import BIDF, TFIDF, compared, corpus, counted, edges, incoming, incomplete, scored, searched, table, trace, weighted
+from ..lineage import checkpointed, finished, met, removed, shared_folder
+from .domain import BIDF, TFIDF, best_of, compared, corpus, counted, edges, incoming, incomplete, scored, searched, table, trace, weighted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Similar enough for the synthetic texts, whose best reports score lower than real duplicates.
@@ -108,12 +108,12 @@ def squared_length(spark, d):
 
 @query
 def dot_similarity_topn(spark, d):
-    return similarity.top(scored(spark, d, TFIDF), 10)
+    return best_of(spark, d, 10, TFIDF)
 
 
 @query
 def asm_similarity_topn(spark, d):
-    return similarity.top(scored(spark, d), 10)
+    return best_of(spark, d, 10)
 
 
 @query
@@ -274,29 +274,32 @@ def product_counts(spark, d):
 
 
 def _differences(spark, d):
-    q, c, dfs, n = weighted(spark, d, BIDF)
-    best = checkpointed(similarity.top(scored(spark, d, made=(q, c)), 10))
-    return recommend.report_difference(best, q, c), best, dfs, n
+    made = counted(spark, d, BIDF)
+    best = best_of(spark, d, 10, made=made)
+    return recommend.report_difference(best, made.ours, made.counts, n=best.count()), best, made
 
 
 @query
 def report_difference(spark, d):
-    return _differences(spark, d)[0]
+    rows, _, made = _differences(spark, d)
+    return finished(rows, made.paths)
 
 
 def _keywords(spark, d):
-    rows, best, dfs, n = _differences(spark, d)
-    return recommend.keyword_scores(rows, best, dfs, n), best
+    rows, best, made = _differences(spark, d)
+    return recommend.keyword_scores(rows, best, made.dfs, made.n), best, made
 
 
 @query
 def keyword_scores(spark, d):
-    return _keywords(spark, d)[0]
+    scores, _, made = _keywords(spark, d)
+    return finished(scores, made.paths)
 
 
 @query
 def keyword_entropy(spark, d):
-    return recommend.best_keyword(_keywords(spark, d)[0])
+    scores, _, made = _keywords(spark, d)
+    return finished(recommend.best_keyword(scores), made.paths)
 
 
 @query
@@ -306,7 +309,7 @@ def sentence_split(spark, d):
 
 @query
 def sentences_with_term(spark, d):
-    scores, best = _keywords(spark, d)
+    scores, best, _ = _keywords(spark, d)
     rows = best.select("query_id", "bug_id").join(recommend.sentence_rows(corpus(spark, d)), "bug_id")
     return recommend.sentences_with(rows, recommend.best_keyword(scores).select("query_id", "term"), BIDF).withColumn("pos", F.col("pos").cast("long"))
 
@@ -475,13 +478,14 @@ def similarity_over_candidates(spark, d):
 
 @query
 def keyword_top(spark, d):
-    return recommend.top_keywords(_keywords(spark, d)[0], 10)
+    scores, _, made = _keywords(spark, d)
+    return finished(recommend.top_keywords(scores, 10), made.paths)
 
 
 @query
 def text_query(spark, d):
     """Ids of the ten reports most like a summary and a description, as one text."""
-    best = similarity.top(scored(spark, d), 10)
+    best = best_of(spark, d, 10)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "bug_id"))), lambda x: x["bug_id"].cast("string"))
     return best.groupBy("query_id").agg(F.array_join(ordered, ";").alias("ids"))
 
@@ -502,7 +506,7 @@ def _recommended(spark, d) -> Recommendation:
     """From the similar reports on: what they say and the incoming one doesn't, the keyword that splits them best, their
     sentences with it in order of rank until over a thousand are held, and those that it may repeat."""
     made = counted(spark, d, LOOSE)
-    ours, counts, dfs, n = made
+    ours, counts, dfs, n, _ = made
     rows = checkpointed(_similar_pruned(spark, d, made))
     scores = recommend.keyword_scores(recommend.report_difference(rows, ours, counts), rows, dfs, n)
     keyword = checkpointed(recommend.best_keyword(scores).select("query_id", "term"))
@@ -556,8 +560,9 @@ def recommend_duplicates(spark, d):
 @query
 def explain_pairs(spark, d):
     """Each incoming report beside its best one: summaries, similarities, score and number of shared terms."""
-    made = weighted(spark, d, BIDF)
-    pairs = checkpointed(compared(spark, d, BIDF, made))
+    counts = counted(spark, d, BIDF)
+    made = weighted(spark, d, BIDF, counts)
+    pairs = checkpointed(compared(spark, d, BIDF, counts))
     nl = F.round(F.col("rs") * BIDF.bug_summary_ratio + F.col("rd") * BIDF.bug_description_ratio, similarity.DIGITS)
     best = similarity.top(pairs.withColumn("score", nl), 1).drop("rank")
     shared = made[0].select("query_id", "field", "term").join(best.select("query_id", "bug_id"), "query_id").join(made[1].select("bug_id", "field", "term"), ["bug_id", "field", "term"])
