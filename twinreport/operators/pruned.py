@@ -17,12 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..lineage import checkpointed
+from ..lineage import checkpointed, met, written
 from . import similarity
 from .similarity import DIGITS
 
-#: Rows of the smaller side that are broadcast, at most; more meet by a shuffle.
-SENT = 500_000
 #: Reports that the first terms find for each one that is sought, about; how many of them are scored in full for the bound.
 FIRST, FULL = 5, 2
 #: The same for all that is sought, at least.
@@ -35,23 +33,20 @@ WITNESSES = 200
 KEYS = ["field", "term", "block"]
 
 
-def _met(rows: DataFrame, few: DataFrame, keys: list[str], n: int) -> DataFrame:
-    return rows.join(F.broadcast(few), keys) if n <= SENT else rows.join(few, keys)
-
-
 class Pruned:
     """Incoming and corpus vectors, ready for searches.
 
     ours: query_id, field, term, w; theirs: bug_id, block, field, term and w, or without w if a term weighs the same in all
     reports; weights: field, term, block, top (the largest weight in the block), df (its reports). Scores are those of the weighted strategy:
     each field's similarity (of `settings.tfidf_algorithm`) times its ratio. theirs is read several times, so it should be
-    a table. `formed` counts the pairs of each step. without: query_id, bug_id of reports that are no candidates.
+    a table; terms that no incoming report has are not needed there. `formed` counts the pairs of each step; `paths` are the
+    tables that the steps wrote, for who has the rows to delete (`lineage.finished`). without: query_id, bug_id of reports that are no candidates.
     """
 
     def __init__(self, ours: DataFrame, theirs: DataFrame, weights: DataFrame, settings: Settings, without: DataFrame | None = None):
         s = settings
         self.without = None if without is None else checkpointed(without.select("query_id", "bug_id").distinct())
-        self.settings, self.theirs, self.formed = s, theirs, {}
+        self.settings, self.theirs, self.formed, self.paths = s, theirs, {}, []
         ratio = F.when(F.col("field") == "summ", s.bug_summary_ratio).otherwise(s.bug_description_ratio)
         own = Window.partitionBy("query_id", "field")
         rows = ours.withColumn("len2", F.sum(F.col("w") * F.col("w")).over(own)) if s.tfidf_algorithm == "bidf" else ours.withColumn("len2", F.lit(1.0))
@@ -73,21 +68,26 @@ class Pruned:
         else:
             self.base = checkpointed(ours.select("query_id").distinct().withColumn("base", F.lit(0.0)))
 
+    def _table(self, pairs: DataFrame) -> DataFrame:
+        pairs, path = written(pairs, "pairs", compression="zstd")
+        self.paths.append(path)
+        return pairs
+
     def _value(self) -> Column:
         return F.col("part") * F.col("w") if "w" in self.theirs.columns else F.col("bound")
 
     def _sums(self, terms: DataFrame, name: str) -> DataFrame:
         """query_id, block, bug_id, s: what the terms (of incoming reports) add up to in each report that holds one."""
-        pairs = _met(self.theirs, terms.select("query_id", *KEYS, "part", "bound"), KEYS, self.n_terms).groupBy("query_id", "block", "bug_id").agg(F.sum(self._value()).alias("s"))
-        pairs = checkpointed(pairs if self.without is None else pairs.join(self.without, ["query_id", "bug_id"], "left_anti"))
+        pairs = met(self.theirs, terms.select("query_id", *KEYS, "part", "bound"), KEYS, self.n_terms).groupBy("query_id", "block", "bug_id").agg(F.sum(self._value()).alias("s"))
+        pairs = self._table(pairs if self.without is None else pairs.join(self.without, ["query_id", "bug_id"], "left_anti"))
         self.formed[name] = self.formed.get(name, 0) + pairs.count()
         return pairs
 
     def _filled(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
         """pairs with the value of the terms added to s."""
-        pairs = checkpointed(pairs)
-        rows = _met(self.theirs, pairs.select("query_id", "bug_id"), ["bug_id"], pairs.count())
-        more = _met(rows, terms.select("query_id", *KEYS, "part", "bound"), ["query_id", *KEYS], self.n_terms)
+        pairs = self._table(pairs)
+        rows = met(self.theirs, pairs.select("query_id", "bug_id"), ["bug_id"], pairs.count())
+        more = met(rows, terms.select("query_id", *KEYS, "part", "bound"), ["query_id", *KEYS], self.n_terms)
         more = more.groupBy("query_id", "bug_id").agg(F.sum(self._value()).alias("more"))
         return pairs.join(more, ["query_id", "bug_id"], "left").withColumn("s", F.col("s") + F.coalesce("more", F.lit(0.0))).drop("more")
 
@@ -127,7 +127,7 @@ class Pruned:
         if self.without is None and sizes.count() < n_reports:
             return self.base.select("query_id", F.lit(0.0).alias("low"))
         few = checkpointed(sizes.orderBy("m", "bug_id").limit(WITNESSES).select("bug_id"))
-        shared = _met(self.theirs, few, ["bug_id"], WITNESSES).join(self.terms.select("query_id", *KEYS), KEYS).select("query_id", "bug_id")
+        shared = met(self.theirs, few, ["bug_id"], WITNESSES).join(self.terms.select("query_id", *KEYS), KEYS).select("query_id", "bug_id")
         if self.without is not None:  # those that are no candidates witness nothing
             shared = shared.unionByName(self.without.join(few, "bug_id"))
         shared = shared.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))

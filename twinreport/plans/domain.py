@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..lineage import checkpointed, finished, met, written
+from ..lineage import checkpointed, finished, met, removed, written
 from ..functions import text as T
 from ..operators import similarity, terms
 from ..operators.pruned import Pruned
@@ -79,38 +79,47 @@ def weighted(spark: SparkSession, sf_dir: str, settings: Settings, made: tuple |
     return terms.weights(ours, dfs, n, settings.tfidf_algorithm, "query_id"), terms.weights(counts, dfs, n, settings.tfidf_algorithm), dfs, n
 
 
-def asked_of(made: Counted, settings: Settings) -> tuple[DataFrame, int, DataFrame]:
-    """Vectors of the incoming reports, how many rows they have, and those of the corpus for the terms of incoming reports
-    alone, as no other adds to a product."""
+def asked_of(made: Counted, settings: Settings) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    """Vectors of the incoming reports, how many rows they have, those of the corpus for the terms of incoming reports
+    alone, as no other adds to a product, and the document counts of these terms."""
     ours, counts, dfs, n, _ = made
     asked = ours.select("field", "term").distinct()
     n_terms = ours.count()
     dfs_ = checkpointed(met(dfs, asked, ["field", "term"], n_terms))
     q = checkpointed(terms.weights(ours, dfs_, n, settings.tfidf_algorithm, "query_id"))
     if settings.tfidf_algorithm == "tfidf":
-        return q, n_terms, terms.scaled(counts, terms.lengths(counts, dfs, n), dfs_, n, n_terms)
+        return q, n_terms, terms.scaled(counts, terms.lengths(counts, dfs, n), dfs_, n, n_terms), dfs_
     c = met(counts, dfs_, ["field", "term"], n_terms).select("bug_id", "field", "term", terms.idf(F.lit(n), F.col("df")).alias("w"))
-    return q, n_terms, c.repartition("bug_id")
+    return q, n_terms, c.repartition("bug_id"), dfs_
 
 
 def searched(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: tuple | None = None, without: DataFrame | None = None) -> Pruned:
-    """The corpus ready for searches by the incoming reports. made: what `counted` returned; without: no candidates."""
-    made = made or counted(spark, sf_dir, settings)
-    ours, counts, dfs, n, _ = made
+    """The corpus ready for searches by the incoming reports. made: what `counted` returned, tables that stay; without: no
+    candidates. The tables that are deleted at the end are the search's `paths`."""
+    own = made or counted(spark, sf_dir, settings)
+    ours, _, theirs, dfs = asked_of(own, settings)
     if settings.tfidf_algorithm == "bidf":  # a term weighs the same everywhere, so the corpus needs no weights of its own
         one = F.lit(0).alias("block")
-        return Pruned(terms.weights(ours, dfs, n, "bidf", "query_id"), counts.select("bug_id", one, "field", "term"), dfs.select("field", "term", one, terms.idf(F.lit(n), F.col("df")).alias("top"), "df"), settings, without)
-    ours, theirs, *_ = weighted(spark, sf_dir, settings, made)
-    # A term of a short report weighs more.
-    sizes = counts.groupBy("bug_id").agg(F.floor(2 * F.log2(F.sum("tf"))).cast("int").alias("block"))
-    theirs = checkpointed(theirs.filter("w != 0").join(sizes, "bug_id"))
-    return Pruned(ours, theirs, theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df")), settings, without)
+        theirs, path = written(theirs.select("bug_id", one, "field", "term"), "theirs", **PACKED)
+        weights = dfs.select("field", "term", one, terms.idf(F.lit(own.n), F.col("df")).alias("top"), "df")
+    else:  # a term of a short report weighs more
+        sizes = own.counts.groupBy("bug_id").agg(F.floor(2 * F.log2(F.sum("tf"))).cast("int").alias("block"))
+        theirs, path = written(theirs.filter("w != 0").join(sizes, "bug_id"), "theirs", **PACKED)
+        weights = theirs.groupBy("field", "term", "block").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("df"))
+    search = Pruned(ours, theirs, weights, settings, without)
+    search.paths.append(path)
+    for path in [] if made else own.paths:  # what is searched is a table of its own
+        removed(spark, path)
+    return search
 
 
 def ask(spark: SparkSession, sf_dir: str, summary: str, description: str, n: int = 10, settings: Settings = BIDF) -> DataFrame:
     """bug_id, score, rank of the n reports most like a summary and a description."""
     asked = spark.createDataFrame([(0, summary.lower(), description.lower())], "query_id long, summ string, desc string")
-    return searched(spark, sf_dir, settings, counted(spark, sf_dir, settings, asked)).top(n).drop("query_id")
+    made = counted(spark, sf_dir, settings, asked)
+    search = searched(spark, sf_dir, settings, made)
+    rows = search.top(n).drop("query_id")
+    return finished(rows, [*search.paths, *made.paths])
 
 
 def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made: Counted | None = None) -> DataFrame:
@@ -118,7 +127,7 @@ def compared(spark: SparkSession, sf_dir: str, settings: Settings = BIDF, made:
 
     The terms that both sides hold are dealt by report, and summed where they then lie; pairs are not shuffled.
     """
-    q, n_terms, c = asked_of(made or counted(spark, sf_dir, settings), settings)
+    q, n_terms, c, _ = asked_of(made or counted(spark, sf_dir, settings), settings)
     return similarity.similarities(q, c, settings, n_terms=n_terms)
 
 

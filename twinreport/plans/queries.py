@@ -116,15 +116,21 @@ def asm_similarity_topn(spark, d):
     return best_of(spark, d, 10)
 
 
+def _pruned(spark, d, settings):
+    search = searched(spark, d, settings)
+    rows = search.top(10)
+    return finished(rows, search.paths)
+
+
 @query
 def asm_pruned_topn(spark, d):
     """The same by bounds of terms, without forming every pair that shares one."""
-    return searched(spark, d).top(10)
+    return _pruned(spark, d, BIDF)
 
 
 @query
 def dot_pruned_topn(spark, d):
-    return searched(spark, d, TFIDF).top(10)
+    return _pruned(spark, d, TFIDF)
 
 
 @query
@@ -178,8 +184,10 @@ def similar_cut(spark, d):
 
 
 def _similar_pruned(spark, d, made=None):
-    made = made or counted(spark, d, LOOSE)
-    return searched(spark, d, LOOSE, made).similar(made[3])
+    own = made or counted(spark, d, LOOSE)
+    search = searched(spark, d, LOOSE, own)
+    rows = search.similar(own.n)
+    return finished(rows, [*search.paths, *([] if made else own.paths)])
 
 
 @query
@@ -507,8 +515,8 @@ def _recommended(spark, d) -> Recommendation:
     sentences with it in order of rank until over a thousand are held, and those that it may repeat."""
     made = counted(spark, d, LOOSE)
     ours, counts, dfs, n, _ = made
-    rows = checkpointed(_similar_pruned(spark, d, made))
-    scores = recommend.keyword_scores(recommend.report_difference(rows, ours, counts), rows, dfs, n)
+    rows = _similar_pruned(spark, d, made)
+    scores = recommend.keyword_scores(recommend.report_difference(rows, ours, counts, n=rows.count()), rows, dfs, n)
     keyword = checkpointed(recommend.best_keyword(scores).select("query_id", "term"))
     theirs = corpus(spark, d).join(rows.select("bug_id").distinct(), "bug_id", "left_semi")
     pieces = rows.select("query_id", "bug_id").join(recommend.sentence_rows(theirs), "bug_id")
@@ -611,7 +619,9 @@ def eval_grid(spark, d):
     s = replace(BIDF, bug_no_similar_threshold=0.0)
     made = counted(spark, d, s, rows.select("query_id", "summ", "desc"))
     itself = rows.select("query_id", F.col("dummy_bug_id").alias("bug_id"))
-    found = checkpointed(searched(spark, d, s, made, itself).similar(made[3]))
+    search = searched(spark, d, s, made, itself)
+    rows_ = search.similar(made.n)
+    found = finished(rows_, [*search.paths, *made.paths])
     high = found.groupBy("query_id").agg(F.max("score").alias("high"))
     own = itself.join(members, "bug_id").select("query_id", F.col("group").alias("own"))
     judged = lambda df: df.join(own, "query_id").join(high, "query_id").join(members, "bug_id", "left").select("query_id", "bug_id", "high", F.coalesce(F.col("group") == F.col("own"), F.lit(False)).alias("hit"))
