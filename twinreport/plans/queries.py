@@ -322,25 +322,35 @@ def sentences_with_term(spark, d):
     return recommend.sentences_with(rows, recommend.best_keyword(scores).select("query_id", "term"), BIDF).withColumn("pos", F.col("pos").cast("long"))
 
 
-def _pairs_of_best(spark, d, ours, theirs, value):
+def _pairs_of_best(best, ours, theirs, value):
     """Incoming reports beside their best report, by description terms."""
-    best = checkpointed(similarity.top(scored(spark, d), 1).select("query_id", "bug_id"))
     a = best.join(ours.filter("field = 'desc'"), "query_id").select("query_id", "bug_id", "term", value)
     b = best.join(theirs.filter("field = 'desc'"), "bug_id").select("query_id", "bug_id", "term", value)
     return terms.compared(a, b, value, ["query_id", "bug_id"])
 
 
+def _best_counts(spark, d):
+    """Term counts of the incoming reports, their best reports, the counts of these, document counts of the terms of both,
+    number of reports. All are small; the tables that they came from are deleted."""
+    made = counted(spark, d, BIDF)
+    best = best_of(spark, d, 1, made=made).select("query_id", "bug_id")
+    theirs = checkpointed(met(made.counts, best.select("bug_id").distinct(), ["bug_id"], best.count()))
+    both = made.ours.select("field", "term").unionByName(theirs.select("field", "term")).distinct()
+    dfs = finished(met(made.dfs, both, ["field", "term"], made.ours.count() + theirs.count()), made.paths)
+    return made.ours, best, theirs, dfs, made.n
+
+
 @query
 def compare_bow(spark, d):
-    ours = terms.term_counts(incoming(spark, d), BIDF, "query_id", synonyms=False)
-    theirs = terms.term_counts(corpus(spark, d), BIDF, synonyms=False)
-    return _pairs_of_best(spark, d, ours, theirs, "tf").withColumn("shared", F.least("a", "b"))
+    ours, best, theirs, *_ = _best_counts(spark, d)
+    return _pairs_of_best(best, ours, theirs, "tf").withColumn("shared", F.least("a", "b"))
 
 
 @query
 def compare_tfidf(spark, d):
-    q, c, dfs, n = weighted(spark, d, TFIDF)
-    rows = _pairs_of_best(spark, d, q, c, "w").join(dfs.filter("field = 'desc'").select("term", "df"), "term", "left")
+    ours, best, theirs, dfs, n = _best_counts(spark, d)
+    q, c = terms.weights(ours, dfs, n, "tfidf", "query_id"), terms.weights(theirs, dfs, n, "tfidf")
+    rows = _pairs_of_best(best, q, c, "w").join(dfs.filter("field = 'desc'").select("term", "df"), "term", "left")
     df = F.coalesce("df", F.lit(0))
     return rows.select("query_id", "bug_id", "term", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("a") * F.col("b"), 6).alias("product"), df.cast("long").alias("df"), F.round(terms.idf(F.lit(n), df), 6).alias("idf"))
 
