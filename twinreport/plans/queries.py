@@ -317,9 +317,11 @@ def sentence_split(spark, d):
 
 @query
 def sentences_with_term(spark, d):
-    scores, best, _ = _keywords(spark, d)
-    rows = best.select("query_id", "bug_id").join(recommend.sentence_rows(corpus(spark, d)), "bug_id")
-    return recommend.sentences_with(rows, recommend.best_keyword(scores).select("query_id", "term"), BIDF).withColumn("pos", F.col("pos").cast("long"))
+    scores, best, made = _keywords(spark, d)
+    keyword = finished(recommend.best_keyword(scores).select("query_id", "term"), made.paths)
+    found = met(corpus(spark, d), best.select("query_id", "bug_id"), ["bug_id"], best.count())
+    rows = recommend.sentence_rows(found, more=["query_id"])
+    return recommend.sentences_with(rows, keyword, BIDF, n=keyword.count()).withColumn("pos", F.col("pos").cast("long"))
 
 
 def _pairs_of_best(best, ours, theirs, value):
